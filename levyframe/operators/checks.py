@@ -14,6 +14,8 @@ from levyframe.functions.names import column
 
 SUPPORTED_TYPES = (T.IntegerType, T.DoubleType, T.StringType)
 MIXED = "mixed"
+BITS = 62  # names per integer of the bit sets in attribute_gaps
+MAX_WORDS = 16  # beyond 16 * 62 names the sets are kept as names, in buckets of about 10,000
 ATTRIBUTES_PER_BUCKET = 10_000
 
 
@@ -156,28 +158,56 @@ def check_table(df: DataFrame) -> DataFrame:
 def attribute_gaps(eav: DataFrame, entity: str, attribute: str) -> DataFrame:
     """Attributes that some entity lacks although another has them: rows (entity, attribute).
 
-    ``eav`` holds one row per (entity, attribute).  Duplicates are removed before the shuffle.  Attributes
-    are spread over buckets of a bounded number of names, so neither the list of names to compare with nor
-    the names of one entity ever form an unbounded group; with few names there is one bucket.
+    ``eav`` holds one row per (entity, attribute), repeats allowed.  What an entity has becomes bits of a
+    few integers, so the aggregate over the whole table keeps a fixed-width buffer per entity and a hot
+    entity is combined before the shuffle.
     """
-    have = eav.select(column(entity).alias("e"), column(attribute).alias("a"))
-    total = have.select("a").distinct().count()
-    buckets = max(1, -(-total // ATTRIBUTES_PER_BUCKET))
-    bucket = F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int")
-    # At most `total` names in `buckets` rows; every row is as large as one bucket.
-    expected = have.select("a").distinct().groupBy(bucket.alias("b")).agg(F.collect_set("a").alias("names"))
-    held = have.groupBy("e", bucket.alias("b")).agg(F.collect_set("a").alias("names"))
-    if buckets == 1:
-        asked = held
+    have = eav.select(column(entity).alias("e"), column(attribute).alias("a")).where("a IS NOT NULL")
+    distinct = have.select("a").distinct()
+    names = [row["a"] for row in distinct.limit(MAX_WORDS * BITS + 1).collect()]
+    if len(names) > MAX_WORDS * BITS:
+        gaps = _gaps_by_bucket(have, distinct)
     else:
-        every = have.select("e").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        asked = every.join(held, ["e", "b"], "left")
-    if total <= ATTRIBUTES_PER_BUCKET:
-        expected = F.broadcast(expected)
-    compared = asked.join(expected.withColumnRenamed("names", "expected"), "b")
+        gaps = _gaps_by_bits(have, sorted(names))
+    return gaps.select(F.col("e").alias(entity), F.col("a").alias(attribute))
+
+
+def _gaps_by_bits(have: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Gaps when the names fit into ``MAX_WORDS`` integers; the broadcast table has one row per name."""
+    places = [(name, at // BITS, at % BITS) for at, name in enumerate(names)]
+    places_type = "array<struct<a: string, word: int, bit: int>>"
+    table = have.sparkSession.createDataFrame(places, "a string, word int, bit int")
+    words = max(1, -(-len(names) // BITS))
+    found = have.join(F.broadcast(table), "a")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    held = found.groupBy("e").agg(
+        *(F.bit_or(F.when(F.col("word") == word, bit).otherwise(F.lit(0))).alias(f"w{word}") for word in range(words))
+    )
+    every = F.array(
+        *(F.struct(F.lit(a).alias("a"), F.lit(word).alias("word"), F.lit(at).alias("bit")) for a, word, at in places)
+    ).cast(places_type)
+    word_array = F.array(*(F.col(f"w{word}") for word in range(words)))
+    lacking = F.filter(
+        every, lambda one: F.call_function("getbit", F.get(word_array, one["word"]), one["bit"]) == 0
+    )
+    complete = F.lit(True)
+    for word in range(words):
+        size = min(BITS, len(names) - word * BITS)
+        complete = complete & (F.col(f"w{word}") == (1 << size) - 1)
+    return held.where(~complete).select("e", F.explode(lacking).alias("gap")).select("e", "gap.a")
+
+
+def _gaps_by_bucket(have: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Gaps for any number of names: sets of names, spread over buckets so that none grows without bound."""
+    buckets = -(-distinct.count() // ATTRIBUTES_PER_BUCKET)
+    bucket = F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int").alias("b")
+    expected = distinct.groupBy(bucket).agg(F.collect_set("a").alias("expected"))
+    held = have.groupBy("e", bucket).agg(F.collect_set("a").alias("names"))
+    asked = have.select("e").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     none = F.array().cast("array<string>")
     lacking = F.array_except("expected", F.coalesce(F.col("names"), none))
-    return compared.select(F.col("e").alias(entity), F.explode(lacking).alias(attribute))
+    compared = asked.join(held, ["e", "b"], "left").join(expected, "b")
+    return compared.select("e", F.explode(lacking).alias("a"))
 
 
 def missing_results(results: DataFrame, results_map: str, index: str, names: Sequence[str]) -> DataFrame:

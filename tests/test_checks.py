@@ -1,0 +1,129 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from conftest import plan, rows
+from pyspark.sql import functions as F
+
+from levyframe import (
+    attribute_gaps,
+    check_result_columns,
+    check_table,
+    first_type_mismatch,
+    missing_results,
+    null_cells,
+    unsupported_columns,
+)
+from levyframe.errors import ResultError, TableError
+from levyframe.operators import checks
+
+
+def text_table(spark, data):
+    return spark.createDataFrame(data, "idx int, Age string, Revenu string")
+
+
+def test_consistent_table_has_no_mismatch(spark):
+    df = text_table(spark, [(1, "30", "100.0"), (2, "35", "200.5"), (3, "40", "300.0")])
+    assert rows(first_type_mismatch(df, "idx")) == []
+
+
+def test_mismatch_names_the_earlier_row(spark):
+    df = text_table(spark, [(3, "quarante", "300.0"), (1, "30", "100.0"), (2, "35", "200.5")])
+    assert rows(first_type_mismatch(df, "idx")) == [(2, "Age")]
+    df = text_table(spark, [(1, "30", "500.65"), (2, "30", "400")])
+    assert rows(first_type_mismatch(df, "idx")) == [(1, "Revenu")]
+    assert rows(first_type_mismatch(df, "idx", promote_int=True)) == []
+
+
+def test_mismatch_ties_are_alphabetical(spark):
+    df = text_table(spark, [(1, "30", "1.5"), (2, "x", "y")]).select("idx", "Revenu", "Age")
+    assert rows(first_type_mismatch(df, "idx")) == [(1, "Age")]
+
+
+def test_mismatch_against_brute_force(spark):
+    random.seed(3)
+    values = {0: "1", 1: "1.5", 2: "t"}
+    for _ in range(6):
+        size = random.randint(1, 12)
+        weights = (20, 1, 1)
+        cells = [(i + 1, *random.choices((0, 1, 2), weights, k=2)) for i in range(size)]
+        expected = []
+        for this, following in zip(cells, cells[1:]):
+            faults = [name for name, a, b in (("a", this[1], following[1]), ("b", this[2], following[2])) if a != b]
+            if faults:
+                expected = [(this[0], min(faults))]
+                break
+        data = [(i, values[a], values[b]) for i, a, b in cells]
+        df = spark.createDataFrame(data, "idx int, a string, b string").repartition(3)
+        assert rows(first_type_mismatch(df, "idx")) == expected
+
+
+def test_mismatch_needs_no_window(spark):
+    assert "Window" not in plan(first_type_mismatch(text_table(spark, [(1, "1", "2")]), "idx"))
+
+
+def test_null_cells(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (3, None, None)], "idx int, n int, s string")
+    assert rows(null_cells(df, "idx")) == [("n", 2), ("s", 3)]
+    assert rows(null_cells(df.where("idx = 1"), "idx")) == []
+
+
+def test_check_table(spark):
+    good = spark.createDataFrame([(1, 2.5, "x")], "i int, d double, s string")
+    assert check_table(good) is good
+    with pytest.raises(TableError, match="no row"):
+        check_table(good.limit(0))
+    with pytest.raises(TableError, match="missing values: d"):
+        check_table(spark.createDataFrame([(1, None)], "i int, d double"))
+    with pytest.raises(TableError, match="unsupported type: l, b"):
+        check_table(spark.createDataFrame([(1, True, 2)], "l long, b boolean, i int"))
+
+
+def test_unsupported_columns_read_only_the_schema(spark):
+    df = spark.range(1).select(F.col("id"), F.current_date().alias("d"), F.lit(1).alias("i"))
+    assert unsupported_columns(df.schema) == ["id", "d"]
+
+
+EAV = [
+    (1, "Age"), (1, "Logement"), (1, "Age"),
+    (2, "Age"), (2, "Logenment"),
+    (3, "Age"), (3, "Logement"), (3, "Logenment"),
+]
+
+
+def brute_force_gaps(pairs):
+    names = {name for _, name in pairs}
+    held = {}
+    for entity, name in pairs:
+        held.setdefault(entity, set()).add(name)
+    return sorted(((e, n) for e, have in held.items() for n in names - have), key=repr)
+
+
+def test_attribute_gaps(spark):
+    df = spark.createDataFrame(EAV, "e int, a string")
+    assert rows(attribute_gaps(df, "e", "a")) == brute_force_gaps(EAV) == [(1, "Logenment"), (2, "Logement")]
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_attribute_gaps_over_many_words_or_buckets(spark, monkeypatch, limit):
+    random.seed(5)
+    pairs = [(random.randint(0, 9), f"a{random.randint(0, 80)}") for _ in range(700)]
+    pairs += [(0, f"a{i}") for i in range(90)]
+    df = spark.createDataFrame(pairs, "e int, a string")
+    if limit < 3:
+        monkeypatch.setattr(checks, "ATTRIBUTES_PER_BUCKET", limit * 17)
+        monkeypatch.setattr(checks, "MAX_WORDS", limit - 1)
+    assert rows(attribute_gaps(df, "e", "a")) == brute_force_gaps(pairs)
+
+
+def test_missing_results(spark):
+    df = spark.createDataFrame([(1, {"a": 1.0}), (2, {"a": 1.0, "b": None})], "i int, r map<string,double>")
+    assert rows(missing_results(df, "r", "i", ["a", "b"])) == [(1, "b")]
+
+
+def test_result_columns(spark):
+    df = spark.createDataFrame([(1.0,)], "a double")
+    check_result_columns(df, ["a"])
+    with pytest.raises(ResultError, match="missing results: b, c"):
+        check_result_columns(df, ["c", "a", "b"])
