@@ -112,6 +112,8 @@ def python_results(
             (rule.bind(), MappingProxyType(rule.parameters), list(enumerate(rule.outputs))) for rule in rules
         ]
         for arrays in batches:
+            if isinstance(arrays, pa.Array):  # a single argument comes without its tuple
+                arrays = (arrays,)
             results: list[list[float | None]] = [[] for _ in fields]
             rows = zip(*(_plain_values(array) for array in arrays))
             for row in rows:
