@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from levyframe.errors import ResultError
 from levyframe.functions.names import column
@@ -92,6 +93,10 @@ def diff_results(
     keeps exactly the variant's rows and no key can be hot; the tables must have equally many rows.
     """
     key = [key] if isinstance(key, str) else list(key)
+    for side, table in (("baseline", baseline), ("variant", variant)):
+        wrong = [f.name for f in table.schema if f.name not in key and not isinstance(f.dataType, T.NumericType)]
+        if wrong:
+            raise ResultError(f"{side} results: columns that are not numbers: {', '.join(wrong)}")
     reports = {"baseline": key_report(baseline, key), "variant": key_report(variant, key)}
     for side, (_, largest, has_null) in reports.items():
         if has_null:

@@ -51,6 +51,8 @@ class _Rules:
 
 
 def _number(value: Any, component: str, null_results: str) -> float | None:
+    if type(value) is float:
+        return value
     if value is None and null_results == "keep":
         return None
     kind = type(value)
@@ -65,21 +67,27 @@ def _plain_values(array: pa.Array) -> list[Any]:
     return array.to_pylist()
 
 
-def _evaluate_row(
-    attributes: Mapping[str, Any],
-    steps: list[tuple[str, Callable[..., Any], frozenset[str] | None]],
-    parameters: Mapping[str, float],
-) -> dict[str, Any]:
-    variables: dict[str, Any] = {}
-    for name, function, visible in steps:
-        seen = attributes
-        if visible is not None:
-            seen = MappingProxyType({key: attributes[key] for key in visible})
-        try:
-            variables[name] = function(variables, parameters, seen)
-        except Exception as error:
-            raise RuleError(f"component {name}: {type(error).__name__}: {error}") from error
-    return variables
+def _evaluate_batch(
+    rows: Iterator[tuple[Any, ...]],
+    names: Sequence[str],
+    bound: list[tuple[list[tuple[str, Callable[..., Any], frozenset[str] | None]], Mapping[str, float]]],
+) -> Iterator[list[dict[str, Any]]]:
+    """For each row the variables of each policy."""
+    for row in rows:
+        attributes = MappingProxyType(dict(zip(names, row)))
+        results = []
+        for steps, parameters in bound:
+            variables: dict[str, Any] = {}
+            for name, function, visible in steps:
+                seen = attributes
+                if visible is not None:
+                    seen = MappingProxyType({key: attributes[key] for key in visible})
+                try:
+                    variables[name] = function(variables, parameters, seen)
+                except Exception as error:
+                    raise RuleError(f"component {name}: {type(error).__name__}: {error}") from error
+            results.append(variables)
+        yield results
 
 
 def python_results(
@@ -108,26 +116,18 @@ def python_results(
 
     @F.arrow_udf(result_type)
     def evaluate_rows(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        bound = [
-            (rule.bind(), MappingProxyType(rule.parameters), list(enumerate(rule.outputs))) for rule in rules
-        ]
+        bound = [(rule.bind(), MappingProxyType(rule.parameters)) for rule in rules]
+        places = [(which, name) for which, rule in enumerate(rules) for name in rule.outputs]
         for arrays in batches:
             if isinstance(arrays, pa.Array):  # a single argument comes without its tuple
                 arrays = (arrays,)
-            results: list[list[float | None]] = [[] for _ in fields]
             rows = zip(*(_plain_values(array) for array in arrays))
-            for row in rows:
-                given = MappingProxyType(dict(zip(names, row)))
-                at = 0
-                for steps, parameters, outputs in bound:
-                    variables = _evaluate_row(given, steps, parameters)
-                    for offset, name in outputs:
-                        results[at + offset].append(_number(variables.get(name), name, null_results))
-                    at += len(outputs)
-            yield pa.StructArray.from_arrays(
-                [pa.array(values, pa.float64()) for values in results],
-                names=[f"f{i}" for i in range(len(fields))],
+            variables = list(_evaluate_batch(rows, names, bound))
+            columns = (
+                pa.array([_number(row[which].get(name), name, null_results) for row in variables], pa.float64())
+                for which, name in places
             )
+            yield pa.StructArray.from_arrays(list(columns), names=result_type.names)
 
     # A function of no column would not see the rows; a constant stands in when nothing is needed.
     arguments = [column(name) for name in names] or [F.lit(True)]

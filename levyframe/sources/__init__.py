@@ -3,6 +3,7 @@
 from levyframe.sources.arrow_ipc import ArrowIpcDataSource, register
 from levyframe.sources.delimited import (
     POSITIONS,
+    locate_type_fault,
     ragged_rows,
     read_delimited,
     read_text_cells,
@@ -15,6 +16,7 @@ __all__ = [
     "POSITIONS",
     "ArrowIpcDataSource",
     "load_policy",
+    "locate_type_fault",
     "parse_policies",
     "ragged_rows",
     "read_delimited",

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from weakref import WeakSet
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -265,6 +266,11 @@ class ArrowIpcDataSource(DataSource):
         return _Writer(self._path(), schema, overwrite)
 
 
+_registered: WeakSet[SparkSession] = WeakSet()
+
+
 def register(spark: SparkSession) -> None:
     """Make the ``arrow_ipc`` format known to the session."""
-    spark.dataSource.register(ArrowIpcDataSource)
+    if spark not in _registered:
+        spark.dataSource.register(ArrowIpcDataSource)
+        _registered.add(spark)

@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 from levyframe.errors import TableError
 from levyframe.functions.cells import checked_cast
 from levyframe.functions.names import case_clashes, column
-from levyframe.operators.checks import apply_types, resolve_types, unsupported_columns
+from levyframe.operators.checks import apply_types, first_type_mismatch, resolve_types, unsupported_columns
+from levyframe.operators.ordering import with_index
 
 DELIMITER = ";"
 SOURCE_FILE, SOURCE_OFFSET = "__file", "__offset"
 POSITIONS = (SOURCE_FILE, SOURCE_OFFSET)
 CORRUPT = "__corrupt"
+ROW = "__row"
 
 
 def check_suffix(path: str | Sequence[str], suffix: str) -> None:
@@ -119,6 +121,17 @@ def read_delimited(
     return cells.select(*typed, *(column(name) for name in cells.columns if name not in names))
 
 
+def locate_type_fault(
+    spark: SparkSession, path: str | Sequence[str], *, promote_int: bool = False, multi_line: bool = False
+) -> DataFrame:
+    """Where ``read_delimited`` finds mixed kinds: (index of the row before the first fault, attribute).
+
+    Numbers the rows of the text (see ``with_index``), so it costs more than finding that kinds are mixed.
+    """
+    cells = read_text_cells(spark, path, multi_line=multi_line, positions=True)
+    return first_type_mismatch(with_index(cells, block=POSITIONS, name=ROW), ROW, promote_int)
+
+
 def ragged_rows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Records whose number of fields is not the header's: rows (file, record)."""
     check_suffix(path, ".csv")

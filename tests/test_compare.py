@@ -104,6 +104,12 @@ def test_key_must_be_unique_and_present(spark):
         diff_results(*keyed(spark, base=[(1, 1.0, 1.0), (None, 1.0, 1.0), (2, 1.0, 1.0)]), "id")
 
 
+def test_only_numbers_can_be_compared(spark):
+    base, variant = keyed(spark)
+    with pytest.raises(ResultError, match="baseline results: columns that are not numbers: city"):
+        diff_results(base.selectExpr("*", "'x' AS city"), variant, "id")
+
+
 def test_row_counts_must_agree(spark):
     tables = keyed(spark, base=BASE[:2])
     with pytest.raises(ResultError, match="2 rows, variant has 3 rows"):

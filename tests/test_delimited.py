@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levyframe import POSITIONS, ragged_rows, read_delimited, read_households, write_delimited
+from levyframe import POSITIONS, locate_type_fault, ragged_rows, read_delimited, read_households, write_delimited
 from levyframe.errors import TableError
 
 HOUSEHOLD = "Age;Revenu;TypeLogement\n35;500.5;Locataire\n"
@@ -172,3 +172,18 @@ def test_schema_given_means_one_pass(spark, write):
 def test_filter_on_typed_columns(spark, write):
     df = read_delimited(spark, write("h.csv", "Age;Nom\n35;a\n40;b\n"))
     assert rows(df.where(F.col("Age") > 36).select("Nom")) == [("b",)]
+
+
+def test_place_of_the_first_type_fault(spark, write, tmp_path):
+    write("h.csv/a.csv", "Age;Revenu\n30;100.0\n35;200.5\n")
+    write("h.csv/b.csv", "Age;Revenu\n40;300.5\nquarante;300\n")
+    path = str(tmp_path / "h.csv")
+    with pytest.raises(TableError, match="mix integers, floats or text: Age, Revenu"):
+        read_delimited(spark, path)
+    assert rows(locate_type_fault(spark, path)) == [(3, "Age")]
+
+
+def test_line_ends_and_byte_order_mark(spark, write):
+    df = read_delimited(spark, write("h.csv", "\ufeffAge;Nom\r\n35;a\r\n40;b\r\n"))
+    assert df.columns == ["Age", "Nom"]
+    assert rows(df) == [(35, "a"), (40, "b")]

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 
 from levyframe import POSITIONS, output_columns, output_layout, read_delimited, results_to_columns, with_index, with_rank
+from levyframe import storage
 from levyframe.errors import ResultError
 from levyframe.operators import layout, ordering
 from levyframe.sources import result_path
@@ -115,3 +116,11 @@ def test_positions_use_no_global_window(spark):
     from conftest import plan
 
     assert "Window" not in plan(with_index(spark.range(10).selectExpr("id AS k"), ["k"]))
+
+
+def test_staged_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda session: str(tmp_path))
+    with_index(spark.range(10)).count()
+    assert list(tmp_path.glob("levyframe/*/*/indexed"))
+    storage.remove_staged(spark)
+    assert not list(tmp_path.glob("levyframe/*"))
