@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from levyframe.functions.names import column
 from levyframe.operators.ordering import with_rank
 
-# A component's source defines a function where a line starts with "def <name>" or "<name> = lambda".
-DEFINITION = r"(?m)^(?:async[ \t]+)?(?:def[ \t]+([A-Za-z_]\w*)|([A-Za-z_]\w*)[ \t]*=[ \t]*lambda\b)"
+# A source text defines a function where a line starts with "def <name>" or "<name> = lambda".
+DEFINITION = r"(?m)^(?:async[ \t]+)?def[ \t]+[A-Za-z_]\w*|^[A-Za-z_]\w*[ \t]*=[ \t]*lambda\b"
+DEFINED_NAME = r"([A-Za-z_]\w*)(?:[ \t]*=[ \t]*lambda)?$"
 
 
 def policies(documents: DataFrame) -> DataFrame:
@@ -129,10 +130,9 @@ def missing_dependencies(
 
 
 def defined_functions(source: Column) -> Column:
-    """Names of the functions a source text defines at top level."""
-    by_def = F.regexp_extract_all(source, F.lit(DEFINITION), F.lit(1))
-    by_lambda = F.regexp_extract_all(source, F.lit(DEFINITION), F.lit(2))
-    return F.array_distinct(F.filter(F.concat(by_def, by_lambda), lambda name: name != ""))
+    """Names of the functions a source text defines at top level, in order, repeats included."""
+    found = F.regexp_extract_all(source, F.lit(DEFINITION), F.lit(0))
+    return F.transform(found, lambda text: F.regexp_extract(text, DEFINED_NAME, 1))
 
 
 def function_resolution(
@@ -148,26 +148,29 @@ def function_resolution(
     name, and a later definition replaces an earlier one.  Rows: policy, component, ``defined_by`` (the
     order values of the winning source, NULL when no source defines the function) and ``function``.
 
-    Both sides are reduced to one row per (policy, name) by the same aggregate before anything is joined:
-    definitions and lookups are stacked and grouped once.
+    Every component contributes one lookup and its definitions; one aggregate per (policy, name) pairs them,
+    combined before the shuffle, so no side is joined and no name can be hot.
     """
-    place = F.struct(*(column(part) for part in order))
-    keys = [column(part) for part in policy]
-    looked_up = df.select(
-        *keys, column(component).alias("__name"), F.lit(None).alias("__place"), F.lit(None).alias("__source")
+    entry = "struct<name: string, wanted: boolean>"
+    lookup = F.array(F.struct(column(component).alias("name"), F.lit(True).alias("wanted")))
+    definitions = F.transform(
+        defined_functions(column(source)), lambda name: F.struct(name.alias("name"), F.lit(False).alias("wanted"))
     )
-    defined = df.select(
+    keys = [column(part) for part in policy]
+    place = F.struct(*(column(part) for part in order))
+    entries = df.select(
         *keys,
-        F.explode(defined_functions(column(source))).alias("__name"),
         place.alias("__place"),
         column(source).alias("__source"),
+        F.explode(F.concat(lookup.cast(f"array<{entry}>"), definitions.cast(f"array<{entry}>"))).alias("__entry"),
     )
+    defined = ~F.col("__entry.wanted")
     grouped = (
-        defined.withColumn("__wanted", F.lit(False))
-        .unionByName(looked_up.withColumn("__wanted", F.lit(True)))
-        .groupBy(*keys, F.col("__name"))
+        entries.withColumn("__place", F.when(defined, F.col("__place")))
+        .withColumn("__source", F.when(defined, F.col("__source")))
+        .groupBy(*keys, F.col("__entry.name").alias("__name"))
         .agg(
-            F.max("__wanted").alias("__wanted"),
+            F.max("__entry.wanted").alias("__wanted"),
             F.max("__place").alias("__place"),
             F.max_by("__source", "__place").alias("__source"),
         )

@@ -43,7 +43,7 @@ def apply_policy_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def apply_policy_python(spark: SparkSession, folder: str) -> DataFrame:
-    return apply_policy(lines(spark, folder), policies.python_variant(), strict_dependencies=False)
+    return apply_policy(lines(spark, folder), policies.python_variant())
 
 
 def scenario_baseline(spark: SparkSession, folder: str) -> DataFrame:
