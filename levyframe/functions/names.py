@@ -18,14 +18,15 @@ def is_case_sensitive(spark: SparkSession) -> bool:
     return spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
 
 
-def fold(spark: SparkSession, name: str) -> str:
-    """The form of ``name`` that Spark compares under the session's case rule."""
-    return name if is_case_sensitive(spark) else name.lower()
+def folded(spark: SparkSession, names: Iterable[str]) -> list[str]:
+    """The names as Spark compares them under the session's case rule."""
+    return list(names) if is_case_sensitive(spark) else [name.lower() for name in names]
 
 
 def case_clashes(spark: SparkSession, names: Iterable[str]) -> list[list[str]]:
     """Groups of different names that Spark would take for one column."""
+    names = list(names)
     groups: dict[str, set[str]] = defaultdict(set)
-    for name in names:
-        groups[fold(spark, name)].add(name)
+    for name, form in zip(names, folded(spark, names)):
+        groups[form].add(name)
     return [sorted(group) for group in groups.values() if len(group) > 1]

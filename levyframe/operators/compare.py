@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -71,17 +71,23 @@ def difference_results(df: DataFrame, baseline: Policy, variant: Policy, **optio
     return results_of(compare_policies(df, baseline, variant, **options), DIFF, df.columns, variant.outputs)
 
 
-def key_report(df: DataFrame, key: Sequence[str]) -> tuple[int, int, bool]:
-    """(rows, size of the largest group of one key, whether some key is NULL).
+def key_reports(tables: Mapping[str, DataFrame], key: Sequence[str]) -> dict[str, tuple[int, int, bool]]:
+    """Per table (rows, size of the largest group of one key, whether some key is NULL), in one job.
 
     Reads the key columns only.  Counts are combined before the shuffle, so a hot key costs nothing, and a
     table bucketed by the key is not shuffled at all.
     """
     keys = [column(name) for name in key]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     any_null = reduce(or_, (name.isNull() for name in keys))
-    rows, largest, has_null = sizes.agg(F.sum("__n"), F.max("__n"), F.max(any_null)).first()
-    return rows or 0, largest or 0, bool(has_null)
+    reports = [
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.sum("__n").alias("rows"), F.max("__n").alias("largest"), F.max(any_null).alias("has_null"))
+        .select(F.lit(name).alias("name"), "*")
+        for name, df in tables.items()
+    ]
+    found = reduce(DataFrame.unionAll, reports).collect()
+    return {row["name"]: (row["rows"] or 0, row["largest"] or 0, bool(row["has_null"])) for row in found}
 
 
 def diff_results(
@@ -97,7 +103,7 @@ def diff_results(
         wrong = [f.name for f in table.schema if f.name not in key and not isinstance(f.dataType, T.NumericType)]
         if wrong:
             raise ResultError(f"{side} results: columns that are not numbers: {', '.join(wrong)}")
-    reports = {"baseline": key_report(baseline, key), "variant": key_report(variant, key)}
+    reports = key_reports({"baseline": baseline, "variant": variant}, key)
     for side, (_, largest, has_null) in reports.items():
         if has_null:
             raise ResultError(f"{side} results: key ({', '.join(key)}) is NULL in some row")

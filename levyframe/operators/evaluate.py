@@ -6,28 +6,85 @@ policies together are one Arrow function per row (see ``evaluate_python``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from types import MappingProxyType
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping, MutableMapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from levyframe.errors import PolicyError, RuleError
-from levyframe.functions.names import column, fold
+from levyframe.functions.names import column, folded
 from levyframe.operators.evaluate_python import python_results
 from levyframe.operators.rules import COLUMN, Component, Policy
 
+REPLACED = "__replaced_"
 
-class _Attributes(dict):
-    def __missing__(self, name: str) -> Any:
-        raise KeyError(f"no attribute {name!r}")
 
+class _Attributes(Mapping[str, Column]):
+    """The attributes a rule sees; a Column is made when it is read, as a table may have many."""
 
-class _Variables(dict):
-    def __missing__(self, name: str) -> Any:
-        raise KeyError(f"result {name!r} is read before it is computed")
+    def __init__(self, names: Iterable[str]) -> None:
+        self.names = dict.fromkeys(names)
+
+    def __getitem__(self, name: str) -> Column:
+        if name not in self.names:
+            raise KeyError(f"no attribute {name!r}")
+        return column(name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+class _Variables(MutableMapping[str, Any]):
+    """Earlier results of a policy.
+
+    Remembers how deep in the chain of results the current component has read, so that components that do
+    not need each other can share one projection.
+    """
+
+    def __init__(self) -> None:
+        self.values_by_name: dict[str, Any] = {}
+        self.depths: dict[str, int] = {}
+        self.depth = 0
+
+    def __getitem__(self, name: str) -> Any:
+        if name not in self.values_by_name:
+            raise KeyError(f"result {name!r} is read before it is computed")
+        self.depth = max(self.depth, self.depths[name])
+        return self.values_by_name[name]
+
+    def __setitem__(self, name: str, value: Any) -> None:
+        self.settle(name, value, self.depth)
+
+    def __delitem__(self, name: str) -> None:
+        del self.values_by_name[name], self.depths[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.values_by_name)
+
+    def __len__(self) -> int:
+        return len(self.values_by_name)
+
+    def settle(self, name: str, value: Any, depth: int) -> None:
+        self.values_by_name[name] = value
+        self.depths[name] = depth
+
+
+@dataclass
+class _Step:
+    """One result to add: its column, the component it comes from, and how many projections come before it."""
+
+    component: str
+    target: str
+    value: Column
+    depth: int
 
 
 def missing_attributes(policy: Policy, columns: Iterable[str]) -> list[str]:
@@ -37,16 +94,20 @@ def missing_attributes(policy: Policy, columns: Iterable[str]) -> list[str]:
 
 def check_dependencies(policy: Policy, df: DataFrame) -> None:
     """Raise when the table lacks a declared attribute; the message lists all of them."""
-    missing = missing_attributes(policy, df.columns)
+    _require(policy, df.columns)
+
+
+def _require(policy: Policy, attributes: Iterable[str]) -> None:
+    missing = missing_attributes(policy, attributes)
     if missing:
         raise PolicyError(f"policy {policy.name} depends on attributes the table lacks: {', '.join(missing)}")
 
 
 def check_output_names(df: DataFrame, names: Iterable[str]) -> None:
     """Raise when a result would take the name of an attribute."""
-    spark = df.sparkSession
-    taken = {fold(spark, name) for name in df.columns}
-    clashes = sorted(name for name in names if fold(spark, name) in taken)
+    names = list(names)
+    taken = set(folded(df.sparkSession, df.columns))
+    clashes = sorted(name for name, form in zip(names, folded(df.sparkSession, names)) if form in taken)
     if clashes:
         raise PolicyError(f"results and attributes share names: {', '.join(clashes)}")
 
@@ -59,51 +120,73 @@ def _as_result(value: Any, component: str) -> Column:
     raise RuleError(f"component {component} returned {type(value).__name__}, not a Column or a number")
 
 
-def _add_double(df: DataFrame, target: str, value: Column, component: str, null_results: str) -> DataFrame:
-    result_type = df.select(value.alias(target)).schema[target].dataType
-    if not isinstance(result_type, (T.NumericType, T.BooleanType)):
-        raise RuleError(f"component {component} returned {result_type.simpleString()}, not a number")
-    if not isinstance(result_type, T.DoubleType):
-        value = value.cast("double")
-    if null_results == "error":
-        complaint = F.lit(f"component {component} returned no value")
-        value = F.coalesce(value, F.raise_error(complaint).cast("double"))
-    return df.withColumn(target, value)
+def _results_of(component: Component, value: Any, variables: MutableMapping[str, Any]) -> list[tuple[str, Any]]:
+    results = [(component.name, value)]
+    for name in component.extra_outputs:
+        if name not in variables:
+            raise RuleError(f"component {component.name} did not set its extra output {name}")
+        results.append((name, variables[name]))
+    return results
 
 
-def _column_results(
-    df: DataFrame,
-    prefix: str,
-    policy: Policy,
-    attributes: Sequence[str],
-    strict_dependencies: bool,
-    null_results: str,
-) -> DataFrame:
+def _column_steps(prefix: str, policy: Policy, attributes: Sequence[str], strict_dependencies: bool) -> list[_Step]:
+    """Call the column rules in order; needs no DataFrame, as the rules only build expressions."""
     functions = policy.functions
     parameters = policy.parameters
-    every_attribute = _Attributes((name, column(name)) for name in attributes)
+    every_attribute = _Attributes(attributes)
     variables = _Variables()
+    steps: list[_Step] = []
+    again = Counter(name for component in policy.ordered for name in (component.name, *component.extra_outputs))
     for component in policy.ordered:
         seen = every_attribute
         if strict_dependencies:
-            seen = _Attributes((name, column(name)) for name in component.dependencies)
+            seen = _Attributes(component.dependencies)
+        variables.depth = 0
         try:
-            value = functions[component.name](variables, parameters, MappingProxyType(seen))
+            value = functions[component.name](variables, parameters, seen)
         except Exception as error:
             raise RuleError(f"component {component.name} of policy {policy.name}: {error}") from error
-        for name, result in _results_of(component, value, variables):
-            df = _add_double(df, prefix + name, _as_result(result, component.name), component.name, null_results)
-            variables[name] = column(prefix + name)
-    return df
+        results = _results_of(component, value, variables)
+        depth = variables.depth
+        for name, result in results:
+            again[name] -= 1
+            # A result that is computed again later stays apart for the components that read it before.
+            target = f"{REPLACED}{again[name]}_{prefix}{name}" if again[name] else prefix + name
+            steps.append(_Step(component.name, target, _as_result(result, component.name), depth))
+            variables.settle(name, column(target), depth + 1)
+    return steps
 
 
-def _results_of(component: Component, value: Any, variables: dict[str, Any]) -> list[tuple[str, Any]]:
-    results = [(component.name, value)]
-    for name in component.extra_outputs:
-        if name not in variables:
-            raise RuleError(f"component {component.name} did not set its extra output {name}")
-        results.append((name, variables[name]))
-    return results
+def _as_double(step: _Step, result_type: T.DataType, null_results: str) -> Column:
+    if not isinstance(result_type, (T.NumericType, T.BooleanType)):
+        raise RuleError(f"component {step.component} returned {result_type.simpleString()}, not a number")
+    value = step.value if isinstance(result_type, T.DoubleType) else step.value.cast("double")
+    if null_results == "error":
+        complaint = F.lit(f"component {step.component} returned no value")
+        value = F.coalesce(value, F.raise_error(complaint).cast("double"))
+    return value.alias(step.target)
+
+
+def _result_types(df: DataFrame, steps: Sequence[_Step]) -> list[T.DataType]:
+    """The types of some results; an expression that does not resolve is blamed on its component."""
+    try:
+        return [field.dataType for field in df.select(*(step.value for step in steps)).schema]
+    except AnalysisException as error:
+        if len(steps) == 1:
+            raise RuleError(f"component {steps[0].component}: {error}") from error
+        for step in steps:
+            _result_types(df, [step])
+        raise
+
+
+def _column_results(df: DataFrame, steps: Sequence[_Step], null_results: str) -> DataFrame:
+    """Add results depth by depth: as many projections as the longest chain of results, not as components."""
+    for depth in range(max(step.depth for step in steps) + 1):
+        level = [step for step in steps if step.depth == depth]
+        types = _result_types(df, level)
+        df = df.select("*", *(_as_double(step, kind, null_results) for step, kind in zip(level, types)))
+    replaced = [step.target for step in steps if step.target.startswith(REPLACED)]
+    return df.drop(*replaced) if replaced else df
 
 
 def evaluate(
@@ -124,11 +207,17 @@ def evaluate(
         raise ValueError("null_results must be 'error' or 'keep'")
     attributes = list(df.columns if attributes is None else attributes)
     for _, policy in policies:
-        check_dependencies(policy, df.select(*(column(name) for name in attributes)))
+        _require(policy, attributes)
     check_output_names(df, [prefix + name for prefix, policy in policies for name in policy.outputs])
-    for prefix, policy in policies:
-        if policy.kind == COLUMN:
-            df = _column_results(df, prefix, policy, attributes, strict_dependencies, null_results)
+    order = [*df.columns, *(prefix + name for prefix, policy in policies for name in policy.outputs)]
+    steps = [
+        step
+        for prefix, policy in policies
+        if policy.kind == COLUMN
+        for step in _column_steps(prefix, policy, attributes, strict_dependencies)
+    ]
+    if steps:
+        df = _column_results(df, steps, null_results)
     python = [(prefix, policy) for prefix, policy in policies if policy.kind != COLUMN]
     if python:
         df = python_results(
@@ -139,7 +228,7 @@ def evaluate(
             null_results=null_results,
             trust_source=trust_source,
         )
-    return df
+    return df if df.columns == order else df.select(*(column(name) for name in order))
 
 
 def apply_policy(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from levyframe.functions.names import column
-from levyframe.operators.compare import key_report
+from levyframe.operators.compare import key_reports
 from levyframe.storage import stage
 
 ROW_ID = "__row_id"
@@ -34,7 +34,7 @@ def _arranged(df: DataFrame, keys: Sequence[str], order_is_total: bool) -> DataF
     """
     by = [column(name) for name in keys]
     extra: list[str] = []
-    if not order_is_total and key_report(df, keys)[1] > TIES_PER_TASK:
+    if not order_is_total and key_reports({"": df}, keys)[""][1] > TIES_PER_TASK:
         extra = ["__tie"]
         df = stage(df.withColumn("__tie", F.monotonically_increasing_id()), "ties")
         by.append(F.col("__tie"))

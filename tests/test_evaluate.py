@@ -260,6 +260,34 @@ def test_one_name_twice(households):
         assert rows(df.select("c")) == [(10.0,)] * 3
 
 
+def test_readers_of_a_replaced_result_keep_it(households):
+    def twice(v, p, a):
+        return 100.0 if "d" in v else a["x"]
+
+    for kind in ("column", "python"):
+        parts = [
+            Component("c", twice, logical_order=1, kind=kind),
+            Component("d", lambda v, p, a: v["c"] + 1, logical_order=2, kind=kind),
+            Component("c", twice, logical_order=3, kind=kind),
+            Component("e", lambda v, p, a: v["c"] + v["d"], logical_order=4, kind=kind),
+        ]
+        df = apply_policy(households, Policy("p", parts)).where("GIR = 2")
+        assert df.columns[5:] == ["c", "d", "e"]
+        assert rows(df.select("c", "d", "e")) == [(100.0, 21.0, 121.0)]
+
+
+def test_as_many_projections_as_the_longest_chain(spark):
+    """Independent rules of both policies share a projection."""
+    wide = spark.range(3).selectExpr("id * 1.0D AS x")
+    parts = [Component(f"r{i}", lambda v, p, a: a["x"] + 1) for i in range(30)]
+    parts += [Component("sum", lambda v, p, a: sum((v[f"r{i}"] for i in range(30)), F.lit(0.0)), logical_order=1)]
+    df = apply_policy(wide, Policy("p", parts))
+    text = df._jdf.queryExecution().analyzed().toString()
+    calls = [line for line in text.splitlines() if line.strip(" +-:").startswith("Project")]
+    assert len(calls) == 3
+    assert rows(df.select("sum")) == [(30.0,), (60.0,), (90.0,)]
+
+
 def test_extra_outputs(households):
     def rule(v, p, a):
         v["half"] = a["x"] / 2
