@@ -9,9 +9,14 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """``name`` as ``select`` takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column(name: str) -> Column:
-    """The top-level column called exactly ``name``, whatever characters it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """The top-level column called exactly ``name``."""
+    return F.col(quoted(name))
 
 
 def is_case_sensitive(spark: SparkSession) -> bool:

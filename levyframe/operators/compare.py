@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from levyframe.errors import ResultError
-from levyframe.functions.names import column
-from levyframe.operators.evaluate import check_output_names, evaluate
+from levyframe.functions.names import column, quoted
+from levyframe.operators.evaluate import check_free, evaluate
 from levyframe.operators.rules import Policy
 
 BASELINE, VARIANT, DIFF = "baseline_", "variant_", "diff_"
@@ -40,7 +40,7 @@ def compare_policies(
     ``diff_<component>``: variant minus baseline, NULL when the baseline has no such component.  There is
     no join: both results come from the same row.
     """
-    check_output_names(df, [DIFF + name for name in variant.outputs])
+    check_free(df.sparkSession, df.columns, [DIFF + name for name in variant.outputs])
     wide = evaluate(
         df,
         [(BASELINE, baseline), (VARIANT, variant)],
@@ -60,9 +60,9 @@ def compare_policies(
 
 def results_of(wide: DataFrame, which: str, attributes: Sequence[str], names: Sequence[str]) -> DataFrame:
     """One of the three results of ``compare_policies``: the attributes and the plain component names."""
-    check_output_names(wide.select(*(column(name) for name in attributes)), names)
+    check_free(wide.sparkSession, attributes, names)
     return wide.select(
-        *(column(name) for name in attributes), *(column(which + name).alias(name) for name in names)
+        *map(quoted, attributes), *(column(which + name).alias(name) for name in names)
     )
 
 

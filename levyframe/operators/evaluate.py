@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from levyframe.errors import PolicyError, RuleError
-from levyframe.functions.names import column, folded
+from levyframe.functions.names import column, folded, quoted
 from levyframe.operators.evaluate_python import python_results
 from levyframe.operators.rules import COLUMN, Component, Policy
 
@@ -103,11 +103,10 @@ def _require(policy: Policy, attributes: Iterable[str]) -> None:
         raise PolicyError(f"policy {policy.name} depends on attributes the table lacks: {', '.join(missing)}")
 
 
-def check_output_names(df: DataFrame, names: Iterable[str]) -> None:
-    """Raise when a result would take the name of an attribute."""
-    names = list(names)
-    taken = set(folded(df.sparkSession, df.columns))
-    clashes = sorted(name for name, form in zip(names, folded(df.sparkSession, names)) if form in taken)
+def check_free(spark: SparkSession, columns: Iterable[str], names: Sequence[str]) -> None:
+    """Raise when a result would take the name of a column."""
+    taken = set(folded(spark, columns))
+    clashes = sorted(name for name, form in zip(names, folded(spark, names)) if form in taken)
     if clashes:
         raise PolicyError(f"results and attributes share names: {', '.join(clashes)}")
 
@@ -208,7 +207,7 @@ def evaluate(
     attributes = list(df.columns if attributes is None else attributes)
     for _, policy in policies:
         _require(policy, attributes)
-    check_output_names(df, [prefix + name for prefix, policy in policies for name in policy.outputs])
+    check_free(df.sparkSession, df.columns, [prefix + name for prefix, policy in policies for name in policy.outputs])
     order = [*df.columns, *(prefix + name for prefix, policy in policies for name in policy.outputs)]
     steps = [
         step
@@ -228,7 +227,7 @@ def evaluate(
             null_results=null_results,
             trust_source=trust_source,
         )
-    return df if df.columns == order else df.select(*(column(name) for name in order))
+    return df if df.columns == order else df.select(*map(quoted, order))
 
 
 def apply_policy(

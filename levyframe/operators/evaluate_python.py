@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from levyframe.errors import PolicyError, RuleError
-from levyframe.functions.names import column
+from levyframe.functions.names import column, quoted
 from levyframe.operators.rules import Policy
 
 PACKED = "__python_results"
@@ -134,9 +134,9 @@ def python_results(
             yield pa.StructArray.from_arrays(list(columns), names=result_type.names)
 
     # A function of no column would not see the rows; a constant stands in when nothing is needed.
-    arguments = [column(name) for name in names] or [F.lit(True)]
+    arguments = list(map(quoted, names)) or [F.lit(True)]
     packed = df.withColumn(PACKED, evaluate_rows(*arguments))
     return packed.select(
-        *(column(name) for name in df.columns),
+        *map(quoted, df.columns),
         *(column(PACKED)[f"f{i}"].alias(name) for i, name in enumerate(fields)),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levyframe.errors import ResultError
-from levyframe.functions.names import column
+from levyframe.functions.names import column, quoted
 
 INDEX = "Index"
 MAX_COLUMNS = 10_000
@@ -38,7 +38,7 @@ def output_layout(
     df: DataFrame, attributes: Sequence[str], results: Sequence[str], fmt: str, index: str | None = None
 ) -> DataFrame:
     """``df`` with exactly the columns of ``output_columns``, in that order."""
-    return df.select(*(column(name) for name in output_columns(attributes, results, fmt, index)))
+    return df.select(*map(quoted, output_columns(attributes, results, fmt, index)))
 
 
 def result_names(df: DataFrame, results_map: str) -> list[str]:
@@ -59,6 +59,6 @@ def results_to_columns(df: DataFrame, results_map: str, names: Sequence[str] | N
     rest = [name for name in df.columns if name != results_map]
     values = column(results_map)
     return df.select(
-        *(column(name) for name in rest),
+        *map(quoted, rest),
         *(F.try_element_at(values, F.lit(name)).cast("double").alias(name) for name in wanted),
     )

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levyframe.functions.names import column
+from levyframe.errors import TableError
+from levyframe.functions.names import column, quoted
 from levyframe.operators.compare import key_reports
 from levyframe.storage import stage
 
@@ -64,12 +65,14 @@ def with_index(
         staged = stage(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "indexed")
     blocks = [column(part) for part in block] if block else [_task(F.col(ROW_ID))]
     keyed = [part.alias(f"__block_{i}") for i, part in enumerate(blocks)]
-    sizes = (
-        staged.groupBy(*keyed).agg(F.min(ROW_ID).alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    sizes = staged.groupBy(*keyed).agg(
+        F.min(ROW_ID).alias("__first"), F.max(ROW_ID).alias("__last"), F.count(F.lit(1)).alias("__rows")
     )
     keys = [f"__block_{i}" for i in range(len(blocks))]
     starts, total = [], 0
     for row in sorted(sizes.collect(), key=lambda row: tuple(row[key] for key in keys)):
+        if row["__last"] - row["__first"] + 1 != row["__rows"]:
+            raise TableError("the rows of a block are not together; number them before anything shuffles them")
         starts.append((*(row[key] for key in keys), total - row["__first"] + 1))
         total += row["__rows"]
     schema = T.StructType([sizes.schema[key] for key in keys] + [T.StructField("__start", T.LongType())])
@@ -78,7 +81,7 @@ def with_index(
         offsets = F.broadcast(offsets)
     placed = staged.select("*", *keyed).join(offsets, keys)
     kept = [part for part in df.columns if part not in (block or ())]
-    return placed.select((F.col(ROW_ID) + F.col("__start")).alias(name), *(column(part) for part in kept))
+    return placed.select((F.col(ROW_ID) + F.col("__start")).alias(name), *map(quoted, kept))
 
 
 def with_rank(df: DataFrame, group: Sequence[str], order_by: Sequence[str], name: str = "rank") -> DataFrame:
@@ -107,5 +110,5 @@ def with_rank(df: DataFrame, group: Sequence[str], order_by: Sequence[str], name
         same = same & F.col(key).eqNullSafe(F.col(f"__piece{key}"))
     ranked = tagged.join(pieces, same)
     return ranked.select(
-        *(column(part) for part in df.columns), (F.col(ROW_ID) + F.col("__start")).alias(name)
+        *map(quoted, df.columns), (F.col(ROW_ID) + F.col("__start")).alias(name)
     )

@@ -12,7 +12,7 @@ from levyframe.operators.compare import BASELINE, DIFF, VARIANT, compare_policie
 from levyframe.operators.evaluate import apply_policy
 from levyframe.operators.layout import INDEX
 from levyframe.operators.ordering import with_index
-from levyframe.operators.rules import COLUMN, Policy
+from levyframe.operators.rules import Policy
 from levyframe.sources.delimited import POSITIONS
 from levyframe.sources.households import read_households, result_path, write_result
 from levyframe.sources.policy_files import load_policy
@@ -38,8 +38,8 @@ def run_scenario(
     """Read, check, evaluate, compare and write; returns the path of each result written.
 
     Policies are ``Policy`` objects or ``.toml`` files, whose Python source runs only with
-    ``trust_source=True``.  Results that are written more than once, or that need row positions, are staged
-    first: each rule runs once per row however many results are written.
+    ``trust_source=True``.  Results of which several are written, or that need row positions, are staged
+    first: the input is read and each rule runs once per row, and a rule that fails leaves no result behind.
     """
     positions = list(POSITIONS) if fmt == "csv" else []
     options = {**read_options, "positions": True} if fmt == "csv" else read_options
@@ -61,7 +61,7 @@ def run_scenario(
             raise TableError(f"{INDEX} is the name of the position column")
         wide = with_index(wide, block=positions, name=INDEX)
         kept = [INDEX, *attributes]
-    elif second is not None and COLUMN not in (first.kind, second.kind):
+    elif second is not None:
         wide = stage(wide, "scenario")
     written = {}
     for which, names in outputs.items():

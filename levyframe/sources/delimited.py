@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from levyframe.errors import TableError
 from levyframe.functions.cells import checked_cast
-from levyframe.functions.names import case_clashes, column
+from levyframe.functions.names import case_clashes, column, quoted
 from levyframe.operators.checks import apply_types, first_type_mismatch, resolve_types, unsupported_columns
 from levyframe.operators.ordering import with_index
 
@@ -118,7 +118,7 @@ def read_delimited(
     if wrong:
         raise TableError(f"columns of an unsupported type: {', '.join(wrong)}")
     typed = [checked_cast(column(f.name), f.dataType, f.name, promote_int).alias(f.name) for f in schema]
-    return cells.select(*typed, *(column(name) for name in cells.columns if name not in names))
+    return cells.select(*typed, *(quoted(name) for name in cells.columns if name not in names))
 
 
 def locate_type_fault(

@@ -5,7 +5,7 @@ from conftest import rows
 
 from levyframe import POSITIONS, output_columns, output_layout, read_delimited, results_to_columns, with_index, with_rank
 from levyframe import storage
-from levyframe.errors import ResultError
+from levyframe.errors import ResultError, TableError
 from levyframe.operators import layout, ordering
 from levyframe.sources import result_path
 
@@ -106,6 +106,12 @@ def test_index_follows_files_and_offsets(spark, write, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_blocks_must_be_together(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS b", "id").repartition(4)
+    with pytest.raises(TableError, match="not together"):
+        with_index(df, block=["b"])
+
+
 def test_rank_within_groups(spark):
     data = [(g, i) for g in ("a", "b", None) for i in range(40)]
     df = spark.createDataFrame(data, "g string, i int").repartition(4)
