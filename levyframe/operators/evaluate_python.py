@@ -21,6 +21,9 @@ from levyframe.operators.rules import Policy
 
 PACKED = "__python_results"
 
+# A component: its name, its function, and what cuts a row to the attributes it may see (None: it sees all).
+_Call = tuple[str, Callable[..., Any], Callable[[tuple[Any, ...]], Mapping[str, Any]] | None]
+
 
 class _Rules:
     """What a worker needs of one policy: functions, parameters and the names to give back."""
@@ -36,7 +39,8 @@ class _Rules:
             (c.name, frozenset(c.dependencies) if strict_dependencies else None) for c in policy.ordered
         ]
 
-    def bind(self) -> list[tuple[str, Callable[..., Any], frozenset[str] | None]]:
+    def bind(self, names: Sequence[str]) -> list[_Call]:
+        """The functions in order, each with what cuts a row of ``names`` to the attributes it may see."""
         functions = dict(self.given)
         if self.source:
             module: dict[str, Any] = {"__name__": f"policy {self.policy}"}
@@ -47,12 +51,24 @@ class _Rules:
         for name, _ in self.steps:
             if name not in functions:
                 raise RuleError(f"policy {self.policy} defines no function {name}")
-        return [(name, functions[name], visible) for name, visible in self.steps]
+        return [(name, functions[name], _cut(visible, names)) for name, visible in self.steps]
+
+
+def _cut(visible: frozenset[str] | None, names: Sequence[str]) -> Callable[[tuple[Any, ...]], Mapping[str, Any]] | None:
+    """None when a component sees all attributes of the row."""
+    if visible is None or visible.issuperset(names):
+        return None
+    places = [(name, at) for at, name in enumerate(names) if name in visible]
+    return lambda row: MappingProxyType({name: row[at] for name, at in places})
+
+
+def _numbers(values: list[Any], component: str, null_results: str) -> pa.Array:
+    if set(map(type, values)) != {float}:
+        values = [_number(value, component, null_results) for value in values]
+    return pa.array(values, pa.float64())
 
 
 def _number(value: Any, component: str, null_results: str) -> float | None:
-    if type(value) is float:
-        return value
     if value is None and null_results == "keep":
         return None
     kind = type(value)
@@ -74,24 +90,21 @@ def _plain_values(array: pa.Array) -> list[Any]:
 def _evaluate_batch(
     rows: Iterator[tuple[Any, ...]],
     names: Sequence[str],
-    bound: list[tuple[list[tuple[str, Callable[..., Any], frozenset[str] | None]], Mapping[str, float]]],
-) -> Iterator[list[dict[str, Any]]]:
-    """For each row the variables of each policy."""
+    policies: list[tuple[list[_Call], Mapping[str, float], list[tuple[str, list[Any]]]]],
+) -> None:
+    """Call every component for every row; its results go to the lists that come with each policy."""
     for row in rows:
         attributes = MappingProxyType(dict(zip(names, row)))
-        results = []
-        for steps, parameters in bound:
+        for calls, parameters, results in policies:
             variables: dict[str, Any] = {}
-            for name, function, visible in steps:
-                seen = attributes
-                if visible is not None:
-                    seen = MappingProxyType({key: attributes[key] for key in visible})
+            for name, function, cut in calls:
+                seen = attributes if cut is None else cut(row)
                 try:
                     variables[name] = function(variables, parameters, seen)
                 except Exception as error:
                     raise RuleError(f"component {name}: {type(error).__name__}: {error}") from error
-            results.append(variables)
-        yield results
+            for name, values in results:
+                values.append(variables.get(name))
 
 
 def python_results(
@@ -120,18 +133,14 @@ def python_results(
 
     @F.arrow_udf(result_type)
     def evaluate_rows(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        bound = [(rule.bind(), MappingProxyType(rule.parameters)) for rule in rules]
-        places = [(which, name) for which, rule in enumerate(rules) for name in rule.outputs]
+        bound = [(rule.bind(names), MappingProxyType(rule.parameters), rule.outputs) for rule in rules]
         for arrays in batches:
             if isinstance(arrays, pa.Array):  # a single argument comes without its tuple
                 arrays = (arrays,)
-            rows = zip(*(_plain_values(array) for array in arrays))
-            variables = list(_evaluate_batch(rows, names, bound))
-            columns = (
-                pa.array([_number(row[which].get(name), name, null_results) for row in variables], pa.float64())
-                for which, name in places
-            )
-            yield pa.StructArray.from_arrays(list(columns), names=result_type.names)
+            work = [(calls, parameters, [(name, []) for name in outputs]) for calls, parameters, outputs in bound]
+            _evaluate_batch(zip(*(_plain_values(array) for array in arrays)), names, work)
+            columns = [_numbers(values, name, null_results) for _, _, results in work for name, values in results]
+            yield pa.StructArray.from_arrays(columns, names=result_type.names)
 
     # A function of no column would not see the rows; a constant stands in when nothing is needed.
     arguments = list(map(quoted, names)) or [F.lit(True)]
