@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levyframe.functions.cells import KIND_NAMES, cell_kind
+from levyframe.functions.cells import cell_kind
 from levyframe.operators import checks, policy_tables
 from levyframe.operators.compare import DIFF, compare_policies, diff_results, difference_results
 from levyframe.operators.evaluate import apply_policy

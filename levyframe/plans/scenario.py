@@ -45,8 +45,6 @@ def run_scenario(
     options = {**read_options, "positions": True} if fmt == "csv" else read_options
     table = read_households(spark, households, fmt, **options)
     attributes = [name for name in table.columns if name not in positions]
-    if table.isEmpty():
-        raise TableError("the table has no row")
     first = _policy(spark, baseline, functions)
     second = None if variant is None else _policy(spark, variant, functions)
     if second is None:
@@ -63,6 +61,8 @@ def run_scenario(
         kept = [INDEX, *attributes]
     elif second is not None:
         wide = stage(wide, "scenario")
+    if wide.isEmpty():
+        raise TableError("the table has no row")
     written = {}
     for which, names in outputs.items():
         word = RESULT_WORDS[which]

@@ -105,15 +105,18 @@ class _Reader(DataSourceReader):
         self.schema = schema
         self.allow_nulls = options.get("nulls", "error").lower() == "allow"
         self.split_bytes = int(options.get("splitbytes", DEFAULT_SPLIT_BYTES))
+        self.parallelism = int(options.get("parallelism", 1))
 
     def partitions(self) -> Sequence[InputPartition]:
-        """Tasks of about ``splitBytes``, in file order.
+        """Tasks of about ``splitBytes``, or less where that keeps ``parallelism`` tasks busy, in file order.
 
         Small files share a task and are not opened here.  Only the footer of a file larger than one split
         is read, to cut it by record batch; that happens in parallel.
         """
         files, found = _arrow_files(self.path)
-        large = [entry.path for entry in found if entry.size > self.split_bytes]
+        total = sum(entry.size + FILE_OPEN_BYTES for entry in found)
+        split_bytes = min(self.split_bytes, max(FILE_OPEN_BYTES, total // self.parallelism))
+        large = [entry.path for entry in found if entry.size > split_bytes]
         with ThreadPoolExecutor(DRIVER_THREADS) as pool:
             batches = dict(zip(large, pool.map(lambda place: _batch_count(files, place), large)))
         tasks: list[InputPartition] = []
@@ -121,7 +124,7 @@ class _Reader(DataSourceReader):
         filled = 0
         for entry in found:
             size = entry.size + FILE_OPEN_BYTES
-            if open_task and (entry.path in batches or filled + size > self.split_bytes):
+            if open_task and (entry.path in batches or filled + size > split_bytes):
                 tasks.append(_Pieces(open_task))
                 open_task, filled = [], 0
             if entry.path not in batches:
@@ -129,7 +132,7 @@ class _Reader(DataSourceReader):
                 filled += size
                 continue
             count = batches[entry.path]
-            per_task = max(1, int(count * self.split_bytes // entry.size))
+            per_task = max(1, int(count * split_bytes // entry.size))
             for first in range(0, count, per_task):
                 tasks.append(_Pieces([_Piece(entry.path, first, min(first + per_task, count) - 1)]))
         if open_task:
@@ -241,7 +244,8 @@ class ArrowIpcDataSource(DataSource):
     """int32, float64 and text columns in Arrow files.
 
     Reading takes all record batches of all files.  Options: ``nulls`` = ``error`` (default) or ``allow``;
-    ``splitBytes``, the size a reading task aims at.  Writing makes one file per task.
+    ``splitBytes``, the size a reading task aims at; ``parallelism``, the number of tasks to keep busy when
+    there is less to read.  Writing makes one file per task.
     """
 
     @classmethod

@@ -25,7 +25,19 @@ def read_households(spark: SparkSession, path: str, fmt: str, **options: object)
         return read_delimited(spark, path, **options)
     check_suffix(path, ARROW_SUFFIX)
     register(spark)
-    return spark.read.format("arrow_ipc").options(**options).load(path)
+    # The sizes Spark uses for its own file sources.
+    sizes = {
+        "splitBytes": _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")),
+        "parallelism": spark.sparkContext.defaultParallelism,
+    }
+    return spark.read.format("arrow_ipc").options(**{**sizes, **options}).load(path)
+
+
+def _bytes(size: str) -> int:
+    """The number in a size setting such as 134217728b, 128m or 1gb."""
+    number = size.lower().rstrip("b")
+    unit = "kmgtp".find(number[-1]) + 1
+    return int(number[:-1] if unit else number) * 1024**unit
 
 
 def write_arrow_ipc(df: DataFrame, path: str, overwrite: bool = False) -> None:

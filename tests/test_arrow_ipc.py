@@ -6,6 +6,7 @@ from conftest import rows
 
 from levyframe import null_cells, read_households, register, with_index, write_arrow_ipc
 from levyframe.errors import TableError
+from levyframe.sources.households import _bytes
 
 SCHEMA = pa.schema([("Age", pa.int32()), ("Revenu", pa.float64()), ("Type", pa.string())])
 
@@ -40,10 +41,17 @@ def test_small_files_share_a_task(spark, tmp_path):
     for i in range(6):
         write_file(folder / f"part-{i}.arrow", [([i], [float(i)], ["x"])])
     (folder / "_SUCCESS").write_text("")
-    df = read_households(spark, str(folder), "arrow")
+    assert read_households(spark, str(folder), "arrow").rdd.getNumPartitions() == 6
+    df = read_households(spark, str(folder), "arrow", parallelism="1")
     assert df.rdd.getNumPartitions() == 1
     assert [r["Index"] for r in with_index(df).orderBy("Age").collect()] == [1, 2, 3, 4, 5, 6]
-    assert read_households(spark, str(folder), "arrow", splitBytes=str(9 * 1024 * 1024)).rdd.getNumPartitions() == 3
+    sizes = {"splitBytes": str(9 * 1024 * 1024), "parallelism": "1"}
+    assert read_households(spark, str(folder), "arrow", **sizes).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize(("text", "number"), [("134217728b", 1 << 27), ("128m", 1 << 27), ("1gb", 1 << 30), ("17", 17)])
+def test_size_settings(text, number):
+    assert _bytes(text) == number
 
 
 def test_missing_value_is_an_error_with_its_place(spark, tmp_path):

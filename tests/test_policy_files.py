@@ -67,7 +67,7 @@ def test_valid_document():
     ("text", "reason"),
     [
         ('intitule_long = "x"\n' + NOTIF, "missing keys: name"),
-        (HEAD + NOTIF.replace("[[composante]]", "[[komposante]]").replace("[composante.", "[komposante."), "missing keys: composante"),
+        (HEAD + NOTIF.replace("[composante", "[komposante"), "missing keys: composante"),
         (HEAD + NOTIF + CONS.replace("[[composante]]", "[[komposante]]"), "unknown keys: komposante"),
         (HEAD + "composante = []", "no component"),
         (HEAD + 'composante = "x"', "composante is not a list of tables"),

@@ -82,4 +82,12 @@ def test_faulty_runs(spark, write, tmp_path):
         run_scenario(spark, write("i.csv", CSV.replace("z\n", "Index\n", 1)), "csv", policy, folder=out, trust_source=True)
     with pytest.raises(LevyError, match="trust_source"):
         run_scenario(spark, write("h.csv", CSV), "csv", policy, folder=out)
+    with pytest.raises(LevyError, match="no row"):
+        run_scenario(spark, write("n.csv", CSV.split("\n")[0] + "\n"), "csv", policy, folder=out, trust_source=True)
+    empty = str(tmp_path / "n.arrow")
+    write_arrow_ipc(spark.range(0).selectExpr("cast(id AS int) n"), empty)
+    one = Policy("p", [Component("c", lambda v, p, a: 1)])
+    for variant in (None, one):
+        with pytest.raises(LevyError, match="no row"):
+            run_scenario(spark, empty, "arrow", one, variant, folder=out)
     assert not (tmp_path / "out").exists()
