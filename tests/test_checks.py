@@ -105,6 +105,11 @@ def test_attribute_gaps(spark):
     assert rows(attribute_gaps(df, "e", "a")) == brute_force_gaps(EAV) == [(1, "Logenment"), (2, "Logement")]
 
 
+def test_attribute_gaps_aggregate_fixed_width_rows(spark):
+    text = plan(attribute_gaps(spark.createDataFrame(EAV, "e int, a string"), "e", "a"))
+    assert "partial_bit_or" in text and "ObjectHashAggregate" not in text and "SortAggregate" not in text
+
+
 @pytest.mark.parametrize("limit", [1, 2, 3])
 def test_attribute_gaps_over_many_words_or_buckets(spark, monkeypatch, limit):
     random.seed(5)

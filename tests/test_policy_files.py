@@ -170,6 +170,15 @@ def test_last_parameter_wins(spark, write, orders, k):
     assert load_policy(spark, write("p.toml", document(*orders))).parameters == found
 
 
+def test_merge_combines_before_the_shuffle(spark):
+    """A hot policy is reduced to one row per name in each task."""
+    pairs = spark.range(1000).selectExpr("'hot' AS policy", "concat('n', id % 3) AS name", "id * 1.0D AS value", "id AS at")
+    merged = merged_parameters(pairs, ["policy"], "name", "value", ["at"])
+    assert rows(merged) == [("hot", "n0", 999.0), ("hot", "n1", 997.0), ("hot", "n2", 998.0)]
+    text = plan(merged)
+    assert text.index("partial_max_by") > text.index("Exchange hashpartitioning")
+
+
 def test_dependencies(spark):
     df = components(parsed(spark, 1, 2, 3))
     assert rows(dependency_set(df, ["policy"])) == [("p", n) for n in ("a1", "b1", "c1", "shared")]
