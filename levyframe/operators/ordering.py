@@ -84,14 +84,23 @@ def with_index(
     return placed.select((F.col(ROW_ID) + F.col("__start")).alias(name), *map(quoted, kept))
 
 
-def with_rank(df: DataFrame, group: Sequence[str], order_by: Sequence[str], name: str = "rank") -> DataFrame:
-    """Add the position 1..k of each row within its group; (group, order_by) must be unique.
+def with_rank(
+    df: DataFrame,
+    group: Sequence[str],
+    order_by: Sequence[str],
+    name: str = "rank",
+    *,
+    order_is_total: bool = False,
+) -> DataFrame:
+    """Add the position 1..k of each row within its group; rows equal in ``order_by`` follow in any order.
+
+    ``order_is_total`` says that (group, order_by) is unique, which saves looking for hot ties.
 
     The table is range-partitioned by group and order, so a large group is cut over many tasks.  A row's
     rank is its position among the rows of its group in its task plus the rows of the group in earlier
     tasks; those pieces are joined back on (task, group), keys that hold at most one task's rows.
     """
-    staged = _arranged(df, [*group, *order_by], order_is_total=True)
+    staged = _arranged(df, [*group, *order_by], order_is_total)
     groups = [column(part).alias(f"__group_{i}") for i, part in enumerate(group)]
     keys = [f"__group_{i}" for i in range(len(group))]
     tagged = staged.select("*", _task(F.col(ROW_ID)).alias("__task"), *groups)

@@ -64,7 +64,7 @@ def components(documents: DataFrame) -> DataFrame:
 def ordered_components(df: DataFrame, policy: Sequence[str], order: str, position: str) -> DataFrame:
     """Rank components by logical order within their policy, ties by position, for any component table.
 
-    ``position`` is unique within a policy.  A policy may hold any share of the rows (see ``with_rank``).
+    ``position`` should be unique within a policy.  A policy may hold any share of the rows (see ``with_rank``).
     """
     return with_rank(df, policy, [order, position])
 

@@ -118,6 +118,20 @@ def test_rank_within_groups(spark):
     assert rows(with_rank(df, ["g"], ["i"])) == sorted([(g, i, i + 1) for g, i in data], key=repr)
 
 
+@pytest.mark.parametrize("ties_per_task", [10, 1_000_000])
+def test_rank_with_hot_ties(spark, monkeypatch, ties_per_task):
+    monkeypatch.setattr(ordering, "TIES_PER_TASK", ties_per_task)
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, 'hot', 'b') AS g", "id % 2 AS o", "id AS v").repartition(5)
+    ranked = with_rank(df, ["g"], ["o"])
+    assert ranked.columns == ["g", "o", "v", "rank"]
+    found = ranked.collect()
+    assert sorted(r["v"] for r in found) == list(range(6000))
+    for group, size in (("hot", 2000), ("b", 4000)):
+        members = sorted((r["rank"], r["o"]) for r in found if r["g"] == group)
+        assert [rank for rank, _ in members] == list(range(1, size + 1))
+        assert [o for _, o in members] == sorted(o for _, o in members)
+
+
 def test_positions_use_no_global_window(spark):
     from conftest import plan
 
