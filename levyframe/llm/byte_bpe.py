@@ -1,9 +1,14 @@
 """Byte-level BPE encoding and decoding with a rank queue under a hierarchical bitmap.
 
-Every pre-token is merged by always taking the pair of the lowest rank, leftmost first.  Waiting pairs stand in one
-bucket per rank; a bitmap of 64-bit words, with a word above each 64 words, tells which buckets are not empty, so the
-next rank is found by a few find-first-set steps however long the pre-token is.  An entry whose pair has changed since
-it was queued is stale and skipped.  A pre-token of n bytes takes O(n log n) steps and O(n) memory.
+Every pre-token is merged by always taking its pair of the lowest rank, leftmost first.  Waiting pairs stand in one
+bucket per rank, as positions in a linked list of tokens; a bitmap of 64-bit words, with a word above each 64 words,
+tells which buckets are not empty, so find-first-set gives the next rank in a few steps.  An entry whose pair has
+changed since it was queued is stale and skipped.  One queue serves many pre-tokens at a time: they do not touch each
+other, so a popped bucket is merged as one array, in all of them at once.  A pre-token of n bytes takes O(n log n) steps
+and O(n) memory, however long it is.
+
+What stands between two single blanks always falls into the same pre-tokens, so its ids are remembered; a text with a
+blank beside other white space is cut by the pattern as a whole.
 
 Rows are encoded where they are read: no shuffle.  The vocabulary is a table of fixed size that travels as a broadcast.
 
@@ -16,41 +21,40 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PIECES_KEPT = 1 << 17
-_LONG_PIECE = 64
-_LONG_TEXT = 1 << 20
+_KEPT = 1 << 19  # chunks and pre-tokens remembered by a task
+_LONG = 64  # longer ones are not remembered
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the smallest rank's smallest position."""
+    """Arrays of positions by rank; ``pop`` gives the smallest rank that has any, and its positions."""
 
     def __init__(self, ranks: int):
-        self._levels = []
+        self._levels: list[list[int]] = []
         while True:
             ranks = (ranks + 63) >> 6
             self._levels.append([0] * max(ranks, 1))
             if ranks <= 1:
                 break
-        self._buckets: dict[int, list[int]] = {}
+        self._buckets: dict[int, list[np.ndarray]] = {}
 
     def __bool__(self) -> bool:
         return bool(self._buckets)
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, positions: np.ndarray) -> None:
         bucket = self._buckets.get(rank)
         if bucket is not None:
-            heappush(bucket, position)
+            bucket.append(positions)
             return
-        self._buckets[rank] = [position]
+        self._buckets[rank] = [positions]
         for level in self._levels:
             word, bit = rank >> 6, 1 << (rank & 63)
             if level[word] & bit:
@@ -58,22 +62,41 @@ class RankQueue:
             level[word] |= bit
             rank = word
 
-    def pop(self) -> tuple[int, int]:
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        starts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        for rank, start, end in zip(ranks[starts].tolist(), starts, [*starts[1:], len(ranks)], strict=True):
+            self.push(rank, positions[start:end])
+
+    def pop(self) -> tuple[int, np.ndarray]:
         rank = 0
         for level in reversed(self._levels):
             word = level[rank]
             rank = (rank << 6) + (word & -word).bit_length() - 1
-        bucket = self._buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self._buckets[rank]
-            index = rank
-            for level in self._levels:
-                level[index >> 6] &= ~(1 << (index & 63))
-                if level[index >> 6]:
-                    break
-                index >>= 6
-        return rank, position
+        index = rank
+        for level in self._levels:
+            level[index >> 6] &= ~(1 << (index & 63))
+            if level[index >> 6]:
+                break
+            index >>= 6
+        bucket = self._buckets.pop(rank)
+        return rank, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+
+
+class Strings:
+    """Byte strings by number, joined by gathering their bytes."""
+
+    def __init__(self, strings: list[bytes]):
+        self._lengths = np.array([len(x) for x in strings], np.int64)
+        self._starts = np.cumsum(self._lengths) - self._lengths
+        self._data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        lengths = self._lengths[numbers]
+        ends = np.cumsum(lengths)
+        shift = self._starts[numbers] - (ends - lengths)
+        return self._data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, lengths)].tobytes()
 
 
 class ByteBpe:
@@ -83,68 +106,156 @@ class ByteBpe:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self._size = max(ranks.values(), default=-1) + 1
-        self._pattern = regex.compile(pattern)
-        self._known: dict[str, list[int]] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        end = list(range(1, n + 1))  # of the token that starts here
-        before = list(range(-1, n - 1))
-        waiting = [-1] * n  # rank of the pair of this token and the next, -1: none or token gone
+        self._cut = regex.compile(pattern).findall
+        self._bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left * self._size + right] = rank
+        self._pairs = np.array(sorted(pairs), np.int64)
+        self._merged = np.array([pairs[p] for p in self._pairs.tolist()], np.int64)
+        self._bytes_of_ids = Strings([self.tokens.get(i, b"") for i in range(self._size)])
+        self._decimals = Strings([b"%d " % i for i in range(self._size)])
+        self._pieces: dict[str, bytes] = {}
+        self._chunks: dict[str, bytes] = {}
+        self._unsafe: set[str] = set()
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, -1 where a pair is no token; a token of -1 makes no pair."""
+        if not len(self._pairs):
+            return np.full(len(left), -1, np.int64)
+        key = left * self._size + right
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where((self._pairs[at] == key) & (left >= 0) & (right >= 0), self._merged[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as 4-byte integers; one that is a token itself is not merged."""
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = [k for k, rank in enumerate(whole) if rank is None and pieces[k]]
+        out = [b"" if rank is None else rank.to_bytes(4, "little") for rank in whole]
+        for k, ids in zip(rest, self._merge([pieces[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)
+        ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+        token = np.append(self._bytes[data], -1)  # the last is a place beside the list
+        following = np.minimum(np.arange(1, n + 2), n)
+        before = np.arange(-1, n)
+        following[ends - 1] = n
+        before[ends[:-1]] = n
+        before[0] = n
+        piece = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0))
+        waiting = self._rank(token[:-1], token[following[:-1]])
+        waiting = np.append(waiting, -1)
         queue = RankQueue(self._size)
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                waiting[i] = rank
-                queue.push(rank, i)
+        first = np.flatnonzero(waiting >= 0)
+        queue.push_all(waiting[first], first)
         while queue:
-            rank, i = queue.pop()
-            if waiting[i] != rank:
+            rank, at = queue.pop()
+            at = at[waiting[at] == rank]
+            if not len(at):
                 continue
-            gone = end[i]
-            stop = end[i] = end[gone]
-            waiting[gone] = -1
-            if stop < n:
-                before[stop] = i
-            for left in (i, before[i]):
-                if left >= 0:
-                    middle = end[left]
-                    pair = ranks.get(piece[left : end[middle]]) if middle < n else None
-                    waiting[left] = -1 if pair is None else pair
-                    if pair is not None:
-                        queue.push(pair, left)
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return ids
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self._known.get(piece)
-        if ids is None:
-            ids = self.merge(piece.encode())
-            if len(piece) <= _LONG_PIECE:
-                if len(self._known) >= _PIECES_KEPT:
-                    self._known.clear()
-                self._known[piece] = ids
-        return ids
+            at = np.sort(at)
+            # of pairs that overlap in a row, every second one
+            row = np.ones(len(at), bool)
+            row[1:] = following[at[:-1]] != at[1:]
+            start = np.maximum.accumulate(np.where(row, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+            first = np.ones(len(at), bool)  # in its pre-token
+            first[1:] = piece[at[1:]] != piece[at[:-1]]
+            while True:
+                gone = following[at]
+                after = following[gone]
+                was = token[at], token[gone], waiting[gone]
+                token[at] = rank
+                token[gone] = waiting[gone] = -1
+                following[at] = after
+                before[after] = at
+                changed = np.concatenate([at, before[at]])
+                changed.sort()
+                changed = changed[np.diff(changed, prepend=-1) > 0]
+                now = self._rank(token[changed], token[following[changed]])
+                good = now >= 0
+                if first.all() or not (now[good] <= rank).any():
+                    break
+                # a new pair goes before the others of this rank: undo, and take each pre-token's first alone
+                token[at], token[gone], waiting[gone] = was
+                following[at] = gone
+                before[after] = gone
+                queue.push(rank, at[~first])
+                at = at[first]
+                first = first[first]
+            waiting[changed] = now
+            waiting[n] = -1
+            if good.any():
+                queue.push_all(now[good], changed[good])
+        alive = token[:-1] >= 0
+        ids = token[:-1][alive].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(alive)[ends - 1]).tolist()
+        return [ids[start:stop] for start, stop in zip([0, *stops], stops)]
+
+    def _split(self, text: str) -> tuple[list[str], list[str]]:
+        """The pre-tokens before a text's first blank, and the chunks after blanks; all pre-tokens and no chunk if a
+        blank stands beside other white space, as the text must be cut as a whole then."""
+        head, *chunks = text.split(" ")
+        if chunks and head[-1:].isspace() or not self._unsafe.isdisjoint(chunks):
+            return self._cut(text), []
+        return self._cut(head), chunks
+
+    def _learn(self, texts: list[str]) -> None:
+        """Cut what is new in the texts, and merge all new pre-tokens together."""
+        if len(self._chunks) > _KEPT:
+            self._chunks.clear()
+        if len(self._pieces) > _KEPT:
+            self._pieces.clear()
+        known, pieces = self._chunks, self._pieces
+        new: set[str] = set()
+        for text in texts:
+            new.update(set(text.split(" ")[1:]).difference(known))
+        # letters alone are one pre-token
+        cut = {c: (" " + c,) for c in new if c.isalpha()}
+        new.difference_update(cut)
+        self._unsafe = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
+        cut.update((c, self._cut(" " + c)) for c in new - self._unsafe)
+        wanted = set(chain.from_iterable(cut.values()))
+        for text in texts:
+            wanted.update(self._split(text)[0])
+        fresh = list(wanted.difference(pieces))
+        pieces.update(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True))
+        ids = pieces.__getitem__
+        known.update((c, ids(parts[0]) if len(parts) == 1 else b"".join(map(ids, parts))) for c, parts in cut.items())
+        self._passing = [c for c in cut if len(c) > _LONG], [p for p in fresh if len(p) > _LONG]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; memory grows with the texts given at a time."""
+        self._learn([t or "" for t in texts])
+        known, pieces = self._chunks, self._pieces
+        for text in texts:
+            parts, chunks = self._split(text or "")
+            ids = b"".join(chain(map(pieces.__getitem__, parts), map(known.__getitem__, chunks)))
+            yield np.frombuffer(ids, "<u4")
+        for c in self._passing[0]:
+            known.pop(c, None)
+        for p in self._passing[1]:
+            pieces.pop(p, None)
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if len(text) <= _LONG_TEXT:
-            pieces: Iterable[str] = self._pattern.findall(text)
-        else:
-            pieces = (m.group() for m in self._pattern.finditer(text))
-        return list(chain.from_iterable(map(self._piece, pieces)))
+        (ids,) = self.encode_all([text])
+        return ids.tolist()
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: Iterable[int] | np.ndarray) -> bytes:
+        return self._bytes_of_ids.joined(np.asarray(ids, np.int64))
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """Decimal ids, joined by one blank."""
+        return self._decimals.joined(ids)[:-1]
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -158,8 +269,16 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 def _coder(spark: SparkSession, path: str, pattern: str):
-    shared = spark.sparkContext.broadcast((read_ranks(spark, path), pattern))
-    return lambda: ByteBpe(*shared.value)
+    shared = spark.sparkContext.broadcast({"ranks": read_ranks(spark, path)})
+
+    def make() -> ByteBpe:
+        # what a worker has learnt stays with its copy of the vocabulary, for its next task
+        kept = shared.value
+        if "coder" not in kept:
+            kept["coder"] = ByteBpe(kept["ranks"], pattern)
+        return kept["coder"]
+
+    return make
 
 
 def _appended(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
@@ -176,7 +295,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make()
         for batch in batches:
-            new = pa.array([coder.encode(t) for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
+            new = pa.array(list(coder.encode_all(batch.column(text).to_pylist())), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, ids])
 
     return df.mapInArrow(run, _appended(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -189,7 +308,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make()
         for batch in batches:
-            new = pa.array([coder.decode(x or ()) for x in batch.column(ids).to_pylist()], pa.binary())
+            new = pa.array([coder.decode(x or []) for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, data])
 
     return df.mapInArrow(run, _appended(df, [T.StructField(data, T.BinaryType())]))
@@ -210,13 +329,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make()
-        written = {i: str(i) for i in coder.tokens}
         for batch in batches:
             counts, shas, decoded = [], [], []
-            for value in batch.column(text).to_pylist():
-                ids = coder.encode(value)
+            for ids in coder.encode_all(batch.column(text).to_pylist()):
                 counts.append(len(ids))
-                shas.append(sha256(" ".join(map(written.__getitem__, ids)).encode()).hexdigest())
+                shas.append(sha256(coder.written(ids)).hexdigest())
                 decoded.append(sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array(shas), pa.array(decoded)],
