@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from levyframe.llm.candidate_lists import POSTING, apart, nearest, shared_rows
 from levyframe.llm.components import components
 from levyframe.llm.text import SHINGLE_WORDS, WordHashes, digest64, shingles, utf8
 from levyframe.storage import stage
@@ -142,66 +143,15 @@ def _keyed(size: int):
     return run
 
 
-_SHARED = "token long, n int, pos int, key long"
+def _close(percent: int):
+    """Whether sizes and positions of one common shingle leave room for a link."""
 
+    def fits(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+        best = np.minimum(pos, other) + np.minimum(n - pos, m - other)
+        length = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        return length & ((100 + percent) * best >= percent * (n + m))
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, n, key): one of each key, and no token that only one key has."""
-    names = ["token", "n", "pos", "key"]
-    held = [np.empty(0, np.int64)] * 4  # the last row, whose follower is not known yet
-    before = False  # whether the held row has a predecessor of its token
-    for batch in batches:
-        rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
-        token, key = rows[0], rows[3]
-        if not len(token):
-            continue
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        rows = [r[new] for r in rows]
-        token = rows[0]
-        alike = np.zeros(len(token) + 1, bool)
-        alike[1:-1] = token[1:] == token[:-1]
-        alike[0] = before
-        keep = (alike[:-1] | alike[1:])[:-1]
-        before = bool(alike[len(token) - 1])
-        held = [r[-1:] for r in rows]
-        if keep.any():
-            out = [pa.array(r[:-1][keep], t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(out, names)
-    if before:
-        out = [pa.array(r, t) for r, t in zip(held, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-        yield pa.RecordBatch.from_arrays(out, names)
-
-
-def _neighbours(percent: int):
-    """Of rows sorted by (token, n, key): each row with the nearest row before it of its token and another component,
-    where the sizes and positions leave room for a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "n", "pos", "key", "component"]
-        last = np.empty((5, 0), np.int64)  # the row before this batch
-        outside = np.full((5, 1), -1, np.int64)  # the nearest row before that row that is of another component
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
-            told = last.shape[1]  # rows of the batch before
-            rows = np.concatenate([last, rows], axis=1)
-            token, component = rows[0], rows[4]
-            starts = np.ones(rows.shape[1], bool)
-            starts[1:] = (token[1:] != token[:-1]) | (component[1:] != component[:-1])
-            run_start = np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))
-            other = np.concatenate([outside, rows], axis=1)[:, run_start]  # the row before the run's first
-            last, outside = rows[:, -1:], other[:, -1:]
-            fits = (other[0] == token) & (np.arange(len(token)) >= told)
-            n, m = rows[1], other[1]
-            fits &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            best = 1 + np.minimum(rows[2], other[2]) + np.minimum(n - rows[2], m - other[2]) - 1
-            fits &= (100 + percent) * best >= percent * (n + m)
-            if fits.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows[3][fits]), pa.array(other[3][fits])], ["x", "y"])
-
-    return run
+    return fits
 
 
 def _verifier(size: int, percent: int):
@@ -242,9 +192,9 @@ class NgramJoin:
         level = _frequencies(measured.where("block is not null").select("block", "salt", "counts"))
         frequencies = spark.sparkContext.broadcast(level)
         named = docs.where("doc_id is not null and text is not null")
-        postings = named.select("text").mapInArrow(_prefixes(size, percent, frequencies), _SHARED)
+        postings = named.select("text").mapInArrow(_prefixes(size, percent, frequencies), POSTING)
         ordered = postings.repartition("token").sortWithinPartitions("token", "n", "key")
-        self.postings = stage(ordered.mapInArrow(_shared, _SHARED), "postings")
+        self.postings = stage(ordered.mapInArrow(shared_rows, POSTING), "postings")
         self.classes = stage(
             self.measured.where("doc_id is not null and key is not null")
             .groupBy("key")
@@ -265,21 +215,6 @@ class NgramJoin:
         )
         return joined.mapInArrow(_verifier(self.size, self.percent), "x long, y long").distinct()
 
-    def _with_components(self, found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return self.postings.withColumn("component", F.col("key"))
-        known = found.select(F.col("node").alias("key"), "root")
-        joined = self.postings.join(known, "key", "left")
-        return joined.select("token", "n", "pos", "key", F.coalesce("root", "key").alias("component"))
-
-    def _apart(self, found: DataFrame | None) -> DataFrame:
-        """Postings of the shingles that more than one component has."""
-        rows = self._with_components(found)
-        if found is None:
-            return rows
-        ends = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return rows.join(ends.where("low < high").select("token"), "token", "left_semi")
-
     def _suffix_filtered(self, pairs: DataFrame) -> DataFrame:
         """Pairs of which the histograms allow the overlap."""
         one = self.classes.select(F.col("key").alias("x"), F.col("n").alias("x_n"), F.col("ranges").alias("x_ranges"))
@@ -290,14 +225,11 @@ class NgramJoin:
 
     def _nearest(self, found: DataFrame | None) -> DataFrame:
         """At most one candidate for each class, outside its component."""
-        ordered = self._apart(found).repartition("token").sortWithinPartitions("token", "n", "key")
-        near = ordered.mapInArrow(_neighbours(self.percent), "x long, y long")
-        often = near.groupBy("x", "y").agg(F.count("*").alias("times"))
-        return often.groupBy("x").agg(F.max_by("y", "times").alias("y"))
+        return nearest(apart(self.postings, found), _close(self.percent))
 
     def _candidates(self, found: DataFrame | None) -> DataFrame:
         """Every pair of classes of two components that the filters leave."""
-        rows = stage(self._apart(found), "apart")
+        rows = stage(apart(self.postings, found), "apart")
         p = self.percent
         a, b = rows.alias("a"), rows.alias("b")
         smaller = F.expr("a.n < b.n or a.n = b.n and a.key < b.key")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from levyframe.llm import byte_bpe, fingerprints, licenses, ngram_join, sharding
+from levyframe.llm import byte_bpe, fingerprints, licenses, line_dedup, ngram_join, sharding
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -24,6 +25,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.with_kept_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_lines", "n_removed", digest)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -40,6 +47,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_license_scan": op2_license_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_shards": op7_shards,
     "op10_fingerprints": op10_fingerprints,
