@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levyframe.llm import byte_bpe, fingerprints, licenses, line_dedup, ngram_join, sharding, toxicity
+from levyframe.llm import byte_bpe, fingerprints, licenses, line_dedup, mixture, neighbours, ngram_join, sharding, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.Mixture(_documents(spark, sf_dir)).documents()
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -44,6 +48,11 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_documents(spark, sf_dir))
 
@@ -53,8 +62,10 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_mixture": op5_mixture,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_shards": op7_shards,
+    "op9_neighbours": op9_neighbours,
     "op10_fingerprints": op10_fingerprints,
 }
 LLM_ORACLES: dict[str, str] = {}
