@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levyframe.llm import byte_bpe, fingerprints, licenses, line_dedup, mixture, neighbours, ngram_join, sharding, toxicity
+from levyframe.llm import byte_bpe, fingerprints, licenses, line_dedup, mixture, neighbours, ngram_join, repeated_spans, sharding, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -48,6 +48,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.span_digests(repeated_spans.repeated_spans(_documents(spark, sf_dir)))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
@@ -65,6 +69,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixture": op5_mixture,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_shards": op7_shards,
+    "op8_repeated_spans": op8_repeated_spans,
     "op9_neighbours": op9_neighbours,
     "op10_fingerprints": op10_fingerprints,
 }
