@@ -288,6 +288,12 @@ def _appended(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     return T.StructType(df.schema.fields + fields)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int64).astype(np.int32)
+    values = np.concatenate([*rows, np.empty(0, "<u4")]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``df`` and the ids of each whole text as ``array<int>``."""
     make = _coder(df.sparkSession, path, pattern)
@@ -295,7 +301,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make()
         for batch in batches:
-            new = pa.array(list(coder.encode_all(batch.column(text).to_pylist())), pa.list_(pa.int32()))
+            new = _lists(list(coder.encode_all(batch.column(text).to_pylist())))
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, ids])
 
     return df.mapInArrow(run, _appended(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -314,6 +320,26 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str =
     return df.mapInArrow(run, _appended(df, [T.StructField(data, T.BinaryType())]))
 
 
+def tokenized(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """All columns of ``df`` but the text, with ``ids`` and ``n_tokens``; fails where the ids don't decode to the text."""
+    make = _coder(df.sparkSession, path, pattern)
+    kept = [c for c in df.columns if c != text]
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = make()
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            ids = list(coder.encode_all(texts))
+            for one, value in zip(ids, texts, strict=True):
+                if coder.decode(one) != (value or "").encode():
+                    raise ValueError("ids do not decode to their text")
+            counts = pa.array([len(one) for one in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(ids), counts], [*kept, "ids", "n_tokens"])
+
+    return df.mapInArrow(run, _appended(df.select(*(F.col(f"`{c}`") for c in kept)), new))
+
+
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Encode and decode in one pass; instead of the text, the count of ids and digests of the ids and decoded bytes."""
     make = _coder(df.sparkSession, path, pattern)
