@@ -63,6 +63,8 @@ class RankQueue:
             rank = word
 
     def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        if not len(ranks):
+            return
         order = np.argsort(ranks, kind="stable")
         ranks, positions = ranks[order], positions[order]
         starts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()

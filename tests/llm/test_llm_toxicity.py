@@ -1,0 +1,50 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+from corpora import empty, odd, table
+
+from levyframe.llm import toxicity
+from levyframe.llm.queries import LLM_QUERIES
+
+
+def test_risk_stays_above_zero_and_separates():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(20, 400, 30)) for _ in range(3000)]
+    toxic = rng.random(3000) < 0.2
+    rows = [np.append(rng.integers(0, 20, 3), r).astype(np.int32) if t else r.astype(np.int32) for r, t in zip(rows, toxic, strict=True)]
+    confirmed = [r for r, t in zip(rows[:1500], toxic[:1500], strict=True) if t]
+    weights, bias = toxicity.fit(confirmed, rows[:1500], 0.2, 400)
+    scores = np.array([weights[r].sum() for r in rows[1500:]]) + bias
+    assert scores[toxic[1500:]].min() > np.quantile(scores[~toxic[1500:]], 0.99)
+    assert toxicity.fit([], rows, 0.2, 400)[1] < 0
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = LLM_QUERIES["op4_toxicity"](spark, folder).collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    judged = [(r.score, r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    hits = sum(p and y for _, p, y in judged)
+    assert hits / sum(p for _, p, _ in judged) > 0.85 and hits / sum(y for _, _, y in judged) > 0.75
+
+
+def test_held_out_labels_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = table(spark), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = [{r.doc_id: r.score for r in toxicity.toxicity(docs, x).collect()} for x in (labels, turned)]
+    assert scores[0] == scores[1]
+
+
+def test_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (7, 0), (9, 1), (None, 1), (11, None)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(odd(spark), labels).collect()
+    assert len(rows) == 15 and all(0 <= r.score <= 1 for r in rows) and not any(r.held_out for r in rows if r.doc_id is None)
+    none = labels.where("toxic = 0")
+    assert {r.predicted for r in toxicity.toxicity(odd(spark), none).collect()} == {0}
+    assert toxicity.toxicity(empty(spark), labels).count() == 0
+    assert toxicity.without_toxic(odd(spark), none).columns == odd(spark).columns
