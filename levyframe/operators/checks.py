@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from levyframe.errors import ResultError, TableError
-from levyframe.functions.cells import FLOAT, INTEGER, KIND_NAMES, KIND_TYPES, TEXT, cast_cell, cell_kind
+from levyframe.functions.cells import FLOAT, INTEGER, KIND_NAMES, KIND_TYPES, TEXT, cell_kind, checked_cast
 from levyframe.functions.names import column
 
 SUPPORTED_TYPES = (T.IntegerType, T.DoubleType, T.StringType)
 MIXED = "mixed"
-BITS = 62  # names per integer of the bit sets in attribute_gaps
-MAX_WORDS = 16  # beyond 16 * 62 names the sets are kept as names, in buckets of about 10,000
-ATTRIBUTES_PER_BUCKET = 10_000
 
 
 def _columns(df: DataFrame, leave_out: Sequence[str]) -> list[str]:
@@ -67,11 +64,14 @@ def resolve_types(df: DataFrame, promote_int: bool = False, leave_out: Sequence[
     return {name: KIND_TYPES[codes[found[name]]] for name in names}
 
 
-def apply_types(df: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
-    """Cast text columns to types that ``resolve_types`` found; an empty cell is the text ''."""
+def apply_types(df: DataFrame, types: Mapping[str, T.DataType], promote_int: bool = True) -> DataFrame:
+    """Cast text columns to types that ``resolve_types`` found; an empty cell is the text ''.
+
+    A cell that no longer fits, as the text has changed since, stops the query.
+    """
     return df.select(
         *(
-            cast_cell(column(name), types[name]).alias(name) if name in types else column(name)
+            checked_cast(column(name), types[name], name, promote_int).alias(name) if name in types else column(name)
             for name in df.columns
         )
     )
@@ -155,65 +155,45 @@ def check_table(df: DataFrame) -> DataFrame:
     return df
 
 
-def attribute_gaps(eav: DataFrame, entity: str, attribute: str) -> DataFrame:
+def attribute_gaps(
+    eav: DataFrame, entity: str, attribute: str, *, names_per_bucket: int = 1000, salts: int = 32
+) -> DataFrame:
     """Attributes that some entity lacks although another has them: rows (entity, attribute).
 
-    ``eav`` holds one row per (entity, attribute), repeats allowed.  What an entity has becomes bits of a
-    few integers, so the aggregate over the whole table keeps a fixed-width buffer per entity and a hot
-    entity is combined before the shuffle.
+    ``eav`` holds one row per (entity, attribute), repeats allowed; a NULL entity is an entity.  Entities that have as
+    many attributes as there are drop out by their count.  The names are dealt into buckets of about
+    ``names_per_bucket``, and only buckets an entity lacks something of meet the names; each bucket's names are
+    repeated ``salts`` times, over which its entities are spread.  The driver sees the number of names.
     """
-    have = eav.select(column(entity).alias("e"), column(attribute).alias("a")).where("a IS NOT NULL")
-    distinct = have.select("a").distinct()
-    names = [row["a"] for row in distinct.limit(MAX_WORDS * BITS + 1).collect()]
-    if len(names) > MAX_WORDS * BITS:
-        gaps = _gaps_by_bucket(have, distinct)
-    else:
-        gaps = _gaps_by_bits(have, sorted(names))
-    return gaps.select(F.col("e").alias(entity), F.col("a").alias(attribute))
-
-
-def _gaps_by_bits(have: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Gaps when the names fit into ``MAX_WORDS`` integers; the broadcast table has one row per name."""
-    places = [(name, at // BITS, at % BITS) for at, name in enumerate(names)]
-    places_type = "array<struct<a: string, word: int, bit: int>>"
-    table = have.sparkSession.createDataFrame(places, "a string, word int, bit int")
-    words = max(1, -(-len(names) // BITS))
-    found = have.join(F.broadcast(table), "a")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    held = found.groupBy("e").agg(
-        *(F.bit_or(F.when(F.col("word") == word, bit).otherwise(F.lit(0))).alias(f"w{word}") for word in range(words))
-    )
-    every = F.array(
-        *(F.struct(F.lit(a).alias("a"), F.lit(word).alias("word"), F.lit(at).alias("bit")) for a, word, at in places)
-    ).cast(places_type)
-    word_array = F.array(*(F.col(f"w{word}") for word in range(words)))
-    lacking = F.filter(
-        every, lambda one: F.call_function("getbit", F.get(word_array, one["word"]), one["bit"]) == 0
+    have = eav.select(column(entity).alias("e"), column(attribute).alias("a")).where("a IS NOT NULL").distinct()
+    names = have.select("a").distinct()
+    total = names.count()
+    buckets = -(-total // names_per_bucket)
+    bucket = F.pmod(F.xxhash64("a"), F.lit(max(buckets, 1))).cast("int").alias("b")
+    expected = names.groupBy(bucket).agg(F.collect_set("a").alias("expected"))
+    counted = have.groupBy("e", bucket).agg(F.count(F.lit(1)).alias("n"), F.collect_set("a").alias("names"))
+    lacking = counted.groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") < total).select(F.col("e").alias("le"))
+    asked = lacking.withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(max(buckets, 1) - 1))))
+    same = F.col("le").eqNullSafe(F.col("e")) & (F.col("lb") == F.col("b"))
+    held = asked.join(counted, same, "left").select("le", "lb", F.coalesce("n", F.lit(0)).alias("n"), "names")
+    sizes = expected.select(
+        F.col("b").alias("eb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "expected"
     )
-    complete = F.lit(True)
-    for word in range(words):
-        size = min(BITS, len(names) - word * BITS)
-        complete = complete & (F.col(f"w{word}") == (1 << size) - 1)
-    return held.where(~complete).select("e", F.explode(lacking).alias("gap")).select("e", "gap.a")
-
-
-def _gaps_by_bucket(have: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Gaps for any number of names: sets of names, spread over buckets so that none grows without bound."""
-    buckets = -(-distinct.count() // ATTRIBUTES_PER_BUCKET)
-    bucket = F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int").alias("b")
-    expected = distinct.groupBy(bucket).agg(F.collect_set("a").alias("expected"))
-    held = have.groupBy("e", bucket).agg(F.collect_set("a").alias("names"))
-    asked = have.select("e").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    salt = F.pmod(F.xxhash64("le"), F.lit(salts)).cast("int")
+    met = held.withColumn("hs", salt).join(sizes, (F.col("lb") == F.col("eb")) & (F.col("hs") == F.col("salt")))
     none = F.array().cast("array<string>")
-    lacking = F.array_except("expected", F.coalesce(F.col("names"), none))
-    compared = asked.join(held, ["e", "b"], "left").join(expected, "b")
-    return compared.select("e", F.explode(lacking).alias("a"))
+    gaps = F.array_except("expected", F.coalesce(F.col("names"), none))
+    return met.where(F.col("n") < F.size("expected")).select(
+        F.col("le").alias(entity), F.explode(gaps).alias(attribute)
+    )
 
 
 def missing_results(results: DataFrame, results_map: str, index: str, names: Sequence[str]) -> DataFrame:
-    """Expected result names absent from a row's name-to-value map: rows (index, name)."""
+    """Expected result names absent from a row's name-to-value map: rows (index, name); a NULL map has none."""
     expected = F.array(*(F.lit(name) for name in names))
-    lacking = F.array_except(expected, F.map_keys(column(results_map)))
+    lacking = F.array_except(
+        expected, F.coalesce(F.map_keys(column(results_map)), F.array().cast("array<string>"))
+    )
     return results.select(column(index), F.explode(lacking).alias("name"))
 
 

@@ -91,18 +91,64 @@ def key_reports(tables: Mapping[str, DataFrame], key: Sequence[str]) -> dict[str
 
 
 def diff_results(
-    baseline: DataFrame, variant: DataFrame, key: str | Sequence[str], *, check_rows: bool = True
+    baseline: DataFrame,
+    variant: DataFrame,
+    key: str | Sequence[str],
+    *,
+    check_rows: bool = True,
+    bucketed: bool = False,
 ) -> DataFrame:
     """Variant minus baseline for two stored result tables that share a unique key.
 
-    Every column other than the key is a result.  The key is proven unique on both sides first, so the join
-    keeps exactly the variant's rows and no key can be hot; the tables must have equally many rows.
+    Every column other than the key is a result.  A key that is NULL or occurs twice on one side stops the query, and
+    so does, unless ``check_rows`` is False, a key that only one side has; without that check the variant's keys count.
+
+    Both tables are tagged and grouped by the key in one shuffle, combined before it, so no key is hot and nothing is
+    joined.  ``bucketed`` is for tables bucketed by the key: keys are then checked in a job of their own, reading key
+    columns only, and the tables are joined without a shuffle; for it, only the numbers of rows must agree.
     """
     key = [key] if isinstance(key, str) else list(key)
     for side, table in (("baseline", baseline), ("variant", variant)):
         wrong = [f.name for f in table.schema if f.name not in key and not isinstance(f.dataType, T.NumericType)]
         if wrong:
             raise ResultError(f"{side} results: columns that are not numbers: {', '.join(wrong)}")
+    if bucketed:
+        return _joined(baseline, variant, key, check_rows)
+    names = [name for name in variant.columns if name not in key]
+    shared = [name for name in names if name in baseline.columns]
+    base_kinds = {f.name: f.dataType for f in baseline.schema}
+    kinds = {f.name: f.dataType for f in variant.schema}
+    parts = []
+    for side, table in enumerate((baseline, variant)):
+        columns = [column(name).alias(f"k{i}") for i, name in enumerate(key)]
+        columns += [F.lit(1 - side).alias("in_baseline"), F.lit(side).alias("in_variant")]
+        for i, name in enumerate(names):
+            columns.append((column(name) if side else F.lit(None).cast(kinds[name])).alias(f"v{i}"))
+            if name in shared:
+                columns.append((F.lit(None).cast(base_kinds[name]) if side else column(name)).alias(f"b{i}"))
+        parts.append(table.select(*columns))
+    keys = [f"k{i}" for i in range(len(key))]
+    values = [name for name in parts[0].columns if name not in keys and not name.startswith("in_")]
+    met = parts[0].unionByName(parts[1]).groupBy(*keys).agg(
+        F.sum("in_baseline").alias("in_baseline"), F.sum("in_variant").alias("in_variant"), *(F.max(v).alias(v) for v in values)
+    )
+    named = ", ".join(key)
+    shown = F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))
+    fault = F.when(reduce(or_, (F.col(k).isNull() for k in keys)), F.lit(f"key ({named}) is NULL in some row"))
+    for side in ("baseline", "variant"):
+        times = F.col(f"in_{side}")
+        many = F.concat(F.lit(f"{side} results: key ({named}) occurs "), times.cast("string"), F.lit(" times: "), shown)
+        fault = fault.when(times > 1, many)
+        if check_rows:
+            fault = fault.when(times == 0, F.concat(F.lit(f"{side} results lack the key ({named}): "), shown))
+    sound = F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.col("in_variant") > 0)
+    return met.where(sound).select(
+        *(F.col(k).alias(name) for k, name in zip(keys, key, strict=True)),
+        *(_difference(name, shared, F.col(f"b{i}"), F.col(f"v{i}")).alias(name) for i, name in enumerate(names)),
+    )
+
+
+def _joined(baseline: DataFrame, variant: DataFrame, key: list[str], check_rows: bool) -> DataFrame:
     reports = key_reports({"baseline": baseline, "variant": variant}, key)
     for side, (_, largest, has_null) in reports.items():
         if has_null:

@@ -1,7 +1,8 @@
 """Ordered rule evaluation: every component becomes one double column of the same row.
 
-Nothing here shuffles.  Column rules are projections inside whole-stage code generation; Python rules of all
-policies together are one Arrow function per row (see ``evaluate_python``).
+Nothing here shuffles.  Column rules are projections inside whole-stage code generation; Python and vector
+rules of all policies together are one Arrow function (see ``evaluate_python``); a policy of several kinds has one step
+for each run of components of one kind.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from levyframe.errors import PolicyError, RuleError
 from levyframe.functions.names import column, folded, quoted
 from levyframe.operators.evaluate_python import python_results
-from levyframe.operators.rules import COLUMN, Component, Policy
+from levyframe.operators.rules import COLUMN, MIXED, PYTHON, VECTOR, Component, Policy
 
 REPLACED = "__replaced_"
 
@@ -53,6 +54,7 @@ class _Variables(MutableMapping[str, Any]):
         self.values_by_name: dict[str, Any] = {}
         self.depths: dict[str, int] = {}
         self.depth = 0
+        self.set_here: set[str] = set()
 
     def __getitem__(self, name: str) -> Any:
         if name not in self.values_by_name:
@@ -62,6 +64,7 @@ class _Variables(MutableMapping[str, Any]):
 
     def __setitem__(self, name: str, value: Any) -> None:
         self.settle(name, value, self.depth)
+        self.set_here.add(name)
 
     def __delitem__(self, name: str) -> None:
         del self.values_by_name[name], self.depths[name]
@@ -128,12 +131,19 @@ def _results_of(component: Component, value: Any, variables: MutableMapping[str,
     return results
 
 
-def _column_steps(prefix: str, policy: Policy, attributes: Sequence[str], strict_dependencies: bool) -> list[_Step]:
-    """Call the column rules in order; needs no DataFrame, as the rules only build expressions."""
+def _column_steps(
+    prefix: str, policy: Policy, attributes: Sequence[str], strict_dependencies: bool, given: Sequence[str] = ()
+) -> list[_Step]:
+    """Call the column rules in order; needs no DataFrame, as the rules only build expressions.
+
+    ``given`` names results that are columns already.
+    """
     functions = policy.functions
     parameters = policy.parameters
     every_attribute = _Attributes(attributes)
     variables = _Variables()
+    for name in given:
+        variables.settle(name, column(prefix + name), 0)
     steps: list[_Step] = []
     again = Counter(name for component in policy.ordered for name in (component.name, *component.extra_outputs))
     for component in policy.ordered:
@@ -141,10 +151,14 @@ def _column_steps(prefix: str, policy: Policy, attributes: Sequence[str], strict
         if strict_dependencies:
             seen = _Attributes(component.dependencies)
         variables.depth = 0
+        variables.set_here = set()
         try:
             value = functions[component.name](variables, parameters, seen)
         except Exception as error:
             raise RuleError(f"component {component.name} of policy {policy.name}: {error}") from error
+        undeclared = sorted(variables.set_here - {component.name, *component.extra_outputs})
+        if undeclared:
+            raise RuleError(f"component {component.name} set undeclared results: {', '.join(undeclared)}")
         results = _results_of(component, value, variables)
         depth = variables.depth
         for name, result in results:
@@ -217,16 +231,22 @@ def evaluate(
     ]
     if steps:
         df = _column_results(df, steps, null_results)
-    python = [(prefix, policy) for prefix, policy in policies if policy.kind != COLUMN]
+    options = {
+        "strict_dependencies": strict_dependencies, "null_results": null_results, "trust_source": trust_source
+    }
+    python = [(prefix, policy) for prefix, policy in policies if policy.kind in (PYTHON, VECTOR)]
     if python:
-        df = python_results(
-            df,
-            python,
-            attributes,
-            strict_dependencies=strict_dependencies,
-            null_results=null_results,
-            trust_source=trust_source,
-        )
+        df = python_results(df, python, attributes, **options)
+    for prefix, policy in policies:
+        if policy.kind == MIXED:
+            given: list[str] = []
+            for part in policy.parts:
+                if part.kind == COLUMN:
+                    steps = _column_steps(prefix, part, attributes, strict_dependencies, given)
+                    df = _column_results(df, steps, null_results)
+                else:
+                    df = python_results(df, [(prefix, part)], attributes, given=given, **options)
+                given += part.outputs
     return df if df.columns == order else df.select(*map(quoted, order))
 
 

@@ -1,4 +1,4 @@
-"""Python rules: one Arrow function evaluates every component of every policy for each row.
+"""Python and vector rules: one Arrow function evaluates every component of every policy, for each row or each batch.
 
 It must be one function: with a chain of dependent Python columns Spark would evaluate the head of the chain
 again for each of them.
@@ -6,10 +6,11 @@ again for each of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from types import MappingProxyType
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,13 @@ from pyspark.sql import types as T
 
 from levyframe.errors import PolicyError, RuleError
 from levyframe.functions.names import column, quoted
-from levyframe.operators.rules import Policy
+from levyframe.operators.rules import VECTOR, Policy
 
 PACKED = "__python_results"
 
-# A component: its name, its function, and what cuts a row to the attributes it may see (None: it sees all).
-_Call = tuple[str, Callable[..., Any], Callable[[tuple[Any, ...]], Mapping[str, Any]] | None]
+# A component: its name, its function, what cuts a row to the attributes it may see (None: it sees all), and how many
+# results there are after it.
+_Call = tuple[str, Callable[..., Any], Callable[[tuple[Any, ...]], Mapping[str, Any]] | None, int]
 
 
 class _Rules:
@@ -30,6 +32,7 @@ class _Rules:
 
     def __init__(self, prefix: str, policy: Policy, strict_dependencies: bool) -> None:
         self.policy = policy.name
+        self.vector = policy.kind == VECTOR
         self.parameters = dict(policy.parameters)
         self.outputs = policy.outputs
         self.fields = [prefix + name for name in policy.outputs]
@@ -38,6 +41,8 @@ class _Rules:
         self.steps = [
             (c.name, frozenset(c.dependencies) if strict_dependencies else None) for c in policy.ordered
         ]
+        declared: set[str] = set()
+        self.counts = [len(declared := declared | {c.name, *c.extra_outputs}) for c in policy.ordered]
 
     def bind(self, names: Sequence[str]) -> list[_Call]:
         """The functions in order, each with what cuts a row of ``names`` to the attributes it may see."""
@@ -51,7 +56,10 @@ class _Rules:
         for name, _ in self.steps:
             if name not in functions:
                 raise RuleError(f"policy {self.policy} defines no function {name}")
-        return [(name, functions[name], _cut(visible, names)) for name, visible in self.steps]
+        return [
+            (name, functions[name], _cut(visible, names), count)
+            for (name, visible), count in zip(self.steps, self.counts)
+        ]
 
 
 def _cut(visible: frozenset[str] | None, names: Sequence[str]) -> Callable[[tuple[Any, ...]], Mapping[str, Any]] | None:
@@ -87,22 +95,57 @@ def _plain_values(array: pa.Array) -> list[Any]:
     return array.to_pylist()
 
 
+def _vector(array: pa.Array) -> np.ndarray:
+    """The NumPy array of a column; integers with NULL become floats with NaN, other NULLs None."""
+    return array.to_numpy(zero_copy_only=False)
+
+
+def _vector_numbers(value: Any, rows: int, component: str, null_results: str) -> pa.Array:
+    if isinstance(value, (pa.Array, pa.ChunkedArray)):
+        value = value.to_numpy(zero_copy_only=False) if isinstance(value, pa.Array) else value.to_numpy()
+    found = np.asarray(value)
+    if found.ndim == 0:
+        return _numbers([found.item()] * rows, component, null_results)
+    if found.shape != (rows,):
+        raise RuleError(f"component {component} returned {found.shape} values for {rows} rows")
+    if found.dtype.kind in "biuf":
+        return pa.array(found.astype(np.float64), pa.float64())
+    return _numbers(found.tolist(), component, null_results)
+
+
+def _refuse_undeclared(component: str, variables: Mapping[str, Any], known: set[str]) -> None:
+    undeclared = sorted(set(variables) - known)
+    if undeclared:
+        raise RuleError(f"component {component} set undeclared results: {', '.join(undeclared)}")
+
+
 def _evaluate_batch(
-    rows: Iterator[tuple[Any, ...]],
+    rows: Iterable[tuple[Any, ...]],
     names: Sequence[str],
+    given: Sequence[str],
     policies: list[tuple[list[_Call], Mapping[str, float], list[tuple[str, list[Any]]]]],
 ) -> None:
-    """Call every component for every row; its results go to the lists that come with each policy."""
+    """Call every component for every row; its results go to the lists that come with each policy.
+
+    A row holds the values of ``names`` and then of ``given``, earlier results.  For vector rules the "row" is one of
+    whole arrays.
+    """
+    known = [{*given, *(name for name, _ in results)} for _, _, results in policies]
     for row in rows:
         attributes = MappingProxyType(dict(zip(names, row)))
-        for calls, parameters, results in policies:
-            variables: dict[str, Any] = {}
-            for name, function, cut in calls:
+        earlier = dict(zip(given, row[len(names) :]))
+        for (calls, parameters, results), allowed in zip(policies, known):
+            variables: dict[str, Any] = dict(earlier)
+            for name, function, cut, count in calls:
                 seen = attributes if cut is None else cut(row)
                 try:
                     variables[name] = function(variables, parameters, seen)
                 except Exception as error:
                     raise RuleError(f"component {name}: {type(error).__name__}: {error}") from error
+                if len(variables) > count + len(earlier):
+                    _refuse_undeclared(name, variables, allowed)
+            if len(variables) != len(allowed):
+                _refuse_undeclared(calls[-1][0], variables, allowed)
             for name, values in results:
                 values.append(variables.get(name))
 
@@ -115,8 +158,12 @@ def python_results(
     strict_dependencies: bool,
     null_results: str,
     trust_source: bool,
+    given: Sequence[str] = (),
 ) -> DataFrame:
-    """Add the results of Python policies as double columns, all from one call per row."""
+    """Add the results of Python and vector policies as double columns, from one call per component and row or batch.
+
+    ``given`` names earlier results, columns already, that a single policy goes on from.
+    """
     for _, policy in policies:
         untrusted = [c.name for c in policy.components if c.function is None]
         if untrusted and not trust_source:
@@ -137,15 +184,28 @@ def python_results(
         for arrays in batches:
             if isinstance(arrays, pa.Array):  # a single argument comes without its tuple
                 arrays = (arrays,)
-            work = [(calls, parameters, [(name, []) for name in outputs]) for calls, parameters, outputs in bound]
-            _evaluate_batch(zip(*(_plain_values(array) for array in arrays)), names, work)
-            columns = [_numbers(values, name, null_results) for _, _, results in work for name, values in results]
+            size = len(arrays[0])
+            columns: list[pa.Array] = []
+            work = [[(calls, parameters, [(name, []) for name in outputs])] for calls, parameters, outputs in bound]
+            by_row = [one for rule, (one,) in zip(rules, work) if not rule.vector]
+            if by_row:
+                _evaluate_batch(zip(*(_plain_values(array) for array in arrays)), names, given, by_row)
+            whole = [one for rule, (one,) in zip(rules, work) if rule.vector]
+            if whole:
+                _evaluate_batch([tuple(map(_vector, arrays))], names, given, whole)
+            for rule, ((_, _, results),) in zip(rules, work):
+                for name, values in results:
+                    if rule.vector:
+                        columns.append(_vector_numbers(values[0], size, name, null_results))
+                    else:
+                        columns.append(_numbers(values, name, null_results))
             yield pa.StructArray.from_arrays(columns, names=result_type.names)
 
     # A function of no column would not see the rows; a constant stands in when nothing is needed.
-    arguments = list(map(quoted, names)) or [F.lit(True)]
+    earlier = [policies[0][0] + name for name in given]
+    arguments = list(map(quoted, [*names, *earlier])) or [F.lit(True)]
     packed = df.withColumn(PACKED, evaluate_rows(*arguments))
-    return packed.select(
-        *map(quoted, df.columns),
-        *(column(PACKED)[f"f{i}"].alias(name) for i, name in enumerate(fields)),
-    )
+    # Unpacked by a generator: filters on results stay above it, so that the function runs once per row whatever is
+    # asked of its results; filters on attributes and column pruning pass it.
+    unpacked = packed.select(*map(quoted, df.columns), F.inline(F.array(column(PACKED))))
+    return unpacked.toDF(*df.columns, *fields)

@@ -11,7 +11,6 @@ from levyframe.errors import ResultError
 from levyframe.functions.names import column, quoted
 
 INDEX = "Index"
-MAX_COLUMNS = 10_000
 
 
 def output_columns(attributes: Sequence[str], results: Sequence[str], fmt: str, index: str | None = None) -> list[str]:
@@ -41,24 +40,19 @@ def output_layout(
     return df.select(*map(quoted, output_columns(attributes, results, fmt, index)))
 
 
-def result_names(df: DataFrame, results_map: str) -> list[str]:
-    """All names that occur in a map column, sorted; they become columns, so there can only be so many."""
-    keys = df.select(F.explode(F.map_keys(column(results_map))).alias("name")).distinct()
-    names = [row["name"] for row in keys.limit(MAX_COLUMNS + 1).collect()]
-    if len(names) > MAX_COLUMNS:
-        raise ResultError(f"more than {MAX_COLUMNS} result names; they cannot all become columns")
-    return sorted(names)
+def result_names(df: DataFrame, results_map: str) -> DataFrame:
+    """All names that occur in a map column: rows (name)."""
+    return df.select(F.explode(F.map_keys(column(results_map))).alias("name")).distinct()
 
 
-def results_to_columns(df: DataFrame, results_map: str, names: Sequence[str] | None = None) -> DataFrame:
+def results_to_columns(df: DataFrame, results_map: str, names: Sequence[str]) -> DataFrame:
     """Replace a name-to-value map by one double column per name, sorted; NULL where a row lacks the name.
 
-    Without ``names`` they are collected in one extra pass over the map's keys.
+    ``names`` are known from the policy, or from ``result_names``.
     """
-    wanted = sorted(names) if names is not None else result_names(df, results_map)
     rest = [name for name in df.columns if name != results_map]
     values = column(results_map)
     return df.select(
         *map(quoted, rest),
-        *(F.try_element_at(values, F.lit(name)).cast("double").alias(name) for name in wanted),
+        *(F.try_element_at(values, F.lit(name)).cast("double").alias(name) for name in sorted(names)),
     )

@@ -14,13 +14,11 @@ from pyspark.sql import types as T
 
 from levyframe.errors import TableError
 from levyframe.functions.names import column, quoted
-from levyframe.operators.compare import key_reports
 from levyframe.storage import stage
 
 ROW_ID = "__row_id"
 TASK_BITS = 33  # monotonically_increasing_id: task number above bit 33, position in the task below
-TIES_PER_TASK = 1_000_000
-BROADCAST_ROWS = 1_000_000
+GROUP_TASKS = 1000
 
 
 def _task(row_id: Column) -> Column:
@@ -30,16 +28,16 @@ def _task(row_id: Column) -> Column:
 def _arranged(df: DataFrame, keys: Sequence[str], order_is_total: bool) -> DataFrame:
     """``df`` staged in the order of ``keys`` with row ids that follow it.
 
-    Range partitioning puts equal keys into one task.  Where many rows share one key, their position in a
-    first staged copy breaks the tie, so that they spread over tasks as well.
+    The table is staged once, so that what it comes from runs once, and the copy is range-partitioned.  Unless the
+    keys are said to be unique, a row's place in the first copy breaks ties, so that rows of one key spread over tasks.
     """
     by = [column(name) for name in keys]
-    extra: list[str] = []
-    if not order_is_total and key_reports({"": df}, keys)[""][1] > TIES_PER_TASK:
-        extra = ["__tie"]
-        df = stage(df.withColumn("__tie", F.monotonically_increasing_id()), "ties")
+    if order_is_total:
+        first = stage(df, "given")
+    else:
+        first = stage(df.withColumn("__tie", F.monotonically_increasing_id()), "given")
         by.append(F.col("__tie"))
-    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).drop(*extra)
+    ordered = first.repartitionByRange(*by).sortWithinPartitions(*by).drop("__tie")
     return stage(ordered.withColumn(ROW_ID, F.monotonically_increasing_id()), "arranged")
 
 
@@ -55,31 +53,40 @@ def with_index(
 
     Input order is the order of the tasks, unless ``block`` names columns that sort the blocks the input
     came in (file and offset, see ``read_delimited(..., positions=True)``; they are dropped from the
-    result).  The table is written once.  The driver sees one row per task or block, as many as Spark
-    itself keeps track of, and sends back where each starts.
+    result).  The rows before a block are those before its group (the first of the columns, or ``GROUP_TASKS``
+    tasks) and those before it in its group, which a window over the group's blocks adds up.  The driver sees one
+    row per group: a file, or a thousand tasks.
     """
     spark = df.sparkSession
     if order_by is not None:
         staged, block = _arranged(df, order_by, order_is_total), None
     else:
         staged = stage(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "indexed")
-    blocks = [column(part) for part in block] if block else [_task(F.col(ROW_ID))]
-    keyed = [part.alias(f"__block_{i}") for i, part in enumerate(blocks)]
-    sizes = staged.groupBy(*keyed).agg(
-        F.min(ROW_ID).alias("__first"), F.max(ROW_ID).alias("__last"), F.count(F.lit(1)).alias("__rows")
-    )
+    task = _task(F.col(ROW_ID))
+    blocks = [column(part) for part in block] if block else [F.floor(task / GROUP_TASKS).cast("long"), task]
     keys = [f"__block_{i}" for i in range(len(blocks))]
+    keyed = staged.select("*", *(part.alias(key) for part, key in zip(blocks, keys, strict=True)))
+    sizes = stage(
+        keyed.groupBy(*keys).agg(
+            F.min(ROW_ID).alias("__first"), F.max(ROW_ID).alias("__last"), F.count(F.lit(1)).alias("__rows")
+        ),
+        "blocks",
+    )
+    together = F.col("__last") - F.col("__first") + 1 == F.col("__rows")
+    groups = sizes.groupBy(keys[0]).agg(F.sum("__rows").alias("rows"), F.min(together).alias("together"))
     starts, total = [], 0
-    for row in sorted(sizes.collect(), key=lambda row: tuple(row[key] for key in keys)):
-        if row["__last"] - row["__first"] + 1 != row["__rows"]:
+    for row in sorted(groups.collect(), key=lambda row: row[0]):
+        if not row["together"]:
             raise TableError("the rows of a block are not together; number them before anything shuffles them")
-        starts.append((*(row[key] for key in keys), total - row["__first"] + 1))
-        total += row["__rows"]
-    schema = T.StructType([sizes.schema[key] for key in keys] + [T.StructField("__start", T.LongType())])
-    offsets = spark.createDataFrame(starts, schema)
-    if len(starts) <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    placed = staged.select("*", *keyed).join(offsets, keys)
+        starts.append((row[0], total))
+        total += row["rows"]
+    schema = T.StructType([T.StructField(keys[0], sizes.schema[keys[0]].dataType), T.StructField("__before", T.LongType())])
+    earlier = Window.partitionBy(keys[0]).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.withColumn("__inside", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    offsets = inside.join(spark.createDataFrame(starts, schema), keys[0]).select(
+        *keys, (F.col("__before") + F.col("__inside") - F.col("__first") + 1).alias("__start")
+    )
+    placed = keyed.join(offsets, keys)
     kept = [part for part in df.columns if part not in (block or ())]
     return placed.select((F.col(ROW_ID) + F.col("__start")).alias(name), *map(quoted, kept))
 
@@ -94,7 +101,7 @@ def with_rank(
 ) -> DataFrame:
     """Add the position 1..k of each row within its group; rows equal in ``order_by`` follow in any order.
 
-    ``order_is_total`` says that (group, order_by) is unique, which saves looking for hot ties.
+    ``order_is_total`` says that (group, order_by) is unique, which saves carrying a tie-breaker.
 
     The table is range-partitioned by group and order, so a large group is cut over many tasks.  A row's
     rank is its position among the rows of its group in its task plus the rows of the group in earlier

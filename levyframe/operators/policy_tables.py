@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from levyframe.functions.names import column
 from levyframe.operators.ordering import with_rank
@@ -64,14 +65,14 @@ def components(documents: DataFrame) -> DataFrame:
 def ordered_components(df: DataFrame, policy: Sequence[str], order: str, position: str) -> DataFrame:
     """Rank components by logical order within their policy, ties by position, for any component table.
 
-    ``position`` should be unique within a policy.  A policy may hold any share of the rows (see ``with_rank``).
+    ``position`` must be unique within a policy.  A policy may hold any share of the rows (see ``with_rank``).
     """
-    return with_rank(df, policy, [order, position])
+    return with_rank(df, policy, [order, position], order_is_total=True)
 
 
 def _paired(df: DataFrame, keep: Sequence[str], names: str, others: str, target: str) -> DataFrame:
-    """Rows of (names[i], others[i]) up to the shorter of the two lists."""
-    length = F.least(F.size(column(names)), F.size(column(others)))
+    """Rows of (names[i], others[i]) up to the shorter of the two lists; a missing list is empty."""
+    length = F.least(*(F.coalesce(F.array_size(column(part)), F.lit(0)) for part in (names, others)))
     cut = F.slice(column(names), F.lit(1), length)
     return df.select(
         *(column(name) for name in keep),
@@ -99,15 +100,38 @@ def parameter_labels(
     return _paired(df, keep, names, labels, "label")
 
 
+def _place(df: DataFrame, order: Sequence[str]) -> Column:
+    """What orders rows: one long where the order is one or two integers, which aggregates in place; else a struct."""
+    kinds = [df.schema[name].dataType for name in order]
+    if len(order) == 2 and all(isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)) for kind in kinds):
+        first, second = (column(name).cast("long") for name in order)
+        return F.shiftleft(first, 32) + second
+    if len(order) == 1 and isinstance(kinds[0], T.IntegralType):
+        return column(order[0]).cast("long")
+    return F.struct(*(column(part) for part in order))
+
+
 def merged_parameters(
     pairs: DataFrame, policy: Sequence[str], name: str, target: str, order: Sequence[str]
 ) -> DataFrame:
     """One value (or label) per parameter name of a policy: the last in ``order`` wins.
 
-    One aggregate with partial results, so a hot policy or name is combined before the shuffle.
+    One aggregate with partial results, so a hot policy or name is combined before the shuffle.  Of texts only the
+    places are aggregated, and the winners' texts fetched by their place, which is unique within a policy and name.
     """
-    last = F.max_by(column(target), F.struct(*(column(part) for part in order)))
-    return pairs.groupBy(*(column(part) for part in policy), column(name)).agg(last.alias(target))
+    keys = [*policy, name]
+    rows = pairs.select(*(column(part) for part in keys), column(target), _place(pairs, order).alias("__place"))
+    kind = pairs.schema[target].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        last = F.max_by(column(target), F.col("__place"))
+        return rows.groupBy(*(column(part) for part in keys)).agg(last.alias(target))
+    winners = rows.groupBy(*(column(part).alias(f"__k{i}") for i, part in enumerate(keys))).agg(
+        F.max("__place").alias("__last")
+    )
+    same = F.col("__place").eqNullSafe(F.col("__last"))
+    for i, part in enumerate(keys):
+        same = same & column(part).eqNullSafe(F.col(f"__k{i}"))
+    return winners.join(rows, same).select(*(column(part) for part in keys), column(target))
 
 
 def dependency_set(df: DataFrame, policy: Sequence[str], dependencies: str = "dependencies") -> DataFrame:
@@ -148,8 +172,9 @@ def function_resolution(
     name, and a later definition replaces an earlier one.  Rows: policy, component, ``defined_by`` (the
     order values of the winning source, NULL when no source defines the function) and ``function``.
 
-    Every component contributes one lookup and its definitions; one aggregate per (policy, name) pairs them,
-    combined before the shuffle, so no side is joined and no name can be hot.
+    Every component contributes one lookup and its definitions; one aggregate per (policy, name) pairs them, combined
+    before the shuffle, so no name can be hot.  It carries places only; the winners' sources are fetched by (policy,
+    place), which is unique.
     """
     entry = "struct<name: string, wanted: boolean>"
     lookup = F.array(F.struct(column(component).alias("name"), F.lit(True).alias("wanted")))
@@ -157,27 +182,28 @@ def function_resolution(
         defined_functions(column(source)), lambda name: F.struct(name.alias("name"), F.lit(False).alias("wanted"))
     )
     keys = [column(part) for part in policy]
-    place = F.struct(*(column(part) for part in order))
+    place = _place(df, order).alias("__place")
     entries = df.select(
         *keys,
-        place.alias("__place"),
-        column(source).alias("__source"),
+        place,
         F.explode(F.concat(lookup.cast(f"array<{entry}>"), definitions.cast(f"array<{entry}>"))).alias("__entry"),
+    ).select(*keys, "__place", F.col("__entry.name").alias("__name"), F.col("__entry.wanted").alias("__wanted"))
+    grouped = entries.groupBy(*keys, "__name").agg(
+        F.max("__wanted").alias("__wanted"), F.max(F.when(~F.col("__wanted"), F.col("__place"))).alias("__last")
     )
-    defined = ~F.col("__entry.wanted")
-    grouped = (
-        entries.withColumn("__place", F.when(defined, F.col("__place")))
-        .withColumn("__source", F.when(defined, F.col("__source")))
-        .groupBy(*keys, F.col("__entry.name").alias("__name"))
-        .agg(
-            F.max("__entry.wanted").alias("__wanted"),
-            F.max("__place").alias("__place"),
-            F.max_by("__source", "__place").alias("__source"),
-        )
+    wanted = grouped.where("__wanted")
+    sources = df.select(
+        *(column(part).alias(f"__k{i}") for i, part in enumerate(policy)),
+        place,
+        *(column(part).alias(f"__o{i}") for i, part in enumerate(order)),
+        column(source).alias("__source"),
     )
-    return grouped.where("__wanted").select(
+    same = F.col("__last") == F.col("__place")
+    for i, part in enumerate(policy):
+        same = same & column(part).eqNullSafe(F.col(f"__k{i}"))
+    return wanted.join(sources, same, "left").select(
         *keys,
         F.col("__name").alias(component),
-        *(F.col("__place")[part].alias(f"defined_by_{part}") for part in order),
+        *(F.col(f"__o{i}").alias(f"defined_by_{part}") for i, part in enumerate(order)),
         F.col("__source").alias("function"),
     )

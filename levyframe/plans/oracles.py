@@ -127,15 +127,29 @@ GROUP BY attribute
 """
 
 _GAPS = """
-SELECT o_orderkey, 'price' AS attribute FROM orders WHERE NOT o_totalprice > 50000
-UNION ALL SELECT o_orderkey, 'priority' FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'
-UNION ALL SELECT o_orderkey, 'date' FROM orders WHERE o_orderstatus = 'P'
+SELECT CASE WHEN o_orderkey > 0 THEN o_orderkey END AS o_orderkey, attribute FROM (
+  SELECT o_orderkey, 'price' AS attribute FROM orders WHERE NOT o_totalprice > 50000
+  UNION ALL SELECT o_orderkey, 'priority' FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'
+  UNION ALL SELECT o_orderkey, 'date' FROM orders WHERE o_orderstatus = 'P')
+"""
+
+_WORD_GAPS = """
+WITH have AS (SELECT DISTINCT nullif(lang, 'es') AS lang, unnest(string_split(text, ' ')) AS word FROM documents),
+held AS (SELECT word, list(coalesce(lang, 'none')) AS langs FROM have GROUP BY word),
+langs AS (SELECT DISTINCT lang FROM have)
+SELECT lang, word FROM held, langs WHERE NOT list_contains(langs, coalesce(lang, 'none'))
+"""
+
+_TYPE_FAULT = """
+WITH placed AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS place, o_orderkey FROM orders)
+SELECT min(place) - 1 AS index, 'price' AS attribute FROM placed WHERE o_orderkey >= 700
 """
 
 _RAGGED = """
 SELECT event_id || ';' || event_type || CASE WHEN event_type = 'error' THEN ';' || value || ';late' ELSE '' END
        AS record
 FROM events WHERE event_type IN ('signup', 'error')
+UNION ALL SELECT repeat(' ', CAST(event_id % 3 + 1 AS INTEGER)) FROM events WHERE event_type = 'click'
 """
 
 _VALID = "FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'BUILDING')"
@@ -185,8 +199,8 @@ UNION ALL SELECT source, levy_rank, 'levy', 1, 'tau', 'Rate' FROM ranks
 _PAIRS = """
 WITH lists AS (
   SELECT conv_id, turn, string_split(text, ' ') AS names,
-         string_split(string_split(text, chr(10))[1], ' ') AS words FROM conversations),
-places AS (SELECT *, unnest(range(1, least(len(names), len(words)) + 1)) AS place FROM lists)
+         CASE WHEN role <> 'system' THEN string_split(text, '.') END AS words FROM conversations),
+places AS (SELECT *, unnest(range(1, least(len(names), coalesce(len(words), 0)) + 1)) AS place FROM lists)
 SELECT conv_id, turn, CAST(place AS INTEGER) AS parameter_position, names[place] AS name,
        CAST(length(words[place]) AS DOUBLE) AS value
 FROM places
@@ -212,7 +226,7 @@ defined AS (
 last AS (
   SELECT * FROM defined
   QUALIFY row_number() OVER (PARTITION BY policy, name ORDER BY o_custkey DESC, o_orderkey DESC) = 1)
-SELECT p.policy, p.component, last.o_custkey AS defined_by_o_custkey, last.o_orderkey AS defined_by_o_orderkey,
+SELECT p.policy, p.component, CAST(last.o_custkey AS INTEGER) AS defined_by_o_custkey, CAST(last.o_orderkey AS INTEGER) AS defined_by_o_orderkey,
        last.function
 FROM (SELECT DISTINCT policy, component FROM parts) p
 LEFT JOIN last ON last.policy = p.policy AND last.name = p.component
@@ -221,13 +235,20 @@ LEFT JOIN last ON last.policy = p.policy AND last.name = p.component
 ORACLES: dict[str, str] = {
     "apply_policy": _VARIANT,
     "apply_policy_python": _VARIANT,
+    "apply_policy_vector": _VARIANT,
+    "apply_policy_mixed": _VARIANT,
+    "extra_outputs": f"""
+SELECT o_orderkey, o_totalprice, (o_totalprice * {_d('0.05')} + o_totalprice * {_d('0.08')}) / 2 AS levy,
+       o_totalprice * {_d('0.05')} AS low, o_totalprice * {_d('0.08')} AS high
+FROM orders
+""",
     "scenario_baseline": _BASELINE,
     "scenario_variant": _VARIANT,
     "scenario_diff": _DIFF,
     "scenario_diff_python": _DIFF,
     "scenario_diff_keyed": f"""
-WITH base AS (SELECT o_orderkey, o_totalprice * {_d('0.05')} AS levy FROM orders),
-variant AS (SELECT o_orderkey, o_totalprice * {_d('0.08')} AS levy FROM orders)
+WITH base AS (SELECT o_orderkey, o_totalprice * {_d('0.05')} AS levy FROM orders WHERE o_orderstatus <> 'P'),
+variant AS (SELECT o_orderkey, o_totalprice * {_d('0.08')} AS levy FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT variant.o_orderkey, variant.levy - base.levy AS levy, CAST(NULL AS DOUBLE) AS surcharge
 FROM variant LEFT JOIN base ON base.o_orderkey = variant.o_orderkey
 """,
@@ -247,6 +268,9 @@ FROM ({_CUSTOMER})
     "first_type_mismatch": _FIRST_MISMATCH,
     "null_cells": _NULL_CELLS,
     "attribute_gaps": _GAPS,
+    "attribute_gaps_words": _WORD_GAPS,
+    "type_fault": _TYPE_FAULT,
+    "duplicate_header": "SELECT CAST(c_custkey AS INTEGER) AS custkey, c_mktsegment AS label FROM customer",
     "policy_tables": _POLICIES,
     "policy_errors": _POLICY_ERRORS,
     "policy_components": _COMPONENTS,
@@ -269,11 +293,17 @@ WHERE attribute NOT IN ('flag_A', 'flag_N', 'status_O', 'line_1', 'line_2', 'lin
 """,
     "function_resolution": _RESOLUTION,
     "results_to_columns": f"""
-SELECT o_orderkey, o_totalprice * {_d('0.05')} AS levy,
-       CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * {_d('0.01')} END AS relief, o_totalprice AS total
-FROM orders
+SELECT o_orderkey, CASE WHEN mapped THEN o_totalprice * {_d('0.05')} END AS levy,
+       CASE WHEN mapped AND o_orderstatus <> 'P' THEN o_totalprice * {_d('0.01')} END AS relief,
+       CASE WHEN mapped THEN o_totalprice END AS total
+FROM (SELECT *, o_orderstatus = 'P' OR o_orderpriority <> '5-LOW' AS mapped FROM orders)
+""",
+    "missing_results": """
+SELECT o_orderkey, 'relief' AS name FROM orders WHERE o_orderstatus = 'P'
+UNION ALL SELECT o_orderkey, unnest(['levy', 'relief', 'total']) FROM orders
+WHERE o_orderstatus <> 'P' AND o_orderpriority = '5-LOW'
 """,
-    "missing_results": "SELECT o_orderkey, 'relief' AS name FROM orders WHERE o_orderstatus = 'P'",
+    "result_names": "SELECT unnest(['levy', 'relief', 'total']) AS name",
     "indexed_results": f"""
 SELECT row_number() OVER (ORDER BY custkey) AS "Index", custkey, acctbal * {_d('0.1')} AS due FROM ({_CUSTOMER})
 """,

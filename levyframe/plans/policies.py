@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from levyframe.operators.rules import COLUMN, PYTHON, Component, Policy
+from levyframe.operators.rules import COLUMN, PYTHON, VECTOR, Component, Policy
 
 
 def _net(variables: Mapping[str, Any], parameters: Mapping[str, float], row: Mapping[str, Any]) -> Any:
@@ -35,6 +36,11 @@ def _relief_python(variables: Mapping[str, float], parameters: Mapping[str, floa
     return variables["net"] * parameters["rho"] if row["l_returnflag"] == "R" else 0.0
 
 
+def _relief_vector(variables: Mapping[str, Any], parameters: Mapping[str, float], row: Mapping[str, Any]) -> Any:
+    return np.where(row["l_returnflag"] == "R", variables["net"] * parameters["rho"], 0.0)
+
+
+RELIEFS = {COLUMN: _relief_column, PYTHON: _relief_python, VECTOR: _relief_vector}
 PRICES = ("l_extendedprice", "l_discount")
 
 
@@ -50,15 +56,16 @@ def baseline(kind: str = COLUMN) -> Policy:
     )
 
 
-def variant(kind: str = COLUMN) -> Policy:
-    relief = _relief_column if kind == COLUMN else _relief_python
+def variant(kind: str = COLUMN, relief_kind: str | None = None) -> Policy:
+    relief_kind = relief_kind or kind
+    relief = RELIEFS[relief_kind]
     return Policy(
         "relieved",
         [
             Component("total", _relieved_total, logical_order=4, kind=kind),
             Component("net", _net, dependencies=PRICES, logical_order=1, kind=kind),
             Component("levy", _levy, {"tau": 0.08}, logical_order=2, kind=kind),
-            Component("relief", relief, {"rho": 0.02}, dependencies=("l_returnflag",), logical_order=3, kind=kind),
+            Component("relief", relief, {"rho": 0.02}, dependencies=("l_returnflag",), logical_order=3, kind=relief_kind),
         ],
         "Higher levy with relief for returned goods",
     )

@@ -10,14 +10,29 @@ from pyspark.sql import types as T
 
 from levyframe.functions.cells import cell_kind
 from levyframe.operators import checks, policy_tables
-from levyframe.operators.compare import DIFF, compare_policies, diff_results, difference_results
+from levyframe.operators.compare import (
+    BASELINE,
+    DIFF,
+    VARIANT,
+    compare_policies,
+    diff_results,
+    difference_results,
+    results_of,
+)
 from levyframe.operators.evaluate import apply_policy
-from levyframe.operators.layout import output_layout, results_to_columns
+from levyframe.operators.layout import output_layout, result_names, results_to_columns
 from levyframe.operators.ordering import with_index
-from levyframe.operators.rules import Policy
+from levyframe.operators.rules import COLUMN, VECTOR, Component, Policy
 from levyframe.plans import policies
 from levyframe.plans.scenario import run_scenario
-from levyframe.sources.delimited import POSITIONS, ragged_rows, read_delimited, read_text_cells, write_delimited
+from levyframe.sources.delimited import (
+    POSITIONS,
+    locate_type_fault,
+    ragged_rows,
+    read_delimited,
+    read_text_cells,
+    write_delimited,
+)
 from levyframe.sources.households import read_households, write_arrow_ipc
 from levyframe.sources.policy_files import parse_policies
 from levyframe.storage import fresh_path
@@ -46,12 +61,37 @@ def apply_policy_python(spark: SparkSession, folder: str) -> DataFrame:
     return apply_policy(lines(spark, folder), policies.python_variant())
 
 
+def apply_policy_vector(spark: SparkSession, folder: str) -> DataFrame:
+    return apply_policy(lines(spark, folder), policies.variant(VECTOR))
+
+
+def apply_policy_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return apply_policy(lines(spark, folder), policies.variant(COLUMN, VECTOR))
+
+
+def _one_of_both(spark: SparkSession, folder: str, which: str, names: list[str]) -> DataFrame:
+    """One policy's results out of a pass that evaluates both."""
+    wide = compare_policies(lines(spark, folder), policies.baseline(), policies.variant())
+    return results_of(wide, which, LINE_COLUMNS, names)
+
+
 def scenario_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    return apply_policy(lines(spark, folder), policies.baseline())
+    return _one_of_both(spark, folder, BASELINE, policies.baseline().outputs)
 
 
 def scenario_variant(spark: SparkSession, folder: str) -> DataFrame:
-    return apply_policy(lines(spark, folder), policies.variant())
+    return _one_of_both(spark, folder, VARIANT, policies.variant().outputs)
+
+
+def extra_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule that gives two results more than its own."""
+
+    def levies(v, p, a):
+        v["low"], v["high"] = a["o_totalprice"] * p["low"], a["o_totalprice"] * p["high"]
+        return (v["low"] + v["high"]) / 2
+
+    rule = Component("levy", levies, {"low": 0.05, "high": 0.08}, extra_outputs=("low", "high"))
+    return apply_policy(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), Policy("range", [rule]))
 
 
 def _differences(spark: SparkSession, folder: str, base: Policy, variant: Policy) -> DataFrame:
@@ -71,10 +111,12 @@ def scenario_diff_python(spark: SparkSession, folder: str) -> DataFrame:
 def scenario_diff_keyed(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     price = F.col("o_totalprice")
-    stored_base = orders.select("o_orderkey", (price * 0.05).alias("levy"), (price + price * 0.05).alias("total"))
+    base_rows = orders.where("o_orderstatus <> 'P'")
+    stored_base = base_rows.select("o_orderkey", (price * 0.05).alias("levy"), (price + price * 0.05).alias("total"))
     urgent = F.when(F.col("o_orderpriority") == "1-URGENT", price * 0.01).otherwise(0.0)
-    stored_variant = orders.select("o_orderkey", (price * 0.08).alias("levy"), urgent.alias("surcharge"))
-    return diff_results(stored_base, stored_variant, "o_orderkey")
+    variant_rows = orders.where("o_orderpriority <> '5-LOW'")
+    stored_variant = variant_rows.select("o_orderkey", (price * 0.08).alias("levy"), urgent.alias("surcharge"))
+    return diff_results(stored_base, stored_variant, "o_orderkey", check_rows=False)
 
 
 # Files -------------------------------------------------------------------------------------------------
@@ -134,11 +176,14 @@ def ragged_rows_query(spark: SparkSession, folder: str) -> DataFrame:
     line = (
         F.when(F.col("event_type") == "signup", short)
         .when(F.col("event_type") == "error", F.concat_ws(";", short, "value", F.lit("late")))
+        .when(F.col("event_type") == "click", F.repeat(F.lit(" "), F.pmod("event_id", F.lit(3)).cast("int") + 1))
         .otherwise(F.concat_ws(";", short, "value"))
     )
     path = fresh_path(spark, "events.csv")
     written = table(spark, folder, "events").select(line.alias(header)).write
-    written.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    written.option("header", True).option("sep", "\u0001").option("quote", "").option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
     return ragged_rows(spark, path).select("record")
 
 
@@ -232,6 +277,26 @@ def first_type_mismatch(spark: SparkSession, folder: str) -> DataFrame:
     return checks.first_type_mismatch(orders, "at")
 
 
+def type_fault(spark: SparkSession, folder: str) -> DataFrame:
+    """Where a written table first mixes kinds, found in the text."""
+    price = F.when(F.col("o_orderkey") < 700, F.col("o_totalprice").cast("string")).otherwise("late")
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderkey").alias("key"), price.alias("price")
+    )
+    path = fresh_path(spark, "orders.csv")
+    write_delimited(orders.repartitionByRange(4, "key").sortWithinPartitions("key").drop("key"), path)
+    return locate_type_fault(spark, path)
+
+
+def duplicate_header(spark: SparkSession, folder: str) -> DataFrame:
+    """Of two columns with one name the last stays."""
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("custkey;label;label")
+    path = fresh_path(spark, "twice.csv")
+    written = table(spark, folder, "customer").select(line).write
+    written.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return read_delimited(spark, path)
+
+
 def null_cells(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         (F.col("o_orderkey") + 1).alias("at"),
@@ -252,10 +317,18 @@ def attribute_gaps(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("o_orderstatus") != "P", "date"),
         )
     )
-    eav = table(spark, folder, "orders").select("o_orderkey", F.explode(held).alias("attribute"))
+    key = F.when(F.col("o_orderkey") > 0, F.col("o_orderkey")).alias("o_orderkey")  # order 0 is the NULL entity
+    eav = table(spark, folder, "orders").select(key, F.explode(held).alias("attribute"))
     return checks.attribute_gaps(eav, "o_orderkey", "attribute")
 
 
+def attribute_gaps_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all texts that a language lacks though another has them: very many names."""
+    words = F.explode(F.split("text", " ")).alias("word")
+    eav = table(spark, folder, "documents").select(F.nullif("lang", F.lit("es")).alias("lang"), words)
+    return checks.attribute_gaps(eav, "lang", "word")
+
+
 # Policy tables -----------------------------------------------------------------------------------------
 
 
@@ -314,12 +387,13 @@ def policy_parameter_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parameter_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of each turn as names, the lengths of the words of its first line as values."""
+    """Words of each turn as names, the lengths of its sentences as values; one role has no values."""
+    lengths = F.transform(F.split("text", "[.]"), lambda part: F.length(part).cast("double"))
     turns = table(spark, folder, "conversations").select(
         "conv_id",
         "turn",
         F.split("text", " ").alias("names"),
-        F.transform(F.split(F.split("text", "\n")[0], " "), lambda word: F.length(word).cast("double")).alias("values"),
+        F.when(F.col("role") != "system", lengths).alias("values"),
     )
     return policy_tables.parameter_values(turns, ["conv_id", "turn"], "names", "values")
 
@@ -338,8 +412,8 @@ def parameter_merge(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderstatus").alias("policy"),
         F.col("o_orderpriority").alias("name"),
         F.col("o_totalprice").alias("value"),
-        "o_custkey",
-        "o_orderkey",
+        F.col("o_custkey").cast("int").alias("o_custkey"),
+        F.col("o_orderkey").cast("int").alias("o_orderkey"),
     )
     return policy_tables.merged_parameters(orders, ["policy"], "name", "value", ["o_custkey", "o_orderkey"])
 
@@ -371,8 +445,8 @@ def function_resolution(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderpriority").alias("policy"),
         F.when(F.col("o_totalprice") < 2000, F.lit("unknown")).otherwise(status).alias("component"),
         source.alias("function"),
-        "o_custkey",
-        "o_orderkey",
+        F.col("o_custkey").cast("int").alias("o_custkey"),
+        F.col("o_orderkey").cast("int").alias("o_orderkey"),
     )
     return policy_tables.function_resolution(orders, ["policy"], order=["o_custkey", "o_orderkey"])
 
@@ -384,18 +458,24 @@ def _result_maps(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("o_totalprice")
     always = F.create_map(F.lit("total"), price, F.lit("levy"), price * 0.05)
     relief = F.create_map(F.lit("relief"), price * 0.01)
-    results = F.when(F.col("o_orderstatus") == "P", always).otherwise(F.map_concat(always, relief))
+    results = F.when(F.col("o_orderstatus") == "P", always).when(
+        F.col("o_orderpriority") != "5-LOW", F.map_concat(always, relief)
+    )  # the rest has no map
     return table(spark, folder, "orders").select("o_orderkey", results.alias("results"))
 
 
 def results_to_columns_query(spark: SparkSession, folder: str) -> DataFrame:
-    return results_to_columns(_result_maps(spark, folder), "results")
+    return results_to_columns(_result_maps(spark, folder), "results", ["levy", "relief", "total"])
 
 
 def missing_results(spark: SparkSession, folder: str) -> DataFrame:
     return checks.missing_results(_result_maps(spark, folder), "results", "o_orderkey", ["levy", "relief", "total"])
 
 
+def result_names_query(spark: SparkSession, folder: str) -> DataFrame:
+    return result_names(_result_maps(spark, folder), "results")
+
+
 def indexed_results(spark: SparkSession, folder: str) -> DataFrame:
     results = apply_policy(customers(spark, folder), policies.account_policy(0.1, False))
     return with_index(results.select("custkey", "due"), ["custkey"])
@@ -417,6 +497,9 @@ def output_layout_query(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "apply_policy": apply_policy_query,
     "apply_policy_python": apply_policy_python,
+    "apply_policy_vector": apply_policy_vector,
+    "apply_policy_mixed": apply_policy_mixed,
+    "extra_outputs": extra_outputs,
     "scenario_baseline": scenario_baseline,
     "scenario_variant": scenario_variant,
     "scenario_diff": scenario_diff,
@@ -434,6 +517,9 @@ QUERIES: dict[str, Query] = {
     "first_type_mismatch": first_type_mismatch,
     "null_cells": null_cells,
     "attribute_gaps": attribute_gaps,
+    "attribute_gaps_words": attribute_gaps_words,
+    "type_fault": type_fault,
+    "duplicate_header": duplicate_header,
     "policy_tables": policy_table,
     "policy_errors": policy_errors,
     "policy_components": policy_components,
@@ -447,6 +533,7 @@ QUERIES: dict[str, Query] = {
     "function_resolution": function_resolution,
     "results_to_columns": results_to_columns_query,
     "missing_results": missing_results,
+    "result_names": result_names_query,
     "indexed_results": indexed_results,
     "indexed_input": indexed_input,
     "output_layout": output_layout_query,

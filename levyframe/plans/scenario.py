@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from levyframe.errors import TableError
 from levyframe.operators.compare import BASELINE, DIFF, VARIANT, compare_policies, results_of
@@ -16,7 +16,7 @@ from levyframe.operators.rules import Policy
 from levyframe.sources.delimited import POSITIONS
 from levyframe.sources.households import read_households, result_path, write_result
 from levyframe.sources.policy_files import load_policy
-from levyframe.storage import stage
+from levyframe.storage import stage, temporary_stages
 
 # The words that name the three results.
 RESULT_WORDS = {BASELINE: "baseline", VARIANT: "variante", DIFF: "diff"}
@@ -53,13 +53,28 @@ def run_scenario(
     else:
         wide = compare_policies(table, first, second, attributes=attributes, trust_source=trust_source)
         outputs = {BASELINE: first.outputs, VARIANT: second.outputs, DIFF: second.outputs}
+    with temporary_stages(spark):
+        return _written(spark, wide, fmt, attributes, positions, outputs, folder, prefix, second is not None)
+
+
+def _written(
+    spark: SparkSession,
+    wide: DataFrame,
+    fmt: str,
+    attributes: list[str],
+    positions: list[str],
+    outputs: Mapping[str, list[str]],
+    folder: str,
+    prefix: str | None,
+    several: bool,
+) -> dict[str, str]:
     kept = attributes
     if fmt == "csv":
         if INDEX in attributes:
             raise TableError(f"{INDEX} is the name of the position column")
         wide = with_index(wide, block=positions, name=INDEX)
         kept = [INDEX, *attributes]
-    elif second is not None:
+    elif several:
         wide = stage(wide, "scenario")
     if wide.isEmpty():
         raise TableError("the table has no row")

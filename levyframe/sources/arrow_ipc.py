@@ -217,17 +217,19 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, place, temporary = self._folders()
         files.create_dir(place, recursive=True)
-        if self.overwrite:
-            old = [entry for entry in files.get_file_info(pafs.FileSelector(place)) if entry.path != temporary]
-            for entry in old:
-                if entry.type == pafs.FileType.File and entry.base_name.endswith(SUFFIX):
-                    files.delete_file(entry.path)
+        old = [
+            entry.path
+            for entry in files.get_file_info(pafs.FileSelector(place))
+            if entry.type == pafs.FileType.File and entry.base_name.endswith(SUFFIX)
+        ]
         names = [message.name for message in messages if message is not None and message.name]
         with ThreadPoolExecutor(DRIVER_THREADS) as pool:
             moves = pool.map(
                 lambda name: files.move(posixpath.join(temporary, name), posixpath.join(place, name)), names
             )
             list(moves)
+            if self.overwrite:  # the new files stand
+                list(pool.map(files.delete_file, old))
         self._clear(files, temporary)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:

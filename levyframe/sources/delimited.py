@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,10 +81,37 @@ def read_text_cells(
     rows, physical = _text_rows(spark, path, header, multi_line, mode="FAILFAST")
     last = {name: i for i, name in enumerate(header)}
     columns = [column(physical[i]).alias(header[i]) for i in sorted(last.values())]
+    kept = [header[i] for i in sorted(last.values())]
     if positions:
         columns.append(column("_metadata")["file_path"].alias(SOURCE_FILE))
         columns.append(column("_metadata")["file_block_start"].alias(SOURCE_OFFSET))
-    return rows.select(*columns)
+    cells = rows.select(*columns)
+    if multi_line:
+        return cells
+    # Read beside the records in the same job: lines that the CSV reader passes over, and bytes it would replace.
+    lost = _odd_lines(spark, path).where(_complaint(len(header)))
+    places = [column(part).alias(part) for part in POSITIONS] if positions else []
+    return cells.unionByName(lost.select(*(F.col("line").alias(name) for name in kept), *places))
+
+
+def _odd_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of blanks only, and lines that are not UTF-8: rows (line, file, offset)."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        column("_metadata")["file_path"].alias(SOURCE_FILE),
+        column("_metadata")["file_block_start"].alias(SOURCE_OFFSET),
+    )
+    blank = F.col("line").rlike(r"\A[\x00-\x20]+\z")
+    return lines.where(~F.is_valid_utf8("line") | blank)
+
+
+def _complaint(fields: int) -> Column:
+    """True for a line of blanks that is a record, as the header has one field; every other odd line is an error."""
+    text = F.when(~F.is_valid_utf8("line"), F.lit("bytes that are not UTF-8"))
+    if fields > 1:
+        text = text.otherwise(F.lit(f"a line of blanks, where the header has {fields} fields"))
+    place = F.concat(F.col(SOURCE_FILE), F.lit(": "), text, F.lit(": "), F.make_valid_utf8("line"))
+    return F.when(text.isNotNull(), F.raise_error(place).cast("boolean")).otherwise(F.lit(True))
 
 
 def read_delimited(
@@ -103,13 +130,16 @@ def read_delimited(
     cell text; ``promote_int`` also takes integers in a float column.  Empty cells are the text ''.
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file.  ``positions`` adds
-    the columns ``POSITIONS``, by which ``with_index`` finds the order of the input.  Blank lines, also of
-    blanks only, are skipped.
+    the columns ``POSITIONS``, by which ``with_index`` finds the order of the input.  Empty lines are skipped; a line
+    of blanks is a record of one field, so an error when the header has more.  Bytes that are not UTF-8 are an error.
+    With ``multi_line`` neither is looked for, as a line need not be a record then.
     """
     cells = read_text_cells(spark, path, multi_line=multi_line, positions=positions)
     names = [name for name in cells.columns if not (positions and name in POSITIONS)]
     if schema is None:
-        return apply_types(cells, resolve_types(cells, promote_int, leave_out=POSITIONS if positions else ()))
+        return apply_types(
+            cells, resolve_types(cells, promote_int, leave_out=POSITIONS if positions else ()), promote_int
+        )
     if not isinstance(schema, T.StructType):
         schema = T.StructType([T.StructField(name, kind) for name, kind in schema.items()])
     if sorted(schema.names) != sorted(names):
@@ -133,7 +163,7 @@ def locate_type_fault(
 
 
 def ragged_rows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Records whose number of fields is not the header's: rows (file, record)."""
+    """Records whose number of fields is not the header's, lines of blanks among them: rows (file, record)."""
     check_suffix(path, ".csv")
     header = read_header(spark, path)
     rows, physical = _text_rows(
@@ -141,9 +171,13 @@ def ragged_rows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
     # Spark refuses to scan for the corrupt record alone, so no characters of the first field are added to it.
     nothing = F.left(F.coalesce(column(physical[0]), F.lit("")), F.lit(0))
-    return rows.where(column(CORRUPT).isNotNull()).select(
+    ragged = rows.where(column(CORRUPT).isNotNull()).select(
         column("_metadata")["file_path"].alias("file"), F.concat(column(CORRUPT), nothing).alias("record")
     )
+    if len(header) == 1:
+        return ragged
+    blank = _odd_lines(spark, path).where(F.is_valid_utf8("line"))
+    return ragged.union(blank.select(F.col(SOURCE_FILE).alias("file"), F.col("line").alias("record")))
 
 
 def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

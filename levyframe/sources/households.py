@@ -9,6 +9,7 @@ from levyframe.operators.layout import INDEX, output_layout
 from levyframe.sources.arrow_ipc import SUFFIX as ARROW_SUFFIX
 from levyframe.sources.arrow_ipc import register
 from levyframe.sources.delimited import check_suffix, read_delimited, write_delimited
+from levyframe.storage import exists, qualified
 
 FORMATS = ("csv", "arrow")
 
@@ -30,7 +31,7 @@ def read_households(spark: SparkSession, path: str, fmt: str, **options: object)
         "splitBytes": _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")),
         "parallelism": spark.sparkContext.defaultParallelism,
     }
-    return spark.read.format("arrow_ipc").options(**{**sizes, **options}).load(path)
+    return spark.read.format("arrow_ipc").options(**{**sizes, **options}).load(qualified(spark, path))
 
 
 def _bytes(size: str) -> int:
@@ -41,10 +42,13 @@ def _bytes(size: str) -> int:
 
 
 def write_arrow_ipc(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write int, double and string columns as Arrow files, one per task."""
+    """Write int, double and string columns as Arrow files, one per task; an existing path is an error."""
     check_suffix(path, ARROW_SUFFIX)
     register(df.sparkSession)
-    df.write.format("arrow_ipc").mode("overwrite" if overwrite else "append").save(path)
+    if not overwrite and exists(df.sparkSession, path):
+        raise TableError(f"{path} exists already")
+    mode = "overwrite" if overwrite else "append"
+    df.write.format("arrow_ipc").mode(mode).save(qualified(df.sparkSession, path))
 
 
 def result_path(folder: str, which: str, fmt: str, prefix: str | None = None) -> str:

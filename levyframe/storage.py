@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_watched: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,7 +37,23 @@ def _own_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    folder = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    for made in _watched:
+        made.append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """What is staged within this block is deleted at its end, also after a failure."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched.remove(made)
+        for folder in made:
+            _delete(spark, folder)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +66,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def remove_staged(spark: SparkSession) -> None:
     """Delete what this application staged; DataFrames made from it cannot be read any more."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    _delete(spark, _own_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and authority, as the cluster's default file system completes it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return place.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

@@ -103,14 +103,25 @@ def test_round_trip_over_several_tasks(spark, tmp_path):
     ]
 
 
-def test_append_and_overwrite(spark, tmp_path):
+def test_existing_path_and_overwrite(spark, tmp_path):
     path = str(tmp_path / "out.arrow")
     one = spark.createDataFrame([(1, 1.5, "x")], "i int, d double, s string")
     write_arrow_ipc(one, path)
-    write_arrow_ipc(one, path)
+    with pytest.raises(TableError, match="exists already"):
+        write_arrow_ipc(one, path)
+    assert read_households(spark, f"file://{path}", "arrow").count() == 1
+    write_arrow_ipc(one.union(one), f"file://{path}", overwrite=True)
     assert read_households(spark, path, "arrow").count() == 2
-    write_arrow_ipc(one, path, overwrite=True)
-    assert read_households(spark, path, "arrow").count() == 1
+
+
+def test_a_failed_overwrite_keeps_the_table(spark, tmp_path):
+    path = str(tmp_path / "out.arrow")
+    one = spark.createDataFrame([(1, 1.5, "x")], "i int, d double, s string")
+    write_arrow_ipc(one, path)
+    broken = one.selectExpr("i", "d", "CAST(raise_error('stop') AS STRING) AS s")
+    with pytest.raises(Exception, match="stop"):
+        write_arrow_ipc(broken, path, overwrite=True)
+    assert rows(read_households(spark, path, "arrow")) == [(1, 1.5, "x")]
 
 
 def test_no_rows_keep_their_columns(spark, tmp_path):

@@ -105,26 +105,27 @@ def test_attribute_gaps(spark):
     assert rows(attribute_gaps(df, "e", "a")) == brute_force_gaps(EAV) == [(1, "Logenment"), (2, "Logement")]
 
 
-def test_attribute_gaps_aggregate_fixed_width_rows(spark):
-    text = plan(attribute_gaps(spark.createDataFrame(EAV, "e int, a string"), "e", "a"))
-    assert "partial_bit_or" in text and "ObjectHashAggregate" not in text and "SortAggregate" not in text
-
-
-@pytest.mark.parametrize("limit", [1, 2, 3])
-def test_attribute_gaps_over_many_words_or_buckets(spark, monkeypatch, limit):
+@pytest.mark.parametrize("names_per_bucket", [1, 17, 1000])
+def test_attribute_gaps_in_buckets(spark, names_per_bucket):
     random.seed(5)
     pairs = [(random.randint(0, 9), f"a{random.randint(0, 80)}") for _ in range(700)]
     pairs += [(0, f"a{i}") for i in range(90)]
     df = spark.createDataFrame(pairs, "e int, a string")
-    if limit < 3:
-        monkeypatch.setattr(checks, "ATTRIBUTES_PER_BUCKET", limit * 17)
-        monkeypatch.setattr(checks, "MAX_WORDS", limit - 1)
-    assert rows(attribute_gaps(df, "e", "a")) == brute_force_gaps(pairs)
+    assert rows(attribute_gaps(df, "e", "a", names_per_bucket=names_per_bucket, salts=3)) == brute_force_gaps(pairs)
+
+
+@pytest.mark.parametrize("names_per_bucket", [1, 1000])
+def test_a_null_entity_is_an_entity(spark, names_per_bucket):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (2, "b"), (3, None)], "e int, a string")
+    assert rows(attribute_gaps(df, "e", "a", names_per_bucket=names_per_bucket)) == [(2, "a"), (None, "b")]
+    assert rows(attribute_gaps(df.limit(0), "e", "a")) == []
 
 
 def test_missing_results(spark):
     df = spark.createDataFrame([(1, {"a": 1.0}), (2, {"a": 1.0, "b": None})], "i int, r map<string,double>")
     assert rows(missing_results(df, "r", "i", ["a", "b"])) == [(1, "b")]
+    none = spark.createDataFrame([(1, None)], "i int, r map<string,double>")
+    assert rows(missing_results(none, "r", "i", ["a", "b"])) == [(1, "a"), (1, "b")]
 
 
 def test_result_columns(spark):

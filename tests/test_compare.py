@@ -93,15 +93,20 @@ def test_keyed_difference_with_two_keys(spark):
     base = spark.createDataFrame([(1, "x", 1.0), (1, "y", 2.0)], "id int, part string, b double")
     variant = spark.createDataFrame([(1, "y", 5.0), (1, "x", 7.0)], "id int, part string, b double")
     assert rows(diff_results(base, variant, ["id", "part"])) == [(1, "x", 6.0), (1, "y", 3.0)]
-    with pytest.raises(ResultError, match="occurs up to 2 times"):
-        diff_results(base.drop("part"), variant.drop("part"), "id")
+    with pytest.raises(Exception, match="occurs 2 times"):
+        diff_results(base.drop("part"), variant.drop("part"), "id").collect()
 
 
-def test_key_must_be_unique_and_present(spark):
-    with pytest.raises(ResultError, match="variant results: key .id. occurs up to 2"):
-        diff_results(*keyed(spark, variant=[(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 1.0, 1.0)]), "id")
-    with pytest.raises(ResultError, match="baseline results: key .id. is NULL"):
-        diff_results(*keyed(spark, base=[(1, 1.0, 1.0), (None, 1.0, 1.0), (2, 1.0, 1.0)]), "id")
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_key_must_be_unique_and_present(spark, bucketed):
+    with pytest.raises(Exception, match="variant results: key .id. occurs"):
+        diff_results(
+            *keyed(spark, variant=[(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 1.0, 1.0)]), "id", bucketed=bucketed
+        ).collect()
+    with pytest.raises(Exception, match="key .id. is NULL"):
+        diff_results(
+            *keyed(spark, base=[(1, 1.0, 1.0), (None, 1.0, 1.0), (2, 1.0, 1.0)]), "id", bucketed=bucketed
+        ).collect()
 
 
 def test_only_numbers_can_be_compared(spark):
@@ -110,11 +115,21 @@ def test_only_numbers_can_be_compared(spark):
         diff_results(base.selectExpr("*", "'x' AS city"), variant, "id")
 
 
-def test_row_counts_must_agree(spark):
+def test_keys_must_agree(spark):
     tables = keyed(spark, base=BASE[:2])
-    with pytest.raises(ResultError, match="2 rows, variant has 3 rows"):
-        diff_results(*tables, "id")
+    with pytest.raises(Exception, match="baseline results lack the key .id.: 3"):
+        diff_results(*tables, "id").collect()
     assert rows(diff_results(*tables, "id", check_rows=False)) == [(1, 1.0, None), (2, 5.0, None), (3, None, None)]
+    # as many keys, but others
+    tables = keyed(spark, base=BASE[:2], variant=[(2, 25.0, 7.0), (3, 31.0, 5.0)])
+    with pytest.raises(Exception, match="results lack the key"):
+        diff_results(*tables, "id").collect()
+    assert rows(diff_results(*tables, "id", check_rows=False)) == [(2, 5.0, None), (3, None, None)]
+
+
+def test_keyed_difference_is_one_shuffle(spark):
+    text = plan(diff_results(*keyed(spark), "id"))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text and "SortAggregate" not in text
 
 
 def test_bucketed_tables_join_without_shuffle(spark):
@@ -125,7 +140,7 @@ def test_bucketed_tables_join_without_shuffle(spark):
         for name, df in zip(names, (base, variant)):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             df.write.bucketBy(4, "id").sortBy("id").saveAsTable(name)
-        df = diff_results(spark.table(names[0]), spark.table(names[1]), "id")
+        df = diff_results(spark.table(names[0]), spark.table(names[1]), "id", bucketed=True)
         assert rows(df) == [(1, 1.0, None), (2, 5.0, None), (3, None, None)]
         assert "Exchange" not in plan(df)
     finally:

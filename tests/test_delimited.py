@@ -58,6 +58,30 @@ def test_ragged_rows_are_reported(spark, write):
     assert rows(found.select("record")) == [("3",), ("4;5;6",)]
 
 
+@pytest.mark.parametrize("blank", ["   ", " \t ", "\t"])
+def test_a_line_of_blanks_is_a_short_record(spark, write, blank):
+    path = write("h.csv", f"a;b\n1;2\n{blank}\n3;4\n")
+    for schema in (None, {"a": T.IntegerType(), "b": T.IntegerType()}):
+        with pytest.raises(Exception, match="a line of blanks, where the header has 2 fields"):
+            read_delimited(spark, path, schema).collect()
+    assert rows(ragged_rows(spark, path).select("record")) == [(blank,)]
+    assert read_delimited(spark, write("g.csv", "a;b\n1;2\n\n3;4\n")).count() == 2
+
+
+def test_a_line_of_blanks_is_a_row_of_one_column(spark, write):
+    path = write("h.csv", "a\nx\n   \ny\n")
+    assert rows(read_delimited(spark, path)) == [("   ",), ("x",), ("y",)]
+    assert rows(ragged_rows(spark, path)) == []
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    path = tmp_path / "h.csv"
+    path.write_bytes(b"a;b\nx;1\ncaf\xe9;2\n")
+    for schema in (None, {"a": T.StringType(), "b": T.IntegerType()}):
+        with pytest.raises(Exception, match="h.csv: bytes that are not UTF-8"):
+            read_delimited(spark, str(path), schema).collect()
+
+
 def test_missing_file_and_suffix(spark, write):
     with pytest.raises(Exception, match="nonexistent_file"):
         read_delimited(spark, "nonexistent_file.csv")
