@@ -14,13 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 POSTING = "token long, n int, pos int, key long"
+SHARED = f"{POSTING}, previous long"
+MARK_BITS = 23
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, n, key): one of each key, and no token that only one key has."""
+    """Of rows sorted by (token, n, key): one of each key, and no token that only one key has.
+
+    ``previous`` is the key before in the token's list, null for the first.
+    """
     names = ["token", "n", "pos", "key"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
     held = [np.empty(0, np.int64)] * 4  # the last row, whose follower is not known yet
-    before = False  # whether the held row has a predecessor of its token
+    before: int | None = None  # the key before the held row in its list
+
+    def made(rows: list[np.ndarray], keep: np.ndarray, previous: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(r[keep], t) for r, t in zip(rows, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(previous[keep], pa.int64(), mask=first[keep])], [*names, "previous"])
+
     for batch in batches:
         rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
         token, key = rows[0], rows[3]
@@ -29,19 +40,33 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
         rows = [r[new] for r in rows]
-        token = rows[0]
-        alike = np.zeros(len(token) + 1, bool)
-        alike[1:-1] = token[1:] == token[:-1]
-        alike[0] = before
-        keep = (alike[:-1] | alike[1:])[:-1]
-        before = bool(alike[len(token) - 1])
-        held = [r[-1:] for r in rows]
+        token, key = rows[0], rows[3]
+        first = np.ones(len(token), bool)  # of its list
+        first[1:] = token[1:] != token[:-1]
+        previous = np.concatenate([[0], key[:-1]])
+        if before is not None:
+            first[0], previous[0] = False, before
+        last = np.append(first[1:], True)
+        keep = ~(first & last)
+        keep[-1] = False
         if keep.any():
-            out = [pa.array(r[:-1][keep], t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(out, names)
-    if before:
-        out = [pa.array(r, t) for r, t in zip(held, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-        yield pa.RecordBatch.from_arrays(out, names)
+            yield made(rows, keep, previous, first)
+        before = None if first[-1] else int(previous[-1])
+        held = [r[-1:] for r in rows]
+    if before is not None:
+        yield made(held, np.ones(1, bool), np.array([before]), np.zeros(1, bool))
+
+
+def marked(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``2 ** MARK_BITS`` bits with one for each value of ``key``; the driver sees its words, however many
+    keys there are."""
+    place = F.pmod(F.col("key"), F.lit(1 << MARK_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    for row in words.collect():
+        found[row.word] = row.bits
+    return np.unpackbits(found.view(np.uint8), bitorder="little").view(bool)
 
 
 def _neighbours(room: Callable[..., np.ndarray]):
@@ -81,6 +106,21 @@ def nearest(postings: DataFrame, room: Callable[..., np.ndarray]) -> DataFrame:
     return often.groupBy("x").agg(F.max_by("y", "times").alias("y"))
 
 
+def most_common_previous(postings: DataFrame) -> DataFrame:
+    """(x, y): for each class at most one class, the one it follows most often in its lists."""
+    met = postings.where("previous is not null").groupBy(F.col("key").alias("x"), F.col("previous").alias("y"))
+    return met.agg(F.count("*").alias("times")).groupBy("x").agg(F.max_by("y", "times").alias("y"))
+
+
+def most_common_head(postings: DataFrame, weight: str) -> DataFrame:
+    """(x, y): for each class at most one class, that which is most often the heaviest of its lists."""
+    head = F.max(F.struct(F.col(weight).alias("weight"), "key")).alias("head")
+    heads = postings.groupBy("token").agg(head).select("token", F.col("head.key").alias("y"))
+    met = postings.select("token", F.col("key").alias("x")).join(heads, "token").where("x <> y")
+    often = met.groupBy("x", "y").agg(F.count("*").alias("times"))
+    return often.groupBy("x").agg(F.max_by("y", "times").alias("y"))
+
+
 def with_components(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     """Postings with each class' component; of classes that ``found`` (node, root) doesn't have, the class itself."""
     if found is None:
@@ -89,9 +129,11 @@ def with_components(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     return postings.join(known, "key", "left").withColumn("component", F.coalesce("root", "key")).drop("root")
 
 
-def apart(postings: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Postings of the tokens that more than one component has."""
+def apart(postings: DataFrame, found: DataFrame | None, measures: DataFrame | None = None) -> DataFrame:
+    """Postings of the tokens that more than one component has, with what ``measures`` knows of each key."""
     rows = with_components(postings, found)
+    if measures is not None:
+        rows = rows.join(measures, "key")
     if found is None:
         return rows
     ends = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levyframe.llm.candidate_lists import POSTING, apart, nearest, shared_rows
+from levyframe.llm.candidate_lists import POSTING, SHARED, apart, marked, nearest, shared_rows
 from levyframe.llm.components import components
 from levyframe.storage import stage
 
@@ -203,10 +203,18 @@ def _tokens(distance: int, min_chars: int):
     return run
 
 
-def _texts(min_chars: int):
+def _texts(min_chars: int, marks):
+    """Lines whose key may be wanted: most others need not be shuffled to find out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = marks.value
         for batch in batches:
-            lines = {line_key(line): line for t in batch.column("text").to_pylist() for _, line in _judged(t, min_chars)}
+            lines = {}
+            for text in batch.column("text").to_pylist():
+                for _, line in _judged(text, min_chars):
+                    key = line_key(line)
+                    if wanted[key % len(wanted)]:
+                        lines[key] = line
             columns = [pa.array(lines.keys(), pa.int64()), pa.array(lines.values(), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "line"])
 
@@ -233,12 +241,13 @@ class LineJoin:
         texts = docs.select("text")
         tokens = texts.mapInArrow(_tokens(distance, min_chars), POSTING)
         ordered = tokens.repartition("token").sortWithinPartitions("token", "n", "key", "pos")
-        shared = ordered.mapInArrow(shared_rows, POSTING)
-        postings = stage(shared, "postings")
+        shared = ordered.mapInArrow(shared_rows, SHARED)
+        postings = stage(shared.drop("previous"), "postings")
         keys = stage(postings.select("key").distinct(), "keys")
         histograms = self.lines.join(keys, "key", "left_semi").groupBy("key").agg(F.first("histogram").alias("histogram"))
         self.postings = stage(postings.join(histograms, "key"), "postings")
-        found = texts.mapInArrow(_texts(min_chars), "key long, line string").join(keys, "key", "left_semi")
+        marks = docs.sparkSession.sparkContext.broadcast(marked(keys))
+        found = texts.mapInArrow(_texts(min_chars, marks), "key long, line string").join(keys, "key", "left_semi")
         self.texts = stage(found.dropDuplicates(["key"]), "texts")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from corpora import empty, odd, table
 from levyframe.llm import fingerprints
 from levyframe.llm.fingerprints import Fingerprinter, edited
 from levyframe.llm.queries import LLM_QUERIES
-from levyframe.llm.text import WordHashes, shingles
+from levyframe.llm.text import Shingler
 
 
 def test_likeness_is_near_jaccard():
@@ -34,7 +34,7 @@ def test_few_shingles_fill_all_bins():
 def test_query(spark):
     got = {r.doc_id: r for r in LLM_QUERIES["op10_fingerprints"](spark, "/root/testdata/sf0.001").collect()}
     docs = sorted(table(spark).collect(), key=lambda r: -r.doc_id)
-    known = WordHashes()
+    known = Shingler()
     errors = []
     for k, row in enumerate(docs):
         after = docs[(k + 1) % len(docs)]
@@ -44,7 +44,7 @@ def test_query(spark):
         assert found.fingerprint == Fingerprinter().of(row.text).hex()
         assert found.edited_fingerprint == Fingerprinter().of(changed).hex()
         for other, near in ((changed, found.near_edited), (after.text, found.near_next)):
-            a, b = (set(shingles(t, known).tolist()) for t in (row.text, other))
+            a, b = (set(known.of(t).tolist()) for t in (row.text, other))
             errors.append(near - (len(a & b) / len(a | b) if a | b else 1))
     assert len(got) == len(docs) and np.mean(np.abs(errors)) < 0.03 and abs(np.mean(errors)) < 0.01
 
