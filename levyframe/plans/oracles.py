@@ -164,7 +164,11 @@ SELECT CAST(c_custkey AS VARCHAR) AS source,
        'missing keys: name' AS error
 FROM customer WHERE c_mktsegment = 'MACHINERY'
 UNION ALL
-SELECT CAST(c_custkey AS VARCHAR), 'unknown keys: komposante' FROM customer WHERE c_mktsegment = 'BUILDING'
+SELECT CAST(c_custkey AS VARCHAR),
+       CASE c_custkey % 5 WHEN 0 THEN 'unknown keys: komposante'
+            WHEN 3 THEN 'component 2: logical_order is missing' WHEN 4 THEN 'component 2: values is not a list of numbers'
+            ELSE 'component 2: logical_order is not a 32-bit integer' END
+FROM customer WHERE c_mktsegment = 'BUILDING'
 """
 
 _COMPONENTS = f"""

@@ -333,7 +333,7 @@ def attribute_gaps_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def policy_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One TOML document per customer; two market segments write faulty ones."""
+    """One TOML document per customer; two market segments write faulty ones, with faults of several kinds."""
     segment = F.col("c_mktsegment")
     balance = F.col("c_acctbal").cast("string")
 
@@ -341,7 +341,15 @@ def policy_documents(spark: SparkSession, folder: str) -> DataFrame:
         return F.concat(F.lit('"'), cell, F.lit('"'))
 
     named = F.when(segment != "MACHINERY", F.concat(F.lit("name = "), quoted(F.col("c_name")), F.lit("\n")))
-    second = F.when(segment == "BUILDING", F.lit("[[komposante]]\n")).otherwise(F.lit("[[composante]]\n"))
+    fault = F.when(segment == "BUILDING", F.pmod("c_custkey", F.lit(5)))
+    second = F.when(fault == 0, F.lit("[[komposante]]\n")).otherwise(F.lit("[[composante]]\n"))
+    order = (
+        F.when(fault == 1, F.lit("logical_order = 4294967296\n"))
+        .when(fault == 2, F.lit('logical_order = "12"\n'))
+        .when(fault == 3, F.lit(""))
+        .otherwise(F.lit("logical_order = 12\n"))
+    )
+    rate = F.when(fault == 4, F.lit('"high"')).otherwise(F.col("c_nationkey").cast("string"))
     parts = [
         F.coalesce(named, F.lit("")),
         F.lit("intitule_long = "), quoted(F.concat(F.lit("Segment "), segment)), F.lit("\n\n"),
@@ -352,10 +360,10 @@ def policy_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('[composante.parameters]\nnames = ["rho", "cap"]\nintitules_long = ["Share"]\n'),
         F.lit("values = ["), balance, F.lit(", 3, 4.5]\n\n"),
         second,
-        F.lit('name = "levy"\nintitule_long = "Levy"\nlogical_order = 12\ncaracteristiques_dependencies = []\n'),
+        F.lit('name = "levy"\nintitule_long = "Levy"\n'), order, F.lit("caracteristiques_dependencies = []\n"),
         F.lit("function = '''\ndef levy(v, p, a):\n    return p[\"tau\"]\n'''\n"),
         F.lit('parameters = { names = ["tau"], intitules_long = ["Rate", "Spare"], values = ['),
-        F.col("c_nationkey").cast("string"), F.lit("] }\n"),
+        rate, F.lit("] }\n"),
     ]
     text = table(spark, folder, "customer").select("c_custkey", F.concat(*parts).alias("text"))
     return parse_policies(text, "c_custkey", "text")
