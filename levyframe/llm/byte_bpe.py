@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KEPT = 1 << 19  # chunks and pre-tokens remembered by a task
+_KEPT = 1 << 18  # chunks, and pre-tokens, remembered by a worker
+_CHARS = 1 << 22  # of texts that are learnt from at a time
+_MERGED = 1 << 19  # bytes of pre-tokens that are merged at a time
 _LONG = 64  # longer ones are not remembered
 
 
@@ -137,8 +139,14 @@ class ByteBpe:
         whole = [self.ranks.get(p) for p in pieces]
         rest = [k for k, rank in enumerate(whole) if rank is None and pieces[k]]
         out = [b"" if rank is None else rank.to_bytes(4, "little") for rank in whole]
-        for k, ids in zip(rest, self._merge([pieces[k] for k in rest]), strict=True):
-            out[k] = ids
+        start, size = 0, 0
+        for stop, k in enumerate(rest, start=1):
+            size += len(pieces[k])
+            if size >= _MERGED or stop == len(rest):
+                some = rest[start:stop]
+                for k, ids in zip(some, self._merge([pieces[k] for k in some]), strict=True):
+                    out[k] = ids
+                start, size = stop, 0
         return out
 
     def _merge(self, pieces: list[bytes]) -> list[bytes]:
@@ -236,7 +244,15 @@ class ByteBpe:
         self._passing = [c for c in cut if len(c) > _LONG], [p for p in fresh if len(p) > _LONG]
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; memory grows with the texts given at a time."""
+        """The ids of each text."""
+        start, size = 0, 0
+        for stop, text in enumerate(texts, start=1):
+            size += len(text or "")
+            if size >= _CHARS or stop == len(texts):
+                yield from self._encode(texts[start:stop])
+                start, size = stop, 0
+
+    def _encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         self._learn([t or "" for t in texts])
         known, pieces = self._chunks, self._pieces
         for text in texts:
