@@ -12,7 +12,7 @@ rows out by ranges of the id; a range's last row gets its partner as one extra r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from levyframe.llm.text import WordHashes, mixed, shingles, utf8
+from levyframe.llm.text import Shingler, mixed, utf8
 
 BINS = 256
 BITS = 8
@@ -42,11 +42,14 @@ class Fingerprinter:
             raise ValueError("bins: a power of two; bits: 1, 2, 4 or 8")
         self.bins, self.bits = bins, bits
         self._shift = np.uint64(64 - bins.bit_length() + 1)
-        self._known = WordHashes()
+        self._shingler = Shingler()
         self._draws = _draws(bins)
 
+    def many(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        return map(self.of_shingles, self._shingler.many(texts))
+
     def of(self, text: str | bytes | None) -> bytes:
-        return self.of_shingles(shingles(text, self._known))
+        return self.of_shingles(self._shingler.of(text))
 
     def of_shingles(self, values: np.ndarray) -> bytes:
         """``values``: sorted distinct 64-bit hashes."""
@@ -89,7 +92,7 @@ def fingerprints(df: DataFrame, text: str = "text", bins: int = BINS, bits: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Fingerprinter(bins, bits)
         for batch in batches:
-            new = pa.array([made.of(t) for t in utf8(batch.column(text))], pa.binary())
+            new = pa.array(list(made.many(utf8(batch.column(text)))), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, "fingerprint"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("fingerprint", T.BinaryType())]))
@@ -151,20 +154,25 @@ def with_edits(df: DataFrame, parts: int | None = None, bins: int = BINS, bits:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Fingerprinter(bins, bits)
-        waiting = None
+        waiting: list[tuple] = []  # the row whose next one is not known yet
         done = False
         for batch in batches:
-            out = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "guard")), strict=True)
-            for doc_id, text, guard in rows:
-                if done:
-                    break
-                print_ = made.of(text)
-                if waiting is not None:
-                    out.append(_row(made, *waiting, text, print_))
-                waiting = (doc_id, text, print_)
-                done = bool(guard)
-            if out:
+            if done:
+                continue
+            texts = batch.column("text").to_pylist()
+            own = made.many(t.encode() for t in texts)
+            rows = [*waiting, *zip(batch.column("doc_id").to_pylist(), texts, own, strict=True)]
+            guards = batch.column("guard").to_pylist()
+            done = 1 in guards
+            if done:  # what follows the first partner row is the same row again
+                rows = rows[: len(waiting) + guards.index(1) + 1]
+            waiting = rows[-1:]
+            if len(rows) > 1:
+                changed = [edited(one[1], after[1]).encode() for one, after in zip(rows, rows[1:], strict=False)]
+                out = [
+                    _row(made, one, text, print_, after[2])
+                    for one, after, text, print_ in zip(rows, rows[1:], changed, made.many(changed), strict=False)
+                ]
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -172,9 +180,7 @@ def with_edits(df: DataFrame, parts: int | None = None, bins: int = BINS, bits:
     return ordered.select("doc_id", "text", "guard").mapInArrow(run, _EDITS)
 
 
-def _row(made: Fingerprinter, doc_id: int | None, text: str, own: bytes, following: str, next_own: bytes) -> tuple:
-    changed = edited(text, following)
-    after = made.of(changed)
-    sha = sha256(changed.encode()).hexdigest()
+def _row(made: Fingerprinter, row: tuple, changed: bytes, after: bytes, next_own: bytes) -> tuple:
+    doc_id, text, own = row
     near = made.likeness(own, after), made.likeness(own, next_own)
-    return (doc_id, len(text), sha, own.hex(), after.hex(), *near)
+    return (doc_id, len(text), sha256(changed).hexdigest(), own.hex(), after.hex(), *near)

@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levyframe.llm.text import mixed, utf8
+from levyframe.llm.text import mixed, powers, utf8
 from levyframe.storage import stage
 
 LENGTH = 400
 GRAM = 128
+_TABLE = 1 << 16
 _STEP = 1 << 22  # bytes of a text that are hashed at a time
 _PLACE_BITS = 23
 _CONTEXTS = 8192  # suffix-sorted at a time, or all of one anchor
@@ -45,19 +46,6 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = mixed(np.arange(256, dtype=np.uint64))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP, _DOWN = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
-
-
-def _power(which: np.ndarray, base: np.uint64, n: int) -> np.ndarray:
-    return which[:n] if n <= len(which) else _powers(base, n)
-
-
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by running minima forwards and backwards in blocks of that width."""
     n = len(values) - width + 1
@@ -70,24 +58,33 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backwards[:n], forwards[width - 1 : width - 1 + n])
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor hash, anchor place, first window, last window) of the runs of windows that share an anchor."""
-    for start in range(0, max(1, len(text) - length + 1), _STEP):
-        data = np.frombuffer(text, np.uint8)[start : start + _STEP + length - 1]
-        if len(data) < length:
-            return
-        n = len(data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _power(_UP, _BASE, n), out=sums[1:])
-        count = n - gram + 1
-        hashes = mixed((sums[gram:] - sums[:-gram]) * _power(_DOWN, _INVERSE, count))
-        places = np.arange(count, dtype=np.uint64)
-        packed = (hashes & ~np.uint64((1 << _PLACE_BITS) - 1)) | places
-        least = _sliding_least(packed, length - gram + 1) & np.uint64((1 << _PLACE_BITS) - 1)
-        first = np.flatnonzero(np.diff(least, prepend=np.uint64(1 << 40)))
-        last = np.append(first[1:] - 1, len(least) - 1)
-        at = least[first].astype(np.int64)
-        yield hashes[at].view(np.int64), at + start, first + start, last + start
+class Anchors:
+    """Cuts texts into runs of windows that share their smallest gram."""
+
+    def __init__(self, length: int = LENGTH, gram: int = GRAM):
+        self.length, self.gram = length, gram
+        self._up, self._down = powers(_BASE, _TABLE), powers(_INVERSE, _TABLE)
+
+    def of(self, text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+        """(anchor hash, anchor place, first window, last window), a part of a long text at a time."""
+        length, gram = self.length, self.gram
+        for start in range(0, max(1, len(text) - length + 1), _STEP):
+            data = np.frombuffer(text, np.uint8)[start : start + _STEP + length - 1]
+            n = len(data)
+            if n < length:
+                return
+            up, down = (self._up, self._down) if n <= _TABLE else (powers(_BASE, n), powers(_INVERSE, n))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
+            count = n - gram + 1
+            hashes = mixed((sums[gram:] - sums[:-gram]) * down[:count])
+            places = np.arange(count, dtype=np.uint64)
+            packed = (hashes & ~np.uint64((1 << _PLACE_BITS) - 1)) | places
+            least = _sliding_least(packed, length - gram + 1) & np.uint64((1 << _PLACE_BITS) - 1)
+            first = np.flatnonzero(np.diff(least, prepend=np.uint64(1 << 40)))
+            last = np.append(first[1:] - 1, len(least) - 1)
+            at = least[first].astype(np.int64)
+            yield hashes[at].view(np.int64), at + start, first + start, last + start
 
 
 def _places(length: int, gram: int):
@@ -95,13 +92,14 @@ def _places(length: int, gram: int):
                         ("first", pa.int64()), ("last", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Anchors(length, gram)
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             held = 0
             for key, text in zip(batch.column("row_key").to_pylist(), utf8(batch.column("text")), strict=True):
                 if len(text) < length:
                     continue
-                for hashes, at, first, last in anchors(text, length, gram):
+                for hashes, at, first, last in cutter.of(text):
                     contexts = [
                         int.from_bytes(blake2b(text[f : e + length] + (a - f).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
                         for a, f, e in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)
