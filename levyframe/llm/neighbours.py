@@ -5,8 +5,10 @@ hashed to the nearest of the signed axes.  There are ``TABLES`` such rotations;
 over all tables, on whose axes it lies furthest out.  What the probed buckets hold is ranked by the exact inner
 product in double precision.
 
-For the largest inner product of vectors of several lengths, vectors are scaled by the largest length and get one more
-component that makes them unit vectors; where all have one length this is left out.
+Hashing goes by direction alone, so a vector's length moves no other vector's bucket.  Where the best that the probes
+found leave room for vectors at wide angles (``WIDE``), which hashing cannot tell apart, because these are long or because
+the block is small, the query is compared with all vectors of that length or more in the block; a query with fewer than
+``count`` candidates in a block is compared with the whole block.  So ``count`` are found wherever there are as many.
 
 Vectors are dealt into blocks by a hash, so are queries; a task gets one block of each, builds the tables of its block,
 and returns each query's best.  Equal vectors, however many, spread over the blocks, and no bucket is cut off.
@@ -32,6 +34,7 @@ NEIGHBOURS = 20
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
 ROUNDS = 3
+WIDE = 2.3  # standard deviations of the cosine of random directions, which are 1 / sqrt(components)
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -71,12 +74,8 @@ class CrossPolytope:
         return self.rotated(rows).argmax(axis=2).astype(np.uint32)
 
 
-def unit_rows(vectors: np.ndarray, longest: float, extended: bool) -> np.ndarray:
-    if not extended:
-        return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    scaled = vectors / longest
-    rest = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))
-    return np.hstack([scaled, rest[:, None]])
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -99,14 +98,20 @@ def best_in_block(
     probes = min(probes, flat.shape[1])
     probed = np.argpartition(-flat, probes - 1, axis=1)[:, :probes]
     seen = np.zeros(len(ids), bool)
+    lengths = np.linalg.norm(vectors, axis=1)
+    wide = min(1.0, WIDE / np.sqrt(vectors.shape[1]))
     for q, own, vector in zip(probed, query_ids, queries, strict=True):
         seen[:] = False
         for bucket in q:
             seen[member[bounds[bucket] : bounds[bucket + 1]]] = True
         rows = np.flatnonzero(seen & (ids != own))
+        near = vectors[rows] @ vector
+        least = np.partition(near, -count)[-count] if len(rows) >= count else -np.inf
+        more = np.flatnonzero(~seen & (ids != own) & (lengths * (wide * np.linalg.norm(vector)) >= least))
+        if len(more):
+            rows, near = np.concatenate([rows, more]), np.concatenate([near, vectors[more] @ vector])
         if not len(rows):
             continue
-        near = vectors[rows] @ vector
         if len(rows) > count:
             # all that may be among the best, whatever the last digits are
             last = np.partition(near, -count)[-count]
@@ -136,21 +141,18 @@ def nearest_neighbours(
     found among all other rows."""
     rows = stage(valid_vectors(df, vec_id, vector), "vectors")
     sizes = rows.groupBy(F.size("vector").alias("size")).agg(
-        F.count("*").alias("rows"), F.max("norm2").alias("longest"), F.min("norm2").alias("shortest"),
-        F.count_if(is_query).alias("queries"),
-    )
+        F.count("*").alias("rows"), F.count_if(is_query).alias("queries")
+    )
     most = sizes.orderBy(F.desc("rows"), "size").first()
     if most is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    extended = most.shortest < most.longest * (1 - 1e-6)
-    hashed = CrossPolytope(most.size + extended, tables)
-    longest = float(most.longest) ** 0.5
+    hashed = CrossPolytope(most.size, tables)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 matrix = _matrix(pa.chunked_array([batch.column("vector")]))
-                codes = hashed.codes(unit_rows(matrix, longest, extended)).astype(np.uint32)
+                codes = hashed.codes(unit_rows(matrix)).astype(np.uint32)
                 data = pa.array([c.tobytes() for c in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), data], ["vec_id", "vector", "codes"])
 
@@ -169,7 +171,7 @@ def nearest_neighbours(
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
         codes = np.stack([np.frombuffer(c, np.uint32) for c in held["codes"].to_pylist()]).astype(np.int64)
         queries = _matrix(asked["vector"])
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)  # a query's further component is 0
+        unit = unit_rows(queries)
         ids, matrix, query_ids = held["vec_id"].to_numpy(), _matrix(held["vector"]), asked["vec_id"].to_numpy()
         found = []
         for start in range(0, len(queries), 128):  # bounds the rotated queries in memory

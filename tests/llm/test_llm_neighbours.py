@@ -61,3 +61,23 @@ def test_odd_rows(spark):
     assert nearest_neighbours(df.where("vec_id in (1, 2)"), F.col("vec_id") % 20 == 0).count() == 0
     few = nearest_neighbours(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).collect()
     assert [(r.rank, r.vec_id, r.score) for r in few] == [(1, 1, 1.0), (2, 2, 1.0)]
+
+
+def test_lengths_of_64_components(spark):
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(3000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    one_long = unit.copy()
+    one_long[7] *= 100
+    for vectors in (unit, one_long, unit * rng.lognormal(0, 0.5, (3000, 1))):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        rows = nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect()
+        assert len(rows) == 20 * 60 and recall(rows, np.arange(3000), vectors, range(0, 3000, 50)) >= 0.97
+
+
+@pytest.mark.parametrize("n", [10, 21, 60])
+def test_small_tables_are_searched_whole(spark, n):
+    vectors = np.random.default_rng(n).normal(size=(n, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = nearest_neighbours(df, F.col("vec_id") % 2 == 0).collect()
+    assert len(rows) == min(20, n - 1) * len(range(0, n, 2)) and recall(rows, np.arange(n), vectors, range(0, n, 2)) == 1
