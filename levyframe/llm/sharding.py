@@ -1,14 +1,15 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters the records uniformly into memory-sized buckets with seeded hashes; pass two shuffles each bucket by
-Fisher-Yates in one task and writes it to the shared folder.  A record's place follows from its bucket's start, which
-is the sum of the bucket sizes before it in its shard.
+Pass one scatters whole records, texts and all, uniformly into memory-sized buckets with seeded hashes; pass two shuffles
+each bucket by Fisher-Yates in one task and writes it, in that order, as a file of its shard's folder.  A record's place
+follows from its bucket's start, which is the sum of the bucket sizes before it in its shard.
 
 The law is ``key``: a record's shard follows from its key and the number of shards alone, by jump consistent hashing,
 so one more shard takes records only into itself.  A shard has as many buckets as it takes to keep each near
-``bucket_bytes``; the bucket follows from a hash of the whole record, so many records of one key (also a null one)
+``bucket_bytes``, counted from that shard's own bytes; the bucket follows from a hash of the whole record, so many records of one key (also a null one)
 spread over the buckets of their shard.  Within a bucket records are put in the order of that hash before they are
-shuffled with a seed of (seed, shard, bucket): a task that runs again gives the same places.
+shuffled with a seed of (seed, shard, bucket): a task that runs again gives the same places.  Rows that are equal in all
+columns share a bucket.
 
 Defined cases: null keys are one key; repeated records each get a place; a null text has no bytes and the checksum 0;
 an empty table gives an empty one.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levyframe.storage import stage
+from levyframe.storage import fresh_path
 
 SHARDS = 40
 BUCKET_BYTES = 256 << 20
@@ -59,20 +60,22 @@ def shuffled_shards(
 ) -> DataFrame:
     """All columns of ``df`` with ``shard``, ``grown_shard`` (with one shard more), ``bucket`` and ``slot``.
 
-    ``size`` names a column of bytes that tells how many buckets there must be.  The written records are returned in
-    no order; ``slot`` counts each shard's records from 0 without a gap.
+    ``size`` names a column of bytes that tells how many buckets a shard must have.  The written records are returned
+    in no order; ``slot`` counts each shard's records from 0 without a gap.
     """
     if clash := set(df.columns) & {*_PLACES, "row_order"}:
         raise ValueError(f"columns {sorted(clash)} are there already")
-    total = df.agg(F.sum(F.coalesce(F.col(size), F.lit(0)) + RECORD_BYTES)).first()[0] or 0
-    buckets = int(total) // (shards * bucket_bytes) + 1
     hashed = F.xxhash64(F.lit(seed), F.col(key))
+    held = df.select(_shard(hashed, shards).alias("shard"), (F.coalesce(F.col(size), F.lit(0)) + RECORD_BYTES).alias("held"))
+    totals = {r["shard"]: int(r["held"]) for r in held.groupBy("shard").agg(F.sum("held").alias("held")).collect()}
+    # the driver sees one total for each shard
+    buckets = F.array(*(F.lit(totals.get(k, 0) // bucket_bytes + 1) for k in range(shards)))
     scattered = df.select(
         "*",
         _shard(hashed, shards).alias("shard"),
         _shard(hashed, shards + 1).alias("grown_shard"),
         F.xxhash64(F.lit(seed + 1), *(F.col(f"`{c}`") for c in df.columns)).alias("row_order"),
-    ).withColumn("bucket", F.pmod("row_order", F.lit(buckets)).cast("int"))
+    ).withColumn("bucket", F.pmod("row_order", F.get(buckets, F.col("shard"))).cast("int"))
     names = [*df.columns, "shard", "grown_shard", "bucket"]
     fields = {f.name: f for f in scattered.schema.fields}
     schema = T.StructType([*(fields[c] for c in names), T.StructField("bucket_slot", T.LongType())])
@@ -84,31 +87,35 @@ def shuffled_shards(
         places = pa.array(np.arange(len(order)), pa.int64())
         return table.take(pa.array(order)).select(names).append_column("bucket_slot", places)
 
-    written = stage(scattered.groupBy("shard", "bucket").applyInArrow(shuffle, schema), "shards")
+    shuffled = scattered.groupBy("shard", "bucket").applyInArrow(shuffle, schema)
+    path = fresh_path(df.sparkSession, "shards")
+    _write(shuffled, path, "bucket_slot")
+    written = df.sparkSession.read.schema(shuffled.schema).parquet(path)
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    return written.join(starts, ["shard", "bucket"]).select(
+    # one row for each bucket_bytes of records; without the hint the records would be shuffled once more
+    return written.join(F.broadcast(starts), ["shard", "bucket"]).select(
         *(F.col(f"`{c}`") for c in names), (F.col("start") + F.col("bucket_slot")).alias("slot")
     )
 
 
+def _write(records: DataFrame, path: str, order: str) -> None:
+    records.sortWithinPartitions("shard", "bucket", order).write.partitionBy("shard", "bucket").parquet(path)
+
+
 def write_shards(placed: DataFrame, path: str) -> None:
-    """Write placed records as one folder per shard; each file holds one shuffled bucket's records in order."""
-    placed.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    """Write placed records as one folder per shard and bucket; each file holds one shuffled bucket's records in order."""
+    _write(placed.repartition("shard", "bucket"), path, "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Sizes, checksums and places of all documents; the texts themselves are not moved."""
-    records = docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-    )
-    # only the columns of a record take memory in a bucket here
-    placed = shuffled_shards(records.withColumn("held", F.lit(0)), "doc_id", "held", shards, seed, bucket_bytes)
+    """Sizes, checksums and places of all documents, told from the shards that were written with all their columns."""
+    if "text_bytes" in docs.columns:
+        raise ValueError("a column text_bytes is there already")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    placed = shuffled_shards(docs.withColumn("text_bytes", size), "doc_id", "text_bytes", shards, seed, bucket_bytes)
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard"
-    )
+        "doc_id", size.alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard",
+    )

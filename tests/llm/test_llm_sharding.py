@@ -7,6 +7,7 @@ import pytest
 from corpora import empty, odd, table, texts_of
 from pyspark.sql import functions as F
 
+from levyframe.llm import sharding
 from levyframe.llm.queries import LLM_QUERIES
 from levyframe.llm.sharding import jump_hash, shard_documents, shuffled_shards, write_shards
 
@@ -62,3 +63,32 @@ def test_odd_rows(spark):
     assert shard_documents(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         shuffled_shards(odd(spark).withColumnRenamed("extra", "slot"), "doc_id", "slot")
+
+
+def test_whole_documents_are_written(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "written")
+    monkeypatch.setattr(sharding, "fresh_path", lambda spark, name: path, raising=False)
+    docs = table(spark)
+    rows = shard_documents(docs, shards=5, bucket_bytes=20_000).collect()
+    check(rows, 5)
+    written = spark.read.parquet(path)
+    assert sorted((r.doc_id, r.text) for r in written.collect()) == sorted(texts_of(docs).items())
+    assert set(docs.columns) <= set(written.columns)
+    held = {}
+    for r in written.collect():
+        held.setdefault((r.shard, r.bucket), []).append(len(r.text.encode()))
+    assert len(held) > 20 and max(sum(v) - max(v) for v in held.values()) < 60_000
+    files = [spark.read.parquet(str(f)).collect() for f in (tmp_path / "written").rglob("*.parquet")]
+    assert len(files) == len(held) and all([r.bucket_slot for r in f] == list(range(len(f))) for f in files)
+
+
+def test_a_large_shard_has_more_buckets(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("key"), "id", F.lit(1000).alias("size"))
+    rows = shuffled_shards(df, "key", "size", shards=8, bucket_bytes=200_000).collect()
+    check(rows, 8)
+    buckets: dict[tuple, int] = {}
+    for r in rows:
+        buckets[r.shard, r.bucket] = buckets.get((r.shard, r.bucket), 0) + 1
+    large = max(rows, key=lambda r: r.key == 0).shard
+    assert max(buckets.values()) * 1000 < 300_000 and sum(s == large for s, _ in buckets) > 12
+    assert all(sum(s == k for s, _ in buckets) <= 2 for k in range(8) if k != large)
