@@ -15,7 +15,12 @@ the same smallest ``GRAM``-byte gram (by a rolling hash, the leftmost of equal o
 4. Two windows ``d`` bytes left of their anchors are equal if their suffixes share ``LENGTH - d`` bytes to the right
    and ``d`` to the left, which runs of the two sorted orders tell for all contexts together.
 
-Edges of one anchor meet in one task, each different context once, at most ``2 * LENGTH`` bytes of it.
+Edges of one anchor meet in one task, each different context once, at most ``2 * LENGTH`` bytes of it, if there are at
+most ``_CONTEXTS`` of them.  An anchor with more contexts is split: the windows that start ``lo`` to ``hi`` bytes left of it
+can only be equal where contexts share ``lo`` bytes to the left and ``LENGTH - hi`` to the right, so contexts are grouped
+by a hash of these, no task holding a group.  Contexts that also share ``hi`` bytes to the left and ``LENGTH - lo`` to the
+right have all these windows in common and are done; one of them goes on for the sake of the others, with those of its
+group, and ``lo .. hi`` is halved until each group is one context.
 
 Defined cases: null texts are empty; texts shorter than ``LENGTH`` lose nothing; equal rows are repeats of each other;
 rows are told apart by id and text, so null and repeated ids do no harm.  Matches never cross documents.
@@ -40,7 +45,7 @@ GRAM = 128
 _TABLE = 1 << 16
 _STEP = 1 << 22  # bytes of a text that are hashed at a time
 _PLACE_BITS = 23
-_CONTEXTS = 8192  # suffix-sorted at a time, or all of one anchor
+_CONTEXTS = 8192  # of an anchor that are suffix-sorted in one task
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = mixed(np.arange(256, dtype=np.uint64))
@@ -304,6 +309,58 @@ def _cut(length: int):
     return run
 
 
+_CONTEXT = "anchor long, bytes binary, row_key long, at long, first long, last long, whole boolean"
+_NODE = "node long, cover long, full boolean, row_key long, at long, first long, last long, lo int, hi int"
+
+
+def _halves(length: int):
+    """Contexts with a range of windows, ``lo`` to ``hi`` bytes left of the anchor: a row for each half that they have
+    windows in, with a hash of what equal windows in it must share (``node``), and of all that it covers (``cover``;
+    not ``full`` where the context does not reach that far)."""
+    names = ["node", "cover", "full", "row_key", "at", "first", "last", "lo", "hi"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    columns = ("anchor", "bytes", "row_key", "at", "first", "last", "lo", "hi")
+
+    def hashed(data: bytes, *numbers: int) -> int:
+        salt = b"".join(x.to_bytes(8, "little", signed=True) for x in numbers)
+        return int.from_bytes(blake2b(data + salt, digest_size=8).digest(), "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for anchor, data, key, at, first, last, low, high in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                middle, before = (low + high) // 2, at - first
+                for lo, hi in ((low, middle), (middle + 1, high)):
+                    if lo > hi or hi < at - last or before < lo:
+                        continue
+                    full = at - last <= lo and hi <= before
+                    node = hashed(data[before - lo : before + length - hi], anchor, lo, hi)
+                    cover = hashed(data[before - hi : before + length - lo] if full else data, before if not full else -1)
+                    for x, value in zip(out, (node, cover, full, key, at, first, last, lo, hi), strict=True):
+                        x.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+
+    return run
+
+
+def _split_edges(contexts: DataFrame, length: int, gram: int) -> list[DataFrame]:
+    """Spans of repeats among contexts (a staged table), however many have one anchor."""
+    out = []
+    rows = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
+    while True:
+        nodes = stage(rows.drop("whole").mapInArrow(_halves(length), _NODE), "nodes")
+        one = F.struct("row_key", "at", "lo", "hi")
+        covers = stage(nodes.groupBy("node", "cover", "full").agg(F.count("*").alias("n"), F.min(one).alias("one")), "covers")
+        same = covers.where("full and n > 1").select("node", "cover")
+        equal = nodes.where("full").join(same, ["node", "cover"], "left_semi")
+        out.append(equal.select("row_key", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end")))
+        several = covers.groupBy("node").agg(F.count("*").alias("covers")).where("covers > 1").select("node")
+        left = stage(covers.where("one.lo < one.hi").join(several, "node", "left_semi").select("one.*"), "left")
+        if left.isEmpty():
+            return out
+        rows = left.join(contexts, ["row_key", "at"]).select(*contexts.columns, "lo", "hi")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes."""
     out: list[list[int]] = []
@@ -323,13 +380,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     places = keyed.select("row_key", "text").mapInArrow(_places(length, gram), kinds)
     ordered = places.repartition("anchor").sortWithinPartitions("anchor", "context")
     met = stage(ordered.mapInArrow(_repeated, f"{kinds}, whole boolean, one boolean"), "repeated")
-    several = met.where("one").groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = stage(met.where("one").groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
     wanted = met.where("one").join(several.select("anchor"), "anchor", "left_semi")
     asked = wanted.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "at", "first", "last", "whole")).alias("wanted"))
     # of equal rows one is enough, which sorting by the anchor and its place leaves side by side
-    texts = keyed.select("row_key", "text").join(asked, "row_key")
-    contexts = texts.mapInArrow(_cut(length), "anchor long, bytes binary, row_key long, at long, first long, last long, whole boolean")
+    contexts = keyed.select("row_key", "text").join(asked, "row_key").mapInArrow(_cut(length), _CONTEXT)
+    many = several.where(F.col("contexts") > _CONTEXTS).select("anchor")
+    split: list[DataFrame] = []
+    if not many.isEmpty():
+        contexts = stage(contexts, "contexts")
+        split = _split_edges(stage(contexts.join(many, "anchor", "left_semi"), "split"), length, gram)
+        contexts = contexts.join(many, "anchor", "left_anti")
     once = contexts.repartition("anchor").sortWithinPartitions("anchor", "row_key", "at").mapInArrow(_edges(length), _SPANS)
+    for found in split:
+        once = once.union(found)
     covered = met.where("whole").select("row_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     spans = covered.union(once).groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return keyed.join(stage(spans, "spans"), "row_key", "left").select("doc_id", "text", "spans")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from corpora import empty, odd, table, texts_of
 
+from levyframe.llm import repeated_spans as module
 from levyframe.llm.queries import LLM_QUERIES
 from levyframe.llm.repeated_spans import Suffixes, repeated_spans, span_digests
 
@@ -80,3 +81,55 @@ def test_odd_rows(spark):
     got = span_digests(repeated_spans(odd(spark))).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(((d, *w) for (d, _), w in zip(rows, wanted, strict=True)), key=repr)
     assert span_digests(repeated_spans(empty(spark))).count() == 0
+
+
+@pytest.mark.parametrize(("length", "gram"), [(20, 6), (40, 16), (30, 30)])
+def test_split_anchors(spark, monkeypatch, length, gram):
+    monkeypatch.setattr(module, "_CONTEXTS", 3)
+    rng = random.Random(length + 1)
+    base = ["".join(rng.choice("ab") for _ in range(90)) for _ in range(4)]
+    texts: list = []
+    for _ in range(150):
+        low, high = sorted((rng.randint(0, 90), rng.randint(0, 90)))
+        ends = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 50))) for _ in range(2)]
+        texts.append(ends[0] + rng.choice(base)[low:high] + ends[1])
+    texts += ["a" * 100, "a" * 57, "ab" * 40, "", None, texts[0], texts[1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in span_digests(repeated_spans(df, length, gram)).collect()}
+    assert [got[k] for k in range(len(texts))] == plain([(t or "").encode() for t in texts], length)
+
+
+def test_a_passage_in_many_contexts(spark, monkeypatch):
+    most = 500
+    monkeypatch.setattr(module, "_CONTEXTS", most)
+    edges = module._edges
+
+    def bounded(length):
+        sort = edges(length)
+
+        def run(batches):
+            anchor, times = None, 0
+
+            def counted():
+                nonlocal anchor, times
+                for batch in batches:
+                    for here in batch.column("anchor").to_pylist():
+                        anchor, times = here, times + 1 if here == anchor else 1
+                        if times > most:
+                            raise ValueError("a task holds too many contexts of one anchor")
+                    yield batch
+
+            yield from sort(counted())
+
+        return run
+
+    monkeypatch.setattr(module, "_edges", bounded)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    passage, right = some(300), some(120)
+    texts = [some(500) + passage + some(500) for _ in range(2000)]
+    texts += [some(500) + passage + right[: 90 + k] + some(300) for k in range(15)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in span_digests(repeated_spans(df)).collect()}
+    assert all(got[k] == 0 for k in range(2010))  # 399 bytes at most are shared
+    assert all(got[2000 + k] >= 390 + min(k, 13) for k in range(10, 15))
