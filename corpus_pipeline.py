@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-equal lines the first stays; a document of repeated lines alone goes."""
+    """Of near-equal lines the first stays; a document goes when no line is left in it that is not blank."""
     return line_dedup.dedup_lines(docs)
 
 

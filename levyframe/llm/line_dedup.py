@@ -304,7 +304,7 @@ class LineJoin:
 def _kept(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, judged, lost = [], [], [], []
+            texts, counts, judged, filled, lost = [], [], [], [], []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 lines = (text or "").split("\n") if text is not None else []
                 drop = {(g["line_no"], g["key"]) for g in gone or ()}
@@ -314,9 +314,10 @@ def _kept(min_chars: int):
                 texts.append(None if text is None else "\n".join(x[2] for x in stays))
                 counts.append(len(lines))
                 judged.append(sum(x[1] for x in stays))
+                filled.append(sum(bool(x[2].strip()) for x in stays))
                 lost.append(len(lines) - len(stays))
             new = {"kept_text": pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()),
-                   "n_judged_kept": pa.array(judged, pa.int64()), "n_removed": pa.array(lost, pa.int64())}
+                   "n_judged_kept": pa.array(judged, pa.int64()), "n_filled_kept": pa.array(filled, pa.int64()), "n_removed": pa.array(lost, pa.int64())}
             names = [c for c in batch.schema.names if c != "gone"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new.values()], [*names, *new])
 
@@ -324,10 +325,11 @@ def _kept(min_chars: int):
 
 
 def with_kept_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of ``docs`` with ``kept_text``, ``n_lines``, ``n_judged_kept`` (kept lines of ``min_chars`` or more)
-    and ``n_removed``."""
+    """All columns of ``docs`` with ``kept_text``, ``n_lines``, ``n_judged_kept`` (kept lines of ``min_chars`` or more),
+    ``n_filled_kept`` (kept lines that are not blank) and ``n_removed``."""
     new = [T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()),
-           T.StructField("n_judged_kept", T.LongType()), T.StructField("n_removed", T.LongType())]
+           T.StructField("n_judged_kept", T.LongType()), T.StructField("n_filled_kept", T.LongType()),
+           T.StructField("n_removed", T.LongType())]
     if clash := {*(f.name for f in new), "gone"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     gone = LineJoin(docs.select("doc_id", "text"), distance, min_chars).removed()
@@ -338,9 +340,9 @@ def with_kept_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int =
 
 
 def dedup_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``; a document goes when it lost lines and has none of
-    ``min_chars`` left.  ``n_chars`` is counted anew where there is one."""
-    kept = with_kept_lines(docs, distance, min_chars).where("n_removed = 0 or n_judged_kept > 0")
+    """``docs`` with repeated lines taken out of ``text``; a document goes when it lost lines and has none
+    left that is not blank.  ``n_chars`` is counted anew where there is one."""
+    kept = with_kept_lines(docs, distance, min_chars).where("n_removed = 0 or n_filled_kept > 0")
     out = kept.withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         count = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))

@@ -103,3 +103,10 @@ def test_odd_rows(spark):
     assert dedup_lines(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         with_kept_lines(odd(spark).withColumnRenamed("extra", "gone"))
+
+
+def test_short_lines_outlive_a_repeated_one(spark):
+    footer = "this footer stands on every page"
+    rows = [(1, footer), (2, f"a\nb\nshort verse\n{footer}"), (3, f"  \n{footer}\n"), (4, footer)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == {1: footer, 2: "a\nb\nshort verse"}
