@@ -36,11 +36,3 @@ def write(tmp_path):
         return str(path)
 
     return _write
-
-
-def rows(df):
-    return sorted((tuple(row) for row in df.collect()), key=repr)
-
-
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pytest
-from conftest import rows
+from helpers import rows
 
 from levyframe import null_cells, read_households, register, with_index, write_arrow_ipc
 from levyframe.errors import TableError

@@ -3,7 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 
 from levyframe import Component, Policy, compare_policies, diff_results, difference_results, results_of
 from levyframe.errors import PolicyError, ResultError

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 from test_policy_files import CONS, HEAD, NOTIF, VALID
 

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from levyframe import POSITIONS, output_columns, output_layout, read_delimited, results_to_columns, with_index, with_rank
 from levyframe import storage
@@ -124,7 +124,7 @@ def test_rank_with_hot_ties(spark):
 
 
 def test_positions_use_no_global_window(spark):
-    from conftest import plan
+    from helpers import plan
 
     text = plan(with_index(spark.range(10).selectExpr("id AS k"), ["k"]))
     assert "SinglePartition" not in text  # a window over the blocks of one group, none over the rows

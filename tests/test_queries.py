@@ -4,7 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from conftest import plan
+from helpers import plan
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
