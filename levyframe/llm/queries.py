@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levyframe.llm import byte_bpe, fingerprints, licenses, line_dedup, mixture, neighbours, ngram_join, repeated_spans, sharding, toxicity
+from levyframe.llm import (
+    byte_bpe,
+    centroids,
+    divergence,
+    fingerprints,
+    licenses,
+    line_dedup,
+    mixture,
+    neighbours,
+    ngram_join,
+    repeated_spans,
+    sharding,
+    toxicity,
+    window_dedup,
+)
+from levyframe.llm.oracles import LLM_ORACLES  # noqa: F401
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -61,6 +76,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_documents(spark, sf_dir))
 
 
+def op11_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.window_digests(_documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_documents(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_license_scan": op2_license_scan,
@@ -72,5 +99,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_spans": op8_repeated_spans,
     "op9_neighbours": op9_neighbours,
     "op10_fingerprints": op10_fingerprints,
+    "op11_window_dedup": op11_window_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_centroids": op13_centroids,
 }
-LLM_ORACLES: dict[str, str] = {}
