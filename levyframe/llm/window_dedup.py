@@ -37,7 +37,7 @@ from levyframe.llm.text import mixed, powers, utf8
 from levyframe.storage import stage
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_WINDOWS = 2_000_000
 MARGIN = 16
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
