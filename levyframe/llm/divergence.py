@@ -41,8 +41,8 @@ TOP = 50
 SHARES = 1_000_000_000
 ADDED = 5
 MOST = (1 << 63) // 1000 - 1
-BUCKET_COUNTS = 1_000_000  # counts of terms by source that one task gets
-_PORTION = 16 << 20  # bytes of text counted together
+BUCKET_COUNTS = 250_000  # counts of terms by source that one task gets
+_PORTION = 6 << 20  # bytes of text counted together
 _CELLS = 4 << 20
 
 _LETTER = np.ones(256, bool)
@@ -171,7 +171,6 @@ def source_divergence(
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): for each group its distance to every other source of its language
     (``pair``), and the terms that it has oftenest beyond its language's share (``term``)."""
-    spark = docs.sparkSession
     filled = docs.select(*(
         F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for name, c in (("lang", lang), ("source", source), ("text", text))
     ))
@@ -210,7 +209,7 @@ def source_divergence(
 
     # pairs of sources, by buckets of terms
     held = totals.agg(F.sum("held")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // bucket_counts))
+    buckets = max(1, -(-held // bucket_counts))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
     dealt = kept.select("lang", bucket, "counts").groupBy("lang", "bucket")
