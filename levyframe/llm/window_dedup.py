@@ -1,7 +1,7 @@
 """Substring dedup: words covered by a window of ``WINDOW`` words that also starts in a document of a smaller id.
 
-1. Documents are packed, where they are read, into blocks of about ``BLOCK_BYTES`` of text, in order of the id, and the
-   blocks are written compressed; a block's number stays the same whatever executor reads it later.
+1. Documents are packed, where they are read, into blocks of text that suit an executor's memory (``BLOCK_SHARE``), in
+   order of the id, and the blocks are written compressed; a block's number stays the same whatever executor reads it later.
 2. Every window of a block gets a Rabin-Karp hash of its words: running sums of the words' 128-bit hashes times the powers
    of a base, two lanes of 64 bits.  Equal windows of one block are one entry, that of the smallest id.  Entries are
    dealt into buckets by some bits of the hash and shuffled, one row for each block and bucket, as a digest of the hash
@@ -12,8 +12,8 @@
 4. The bits come back to their blocks.  There the repeated windows are merged into maximal intervals of words, which go.
 
 A window that stands in any number of documents is one entry for each block, and buckets are even as hashes are, so
-copies make no task long.  A bucket holds about ``BUCKET_WINDOWS`` entries; the number of buckets follows from the
-number of windows.  Texts are shuffled once, compressed, to meet their bits.
+copies make no task long.  What a bucket holds follows from an executor's memory (``BUCKET_SHARE``), the number of buckets
+from the number of windows.  Texts are shuffled once, compressed, to meet their bits.
 
 Defined cases: null texts have no words; documents with fewer than ``WINDOW`` words lose nothing; a null id is larger than
 every other, and equal to another null id, so nothing is removed for its sake; rows of one id do not remove each
@@ -33,12 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from levyframe.llm.sizing import share_of_executor
 from levyframe.llm.text import mixed, powers, utf8
 from levyframe.storage import stage
 
 WINDOW = 13
-BLOCK_BYTES = 3 << 20
-BUCKET_WINDOWS = 2_000_000
+BLOCK_SHARE = 1536  # a block's text is this part of an executor's heap: a task takes some 60 times as much
+BUCKET_SHARE = 900  # a bucket has one window for so many bytes of heap
+LEAST_BLOCK, LEAST_BUCKET = 1 << 20, 1 << 20
 MARGIN = 16
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
@@ -140,7 +142,7 @@ def _block_row(number: int, rows: list[tuple[int | None, bytes]], window: int) -
     }
 
 
-def packed(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def packed(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, block_bytes: int = LEAST_BLOCK) -> DataFrame:
     """Blocks of whole documents, numbered by task; to be written before they are used twice."""
     schema = pa.schema([
         ("block", pa.int64()), ("n_windows", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
@@ -320,16 +322,19 @@ def _removed(blocks: DataFrame, answers: DataFrame, buckets: int, window: int) -
 
 
 def without_repeated_windows(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
-    bucket_windows: int = BUCKET_WINDOWS,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int | None = None,
+    bucket_windows: int | None = None,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text) of every document.
 
     ``spans`` are the maximal removed runs of words, counted from 0; ``kept_text`` joins the kept words by one blank.
     """
+    spark = docs.sparkSession
+    block_bytes = block_bytes or share_of_executor(spark, BLOCK_SHARE, LEAST_BLOCK)
+    bucket_windows = bucket_windows or share_of_executor(spark, BUCKET_SHARE, LEAST_BUCKET)
     blocks = stage(packed(docs, doc_id, text, window, block_bytes), "blocks")
     windows = blocks.agg(F.sum("n_windows")).first()[0] or 0
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * tasks, -(-windows // bucket_windows))  # several a task, so that tasks are even
     width = digest_bytes(windows, buckets)
     answers = stage(_answers(_entries(blocks, buckets, width, window), width), "answers")
