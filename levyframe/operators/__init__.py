@@ -21,6 +21,7 @@ from levyframe.operators.compare import (
     difference_results,
     results_of,
 )
+from levyframe.operators.compile_rules import compile_policy
 from levyframe.operators.evaluate import apply_policy, check_dependencies, missing_attributes
 from levyframe.operators.layout import output_columns, output_layout, results_to_columns
 from levyframe.operators.ordering import with_index, with_rank
@@ -52,6 +53,7 @@ __all__ = [
     "check_table",
     "column_types",
     "compare_policies",
+    "compile_policy",
     "components",
     "dependency_set",
     "diff_results",

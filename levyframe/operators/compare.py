@@ -33,6 +33,7 @@ def compare_policies(
     strict_dependencies: bool = False,
     null_results: str = "error",
     trust_source: bool = False,
+    compiled: bool = False,
 ) -> DataFrame:
     """Both policies and their difference on the same row, in one pass over the table.
 
@@ -48,6 +49,7 @@ def compare_policies(
         strict_dependencies=strict_dependencies,
         null_results=null_results,
         trust_source=trust_source,
+        compiled=compiled,
     )
     return wide.select(
         "*",

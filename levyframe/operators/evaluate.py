@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 
 from levyframe.errors import PolicyError, RuleError
 from levyframe.functions.names import column, folded, quoted
+from levyframe.operators.compile_rules import compile_policy, function_key
 from levyframe.operators.evaluate_python import python_results
 from levyframe.operators.rules import COLUMN, MIXED, PYTHON, VECTOR, Component, Policy
+from levyframe.operators.sharing import Shared, fingerprint
 
 REPLACED = "__replaced_"
 
@@ -55,11 +57,13 @@ class _Variables(MutableMapping[str, Any]):
         self.depths: dict[str, int] = {}
         self.depth = 0
         self.set_here: set[str] = set()
+        self.read_here: set[str] = set()
 
     def __getitem__(self, name: str) -> Any:
         if name not in self.values_by_name:
             raise KeyError(f"result {name!r} is read before it is computed")
         self.depth = max(self.depth, self.depths[name])
+        self.read_here.add(name)
         return self.values_by_name[name]
 
     def __setitem__(self, name: str, value: Any) -> None:
@@ -80,6 +84,31 @@ class _Variables(MutableMapping[str, Any]):
         self.depths[name] = depth
 
 
+class _Parameters(Mapping[str, float]):
+    """A policy's parameters; remembers which ones the current component has read."""
+
+    def __init__(self, values: Mapping[str, float]) -> None:
+        self.values_by_name = values
+        self.read_here: set[str] = set()
+
+    def __getitem__(self, name: str) -> float:
+        value = self.values_by_name[name]
+        self.read_here.add(name)
+        return value
+
+    def __iter__(self) -> Iterator[str]:
+        self.read_here.update(self.values_by_name)
+        return iter(self.values_by_name)
+
+    def __len__(self) -> int:
+        self.read_here.update(self.values_by_name)
+        return len(self.values_by_name)
+
+    def __contains__(self, name: object) -> bool:
+        self.read_here.update(self.values_by_name)  # that a name is missing is read, too
+        return name in self.values_by_name
+
+
 @dataclass
 class _Step:
     """One result to add: its column, the component it comes from, and how many projections come before it."""
@@ -132,26 +161,36 @@ def _results_of(component: Component, value: Any, variables: MutableMapping[str,
 
 
 def _column_steps(
-    prefix: str, policy: Policy, attributes: Sequence[str], strict_dependencies: bool, given: Sequence[str] = ()
+    prefix: str,
+    policy: Policy,
+    attributes: Sequence[str],
+    strict_dependencies: bool,
+    given: Sequence[str] = (),
+    shared: Shared | None = None,
+    aliases: dict[str, str] | None = None,
 ) -> list[_Step]:
     """Call the column rules in order; needs no DataFrame, as the rules only build expressions.
 
-    ``given`` names results that are columns already.
+    ``given`` names results that are columns already.  A result that an earlier policy has, by ``shared``, is no step; it
+    goes to ``aliases``.
     """
     functions = policy.functions
-    parameters = policy.parameters
+    parameters = _Parameters(policy.parameters)
+    targets = {name: prefix + name for name in given}
     every_attribute = _Attributes(attributes)
     variables = _Variables()
     for name in given:
         variables.settle(name, column(prefix + name), 0)
     steps: list[_Step] = []
     again = Counter(name for component in policy.ordered for name in (component.name, *component.extra_outputs))
+    if max(again.values()) > 1:
+        shared = None  # a result that is computed again has several values
     for component in policy.ordered:
         seen = every_attribute
         if strict_dependencies:
             seen = _Attributes(component.dependencies)
         variables.depth = 0
-        variables.set_here = set()
+        variables.set_here, variables.read_here, parameters.read_here = set(), set(), set()
         try:
             value = functions[component.name](variables, parameters, seen)
         except Exception as error:
@@ -161,7 +200,23 @@ def _column_steps(
             raise RuleError(f"component {component.name} set undeclared results: {', '.join(undeclared)}")
         results = _results_of(component, value, variables)
         depth = variables.depth
+        twin = None
+        if shared is not None:
+            own = {component.name, *component.extra_outputs}
+            mark = fingerprint(
+                component.kind, function_key(functions[component.name]), component,
+                component.dependencies if strict_dependencies else None,
+                {name: parameters.values_by_name[name] for name in parameters.read_here},
+                {name: targets[name] for name in variables.read_here - own},
+            )
+            twin = shared.twin(mark, prefix + component.name)
         for name, result in results:
+            targets[name] = prefix + name
+            if twin is not None:
+                targets[name] = twin.removesuffix(component.name) + name
+                aliases[prefix + name] = targets[name]
+                variables.settle(name, column(targets[name]), depth + 1)
+                continue
             again[name] -= 1
             # A result that is computed again later stays apart for the components that read it before.
             target = f"{REPLACED}{again[name]}_{prefix}{name}" if again[name] else prefix + name
@@ -210,9 +265,12 @@ def evaluate(
     strict_dependencies: bool = False,
     null_results: str = "error",
     trust_source: bool = False,
+    compiled: bool = False,
 ) -> DataFrame:
     """Add the results of several policies to each row; every policy sees only its own results.
 
+    Components that do the same in several policies (``sharing``) are evaluated once.
+
     ``policies`` pairs a column prefix with a policy.  ``attributes`` are the columns the rules see, by
     default all.  Rows keep all their columns.
     """
@@ -221,16 +279,22 @@ def evaluate(
     attributes = list(df.columns if attributes is None else attributes)
     for _, policy in policies:
         _require(policy, attributes)
+    if compiled:
+        seen = {"attributes": attributes, "strict_dependencies": strict_dependencies, "null_results": null_results}
+        policies = [(prefix, compile_policy(policy, df.schema, **seen)[0]) for prefix, policy in policies]
     check_free(df.sparkSession, df.columns, [prefix + name for prefix, policy in policies for name in policy.outputs])
     order = [*df.columns, *(prefix + name for prefix, policy in policies for name in policy.outputs)]
+    shared, aliases = Shared(), {}
     steps = [
         step
         for prefix, policy in policies
         if policy.kind == COLUMN
-        for step in _column_steps(prefix, policy, attributes, strict_dependencies)
+        for step in _column_steps(prefix, policy, attributes, strict_dependencies, shared=shared, aliases=aliases)
     ]
     if steps:
         df = _column_results(df, steps, null_results)
+    if aliases:
+        df = df.select("*", *(column(twin).alias(name) for name, twin in aliases.items()))
     options = {
         "strict_dependencies": strict_dependencies, "null_results": null_results, "trust_source": trust_source
     }
@@ -259,6 +323,7 @@ def apply_policy(
     strict_dependencies: bool = False,
     null_results: str = "error",
     trust_source: bool = False,
+    compiled: bool = False,
 ) -> DataFrame:
     """Add one double column per component of ``policy``.
 
@@ -269,6 +334,9 @@ def apply_policy(
     ``strict_dependencies`` hides undeclared attributes from the rules, which for Python rules also
     narrows what is sent to the Python workers.
 
+    ``compiled`` turns Python rules into columns where it can (``compile_policy``, which also tells why not); what is
+    compiled is not run, so it needs no ``trust_source``.
+
     Moving a rule from Python to columns: Spark's ``round`` rounds half up (``bround`` half to even), ``%``
     takes the sign of the dividend (``pmod`` does not), integer overflow is an error, and ``greatest`` and
     ``least`` skip NULL.
@@ -280,4 +348,5 @@ def apply_policy(
         strict_dependencies=strict_dependencies,
         null_results=null_results,
         trust_source=trust_source,
+        compiled=compiled,
     )

@@ -18,24 +18,29 @@ from pyspark.sql import types as T
 
 from levyframe.errors import PolicyError, RuleError
 from levyframe.functions.names import column, quoted
-from levyframe.operators.rules import VECTOR, Policy
+from levyframe.operators.rules import PYTHON, VECTOR, Policy
+from levyframe.operators.sharing import Shared, shared_components
 
 PACKED = "__python_results"
 
-# A component: its name, its function, what cuts a row to the attributes it may see (None: it sees all), and how many
-# results there are after it.
-_Call = tuple[str, Callable[..., Any], Callable[[tuple[Any, ...]], Mapping[str, Any]] | None, int]
+# A component: its name, its function (None: an earlier policy has its results), what cuts a row to the attributes it may
+# see (None: it sees all), how many results there are after it, and where results come from that are not its own.
+_Call = tuple[
+    str, Callable[..., Any] | None, Callable[[tuple[Any, ...]], Mapping[str, Any]] | None, int, tuple[tuple[str, int, str], ...]
+]
 
 
 class _Rules:
     """What a worker needs of one policy: functions, parameters and the names to give back."""
 
-    def __init__(self, prefix: str, policy: Policy, strict_dependencies: bool) -> None:
+    def __init__(self, prefix: str, policy: Policy, strict_dependencies: bool, twins: Mapping[str, tuple[int, str]]) -> None:
         self.policy = policy.name
+        self.twins = dict(twins)  # own results that an earlier policy has: which one, and the name there
         self.vector = policy.kind == VECTOR
         self.parameters = dict(policy.parameters)
-        self.outputs = policy.outputs
-        self.fields = [prefix + name for name in policy.outputs]
+        self.outputs = [name for name in policy.outputs if name not in twins]
+        self.every = policy.outputs
+        self.fields = [prefix + name for name in self.outputs]
         self.given = dict(policy.functions)
         self.source = policy.source
         self.steps = [
@@ -43,6 +48,7 @@ class _Rules:
         ]
         declared: set[str] = set()
         self.counts = [len(declared := declared | {c.name, *c.extra_outputs}) for c in policy.ordered]
+        self.results = [(c.name, *c.extra_outputs) for c in policy.ordered]
 
     def bind(self, names: Sequence[str]) -> list[_Call]:
         """The functions in order, each with what cuts a row of ``names`` to the attributes it may see."""
@@ -56,10 +62,13 @@ class _Rules:
         for name, _ in self.steps:
             if name not in functions:
                 raise RuleError(f"policy {self.policy} defines no function {name}")
-        return [
-            (name, functions[name], _cut(visible, names), count)
-            for (name, visible), count in zip(self.steps, self.counts)
-        ]
+        calls: list[_Call] = []
+        for (name, visible), count, results in zip(self.steps, self.counts, self.results):
+            if name in self.twins:
+                calls.append((name, None, None, count, tuple((r, *self.twins[r]) for r in results)))
+            else:
+                calls.append((name, functions[name], _cut(visible, names), count, ()))
+        return calls
 
 
 def _cut(visible: frozenset[str] | None, names: Sequence[str]) -> Callable[[tuple[Any, ...]], Mapping[str, Any]] | None:
@@ -123,20 +132,28 @@ def _evaluate_batch(
     rows: Iterable[tuple[Any, ...]],
     names: Sequence[str],
     given: Sequence[str],
-    policies: list[tuple[list[_Call], Mapping[str, float], list[tuple[str, list[Any]]]]],
+    policies: list[tuple[list[_Call], Mapping[str, float], list[tuple[str, list[Any]]], list[str]]],
 ) -> None:
     """Call every component for every row; its results go to the lists that come with each policy.
 
+    A component whose results an earlier policy has is not called again.
+
     A row holds the values of ``names`` and then of ``given``, earlier results.  For vector rules the "row" is one of
     whole arrays.
     """
-    known = [{*given, *(name for name, _ in results)} for _, _, results in policies]
+    known = [{*given, *outputs} for _, _, _, outputs in policies]
     for row in rows:
         attributes = MappingProxyType(dict(zip(names, row)))
         earlier = dict(zip(given, row[len(names) :]))
-        for (calls, parameters, results), allowed in zip(policies, known):
+        by_policy: list[dict[str, Any]] = []
+        for (calls, parameters, results, _), allowed in zip(policies, known):
             variables: dict[str, Any] = dict(earlier)
-            for name, function, cut, count in calls:
+            by_policy.append(variables)
+            for name, function, cut, count, twins in calls:
+                if function is None:
+                    for own, which, other in twins:
+                        variables[own] = by_policy[which][other]
+                    continue
                 seen = attributes if cut is None else cut(row)
                 try:
                     variables[name] = function(variables, parameters, seen)
@@ -173,27 +190,36 @@ def python_results(
     if strict_dependencies:
         declared = set().union(*(policy.dependencies for _, policy in policies))
         attributes = [name for name in attributes if name in declared]
-    rules = [_Rules(prefix, policy, strict_dependencies) for prefix, policy in policies]
+    rules: list[_Rules] = []
+    aliases: dict[str, str] = {}  # results that are an earlier policy's
+    owners: dict[str, tuple[int, str]] = {}
+    shared, places = Shared(), {PYTHON: 0, VECTOR: 0}
+    for prefix, policy in policies:
+        twins = shared_components(prefix, policy, shared, strict_dependencies) if len(policies) > 1 else {}
+        rules.append(_Rules(prefix, policy, strict_dependencies, {name: owners[twin] for name, twin in twins.items()}))
+        aliases |= {prefix + name: twin for name, twin in twins.items()}
+        owners |= {prefix + name: (places[policy.kind], name) for name in policy.outputs if name not in twins}
+        places[policy.kind] += 1
     fields = [field for rule in rules for field in rule.fields]
     result_type = T.StructType([T.StructField(f"f{i}", T.DoubleType()) for i in range(len(fields))])
     names = list(attributes)
 
     @F.arrow_udf(result_type)
     def evaluate_rows(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        bound = [(rule.bind(names), MappingProxyType(rule.parameters), rule.outputs) for rule in rules]
+        bound = [(rule.bind(names), MappingProxyType(rule.parameters), rule.outputs, rule.every) for rule in rules]
         for arrays in batches:
             if isinstance(arrays, pa.Array):  # a single argument comes without its tuple
                 arrays = (arrays,)
             size = len(arrays[0])
             columns: list[pa.Array] = []
-            work = [[(calls, parameters, [(name, []) for name in outputs])] for calls, parameters, outputs in bound]
+            work = [[(calls, parameters, [(name, []) for name in outputs], every)] for calls, parameters, outputs, every in bound]
             by_row = [one for rule, (one,) in zip(rules, work) if not rule.vector]
             if by_row:
                 _evaluate_batch(zip(*(_plain_values(array) for array in arrays)), names, given, by_row)
             whole = [one for rule, (one,) in zip(rules, work) if rule.vector]
             if whole:
                 _evaluate_batch([tuple(map(_vector, arrays))], names, given, whole)
-            for rule, ((_, _, results),) in zip(rules, work):
+            for rule, ((_, _, results, _),) in zip(rules, work):
                 for name, values in results:
                     if rule.vector:
                         columns.append(_vector_numbers(values[0], size, name, null_results))
@@ -208,4 +234,5 @@ def python_results(
     # Unpacked by a generator: filters on results stay above it, so that the function runs once per row whatever is
     # asked of its results; filters on attributes and column pruning pass it.
     unpacked = packed.select(*map(quoted, df.columns), F.inline(F.array(column(PACKED))))
-    return unpacked.toDF(*df.columns, *fields)
+    unpacked = unpacked.toDF(*df.columns, *fields)
+    return unpacked.select("*", *(column(twin).alias(name) for name, twin in aliases.items())) if aliases else unpacked

@@ -34,6 +34,21 @@ SELECT l_orderkey, l_linenumber, net - net AS d_net, levy_v - levy_b AS d_levy,
 FROM ruled
 """
 
+_BRACKETS = f"""
+WITH based AS (
+  SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus,
+    CASE WHEN o_totalprice - 20000 > 0 THEN o_totalprice - 20000 ELSE {_d('0')} END
+      * CASE WHEN o_orderstatus IN ('F', 'O') AND o_custkey % 3 <> 0 THEN
+          CASE o_orderpriority WHEN '1-URGENT' THEN {_d('0.5')} WHEN '2-HIGH' THEN {_d('0.75')} ELSE {_d('1')} END
+        ELSE {_d('1')} END AS base
+  FROM orders),
+levied AS (
+  SELECT *, CASE WHEN base = 0 THEN {_d('0')} ELSE
+    least(base, {_d('100000')}) * {_d('0.1')} + CASE WHEN base > 100000 THEN base - {_d('100000')} ELSE {_d('0')} END * {_d('0.25')} END AS levy
+  FROM based)
+SELECT *, CAST(CASE WHEN levy / 500 > 120 THEN 120 + o_orderkey // 7 % 5 ELSE trunc(levy / 500) END AS DOUBLE) AS months FROM levied
+"""
+
 _CUSTOMER = """
 SELECT CAST(c_custkey AS INTEGER) AS custkey, c_name AS name, c_nationkey AS nationkey,
        c_acctbal AS acctbal, c_mktsegment AS mktsegment
@@ -238,6 +253,9 @@ LEFT JOIN last ON last.policy = p.policy AND last.name = p.component
 
 ORACLES: dict[str, str] = {
     "apply_policy": _VARIANT,
+    "apply_policy_compiled": _VARIANT,
+    "apply_brackets_compiled": _BRACKETS,
+    "scenario_diff_compiled": _DIFF,
     "apply_policy_python": _VARIANT,
     "apply_policy_vector": _VARIANT,
     "apply_policy_mixed": _VARIANT,

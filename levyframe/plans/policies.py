@@ -1,4 +1,4 @@
-"""The policies of the registered queries, as column rules and as Python rules."""
+"""The policies of the registered queries, as column rules, as Python rules, and as policy files."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from levyframe.operators.rules import COLUMN, PYTHON, VECTOR, Component, Policy
+from levyframe.sources.policy_files import parse_document, to_policy
 
 
 def _net(variables: Mapping[str, Any], parameters: Mapping[str, float], row: Mapping[str, Any]) -> Any:
@@ -93,3 +94,127 @@ def account_policy(rate: float, with_bonus: bool) -> Policy:
     if with_bonus:
         rules.append(Component("bonus", _bonus, {"share": 0.5}, 2, ("mktsegment",)))
     return Policy(f"rate {rate}", rules)
+
+
+# The same two policies as files, and one whose rules hold more of Python.
+BASELINE_FILE = """
+name = "flat"
+intitule_long = "Flat levy"
+
+[[composante]]
+name = "net"
+intitule_long = "Net price"
+parameters = { names = [], intitules_long = [], values = [] }
+logical_order = 1
+caracteristiques_dependencies = ["l_extendedprice", "l_discount"]
+function = '''
+def net(variables, parameters, row):
+    return row["l_extendedprice"] * (1 - row["l_discount"])
+'''
+
+[[composante]]
+name = "levy"
+intitule_long = "Levy"
+parameters = { names = ["tau"], intitules_long = ["Rate"], values = [0.05] }
+logical_order = 2
+caracteristiques_dependencies = []
+function = '''
+def levy(variables, parameters, row):
+    return variables["net"] * parameters["tau"]
+'''
+
+[[composante]]
+name = "total"
+intitule_long = "Total"
+parameters = { names = [], intitules_long = [], values = [] }
+logical_order = 4
+caracteristiques_dependencies = []
+function = '''
+def total(variables, parameters, row):
+    return variables["net"] + variables["levy"]
+'''
+"""
+
+VARIANT_FILE = (
+    BASELINE_FILE.replace('"flat"', '"relieved"')
+    .replace("[0.05]", "[0.08]")
+    .replace('return variables["net"] + variables["levy"]', 'return variables["net"] + variables["levy"] - variables["relief"]')
+    + """
+[[composante]]
+name = "relief"
+intitule_long = "Relief"
+parameters = { names = ["rho"], intitules_long = ["Share"], values = [0.02] }
+logical_order = 3
+caracteristiques_dependencies = ["l_returnflag"]
+function = '''
+def relief(variables, parameters, row):
+    if row["l_returnflag"] == "R":
+        output = variables["net"] * parameters["rho"]
+    else:
+        output = 0.0
+    return output
+'''
+"""
+)
+
+BRACKETS_FILE = """
+name = "brackets"
+intitule_long = "Levy by brackets"
+
+[[composante]]
+name = "base"
+intitule_long = "Base"
+parameters = { names = ["allowance"], intitules_long = ["Allowance"], values = [20000] }
+logical_order = 1
+caracteristiques_dependencies = ["o_totalprice", "o_custkey"]
+function = '''
+SHARES = {"1-URGENT": 0.5, "2-HIGH": 0.75, "3-MEDIUM": 1}
+
+def share(priority):
+    return SHARES.get(priority, 1)
+
+def base(variables, parameters, row):
+    rest = max(row["o_totalprice"] - parameters["allowance"], 0)
+    if row["o_orderstatus"] is None:
+        return rest
+    elif row["o_orderstatus"] in ("F", "O") and row["o_custkey"] % 3 != 0:
+        rest *= share(row["o_orderpriority"])
+    return rest
+'''
+
+[[composante]]
+name = "levy"
+intitule_long = "Levy"
+parameters = { names = ["low", "high", "limit"], intitules_long = ["Low", "High", "Limit"], values = [0.1, 0.25, 100000] }
+logical_order = 2
+caracteristiques_dependencies = []
+function = '''
+def above(value, limit):
+    return value - limit if value > limit else 0.0
+
+def levy(variables, parameters, row):
+    base = variables["base"]
+    if not base:
+        return 0
+    first = min(base, parameters["limit"]) * parameters["low"]
+    return first + above(base, parameters["limit"]) * parameters["high"]
+'''
+
+[[composante]]
+name = "months"
+intitule_long = "Months to pay"
+parameters = { names = [], intitules_long = [], values = [] }
+logical_order = 3
+caracteristiques_dependencies = ["o_orderkey"]
+function = '''
+def months(variables, parameters, row):
+    if variables["levy"] / 500 > 120:
+        return 120 + row["o_orderkey"] // 7 % 5
+    return int(variables["levy"] / 500)
+'''
+"""
+
+
+def from_file(text: str) -> Policy:
+    """A policy file's text as a policy of Python source."""
+    return to_policy(parse_document("text", text))

@@ -69,6 +69,26 @@ def apply_policy_mixed(spark: SparkSession, folder: str) -> DataFrame:
     return apply_policy(lines(spark, folder), policies.variant(COLUMN, VECTOR))
 
 
+def apply_policy_compiled(spark: SparkSession, folder: str) -> DataFrame:
+    """The Python source of a policy file as columns."""
+    return apply_policy(lines(spark, folder), policies.from_file(policies.VARIANT_FILE), compiled=True)
+
+
+def apply_brackets_compiled(spark: SparkSession, folder: str) -> DataFrame:
+    """Branches, local names, helpers and a dictionary; one status is NULL."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_totalprice", "o_orderpriority"
+    )
+    rules = policies.from_file(policies.BRACKETS_FILE)
+    return apply_policy(orders, rules, compiled=True).select("o_orderkey", "o_orderstatus", *rules.outputs)
+
+
+def scenario_diff_compiled(spark: SparkSession, folder: str) -> DataFrame:
+    """Both policies from files, compiled; what they share is one column."""
+    base, variant = (policies.from_file(text) for text in (policies.BASELINE_FILE, policies.VARIANT_FILE))
+    return _differences(spark, folder, base, variant, compiled=True)
+
+
 def _one_of_both(spark: SparkSession, folder: str, which: str, names: list[str]) -> DataFrame:
     """One policy's results out of a pass that evaluates both."""
     wide = compare_policies(lines(spark, folder), policies.baseline(), policies.variant())
@@ -94,8 +114,8 @@ def extra_outputs(spark: SparkSession, folder: str) -> DataFrame:
     return apply_policy(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), Policy("range", [rule]))
 
 
-def _differences(spark: SparkSession, folder: str, base: Policy, variant: Policy) -> DataFrame:
-    wide = compare_policies(lines(spark, folder), base, variant)
+def _differences(spark: SparkSession, folder: str, base: Policy, variant: Policy, **options: bool) -> DataFrame:
+    wide = compare_policies(lines(spark, folder), base, variant, **options)
     named = [F.col(DIFF + name).alias("d_" + name) for name in variant.outputs]
     return wide.select("l_orderkey", "l_linenumber", *named)
 
@@ -507,11 +527,14 @@ QUERIES: dict[str, Query] = {
     "apply_policy_python": apply_policy_python,
     "apply_policy_vector": apply_policy_vector,
     "apply_policy_mixed": apply_policy_mixed,
+    "apply_policy_compiled": apply_policy_compiled,
+    "apply_brackets_compiled": apply_brackets_compiled,
     "extra_outputs": extra_outputs,
     "scenario_baseline": scenario_baseline,
     "scenario_variant": scenario_variant,
     "scenario_diff": scenario_diff,
     "scenario_diff_python": scenario_diff_python,
+    "scenario_diff_compiled": scenario_diff_compiled,
     "scenario_diff_keyed": scenario_diff_keyed,
     "scenario_run": scenario_run,
     "read_delimited": read_delimited_query,

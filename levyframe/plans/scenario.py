@@ -33,12 +33,13 @@ def run_scenario(
     prefix: str | None = None,
     functions: Mapping[str, Callable[..., Any]] | None = None,
     trust_source: bool = False,
+    compiled: bool = False,
     **read_options: Any,
 ) -> dict[str, str]:
     """Read, check, evaluate, compare and write; returns the path of each result written.
 
     Policies are ``Policy`` objects or ``.toml`` files, whose Python source runs only with
-    ``trust_source=True``.  Results of which several are written, or that need row positions, are staged
+    ``trust_source=True`` unless it can be ``compiled`` to columns.  Results of which several are written, or that need row positions, are staged
     first: the input is read and each rule runs once per row, and a rule that fails leaves no result behind.
     """
     positions = list(POSITIONS) if fmt == "csv" else []
@@ -48,10 +49,10 @@ def run_scenario(
     first = _policy(spark, baseline, functions)
     second = None if variant is None else _policy(spark, variant, functions)
     if second is None:
-        wide = apply_policy(table, first, prefix=BASELINE, attributes=attributes, trust_source=trust_source)
+        wide = apply_policy(table, first, prefix=BASELINE, attributes=attributes, trust_source=trust_source, compiled=compiled)
         outputs = {BASELINE: first.outputs}
     else:
-        wide = compare_policies(table, first, second, attributes=attributes, trust_source=trust_source)
+        wide = compare_policies(table, first, second, attributes=attributes, trust_source=trust_source, compiled=compiled)
         outputs = {BASELINE: first.outputs, VARIANT: second.outputs, DIFF: second.outputs}
     with temporary_stages(spark):
         return _written(spark, wide, fmt, attributes, positions, outputs, folder, prefix, second is not None)
