@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from typing import Any
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from levyframe.functions.cells import checked_cast
 from levyframe.functions.names import case_clashes, column, quoted
 from levyframe.operators.checks import apply_types, first_type_mismatch, resolve_types, unsupported_columns
 from levyframe.operators.ordering import with_index
+from levyframe.sources.text_records import FILE, FIRST, LINE, OFFSET, first_line, quoted_records, text_lines
 
 DELIMITER = ";"
-SOURCE_FILE, SOURCE_OFFSET = "__file", "__offset"
+SOURCE_FILE, SOURCE_OFFSET = FILE, OFFSET
 POSITIONS = (SOURCE_FILE, SOURCE_OFFSET)
 CORRUPT = "__corrupt"
 ROW = "__row"
@@ -50,26 +52,26 @@ def read_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool
     return names
 
 
-def _text_rows(
-    spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool, **options: Any
-) -> tuple[DataFrame, list[str]]:
-    """The file as text, with the physical column of each header field.
-
-    FAILFAST sees a row with too few or too many fields only when no column is pruned, hence the reader's
-    ``columnPruning=False``.  Unless a name occurs twice, every file's own header is checked too.
-    """
+def _records(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool) -> DataFrame:
+    """Lines or records with their cells ``f0``, ``f1`` ... and the column ``CORRUPT``, which is not NULL where the number
+    of cells is not the header's.  Each is parsed once, whatever is asked of it."""
     clashes = case_clashes(spark, set(header))
     if clashes:
         raise TableError(
             f"columns differ only by case, set spark.sql.caseSensitive=true: {clashes}"
         )
-    distinct = len(set(header)) == len(header)
-    physical = list(header) if distinct else [f"__field_{i}" for i in range(len(header))]
-    fields = [T.StructField(name, T.StringType()) for name in physical]
-    if options.get("mode") == "PERMISSIVE":
-        fields.append(T.StructField(CORRUPT, T.StringType()))
-    reader = _reader(spark, multi_line).option("header", True).option("enforceSchema", not distinct)
-    return reader.options(**options).schema(T.StructType(fields)).csv(path), physical
+    if multi_line:
+        lines = quoted_records(spark, path, DELIMITER)
+    else:
+        lines = text_lines(spark, path, first_line(spark, path))
+    fields = [*(f"f{i} string" for i in range(len(header))), f"{CORRUPT} string"]
+    options = {"sep": DELIMITER, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
+    parsed = F.from_csv(LINE, ", ".join(fields), {**options, "maxCharsPerColumn": "-1"})
+    return lines.select("*", F.inline(F.array(parsed)))
+
+
+def _blank() -> Column:
+    return F.col(LINE).rlike(r"\A[\x00-\x20]+\z")
 
 
 def read_text_cells(
@@ -78,40 +80,23 @@ def read_text_cells(
     """All cells as text; of columns with one name the last one stays."""
     check_suffix(path, ".csv")
     header = read_header(spark, path, multi_line)
-    rows, physical = _text_rows(spark, path, header, multi_line, mode="FAILFAST")
+    records = _records(spark, path, header, multi_line)
+    same = [F.coalesce(F.col(f"f{i}"), F.lit("")) == name for i, name in enumerate(header)]
+    fault = F.when(~F.is_valid_utf8(LINE), F.lit("bytes that are not UTF-8"))
+    fault = fault.when(F.col(FIRST) & ~reduce(and_, same, F.col(CORRUPT).isNull()), F.lit("its header is another"))
+    cells = [F.col(f"f{i}") for i in range(len(header))]
+    if len(header) > 1:
+        fault = fault.when(_blank(), F.lit(f"a line of blanks, where the header has {len(header)} fields"))
+        fault = fault.when((F.col(LINE) != "") & F.col(CORRUPT).isNotNull(), F.lit(f"a record that has not {len(header)} fields"))
+    else:
+        cells = [F.when(_blank(), F.col(LINE)).otherwise(cells[0])]
+        fault = fault.when((F.col(LINE) != "") & F.col(CORRUPT).isNotNull() & ~_blank(), F.lit("a record that has not one field"))
+    text = F.concat(F.col(FILE), F.lit(": "), fault, F.lit(": "), F.make_valid_utf8(LINE))
+    kept = F.when(fault.isNotNull(), F.raise_error(text).cast("boolean")).otherwise(~F.col(FIRST) & (F.col(LINE) != ""))
     last = {name: i for i, name in enumerate(header)}
-    columns = [column(physical[i]).alias(header[i]) for i in sorted(last.values())]
-    kept = [header[i] for i in sorted(last.values())]
-    if positions:
-        columns.append(column("_metadata")["file_path"].alias(SOURCE_FILE))
-        columns.append(column("_metadata")["file_block_start"].alias(SOURCE_OFFSET))
-    cells = rows.select(*columns)
-    if multi_line:
-        return cells
-    # Read beside the records in the same job: lines that the CSV reader passes over, and bytes it would replace.
-    lost = _odd_lines(spark, path).where(_complaint(len(header)))
-    places = [column(part).alias(part) for part in POSITIONS] if positions else []
-    return cells.unionByName(lost.select(*(F.col("line").alias(name) for name in kept), *places))
-
-
-def _odd_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Lines of blanks only, and lines that are not UTF-8: rows (line, file, offset)."""
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"),
-        column("_metadata")["file_path"].alias(SOURCE_FILE),
-        column("_metadata")["file_block_start"].alias(SOURCE_OFFSET),
-    )
-    blank = F.col("line").rlike(r"\A[\x00-\x20]+\z")
-    return lines.where(~F.is_valid_utf8("line") | blank)
-
-
-def _complaint(fields: int) -> Column:
-    """True for a line of blanks that is a record, as the header has one field; every other odd line is an error."""
-    text = F.when(~F.is_valid_utf8("line"), F.lit("bytes that are not UTF-8"))
-    if fields > 1:
-        text = text.otherwise(F.lit(f"a line of blanks, where the header has {fields} fields"))
-    place = F.concat(F.col(SOURCE_FILE), F.lit(": "), text, F.lit(": "), F.make_valid_utf8("line"))
-    return F.when(text.isNotNull(), F.raise_error(place).cast("boolean")).otherwise(F.lit(True))
+    columns = [cells[i].alias(header[i]) for i in sorted(last.values())]
+    places = [F.col(FILE).alias(SOURCE_FILE), F.col(OFFSET).alias(SOURCE_OFFSET)] if positions else []
+    return records.where(kept).select(*columns, *places)
 
 
 def read_delimited(
@@ -129,10 +114,10 @@ def read_delimited(
     over the text finds the types: every cell of a column must be an int32, or every cell a float, or every
     cell text; ``promote_int`` also takes integers in a float column.  Empty cells are the text ''.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.  ``positions`` adds
-    the columns ``POSITIONS``, by which ``with_index`` finds the order of the input.  Empty lines are skipped; a line
-    of blanks is a record of one field, so an error when the header has more.  Bytes that are not UTF-8 are an error.
-    With ``multi_line`` neither is looked for, as a line need not be a record then.
+    ``multi_line`` allows line breaks inside quotes, at the price of a second pass (see ``text_records``).  ``positions``
+    adds the columns ``POSITIONS``, by which ``with_index`` finds the order of the input.  A file's first line is its
+    header.  Empty lines are skipped; a line of blanks is a record of one field, so an error when the header has more.
+    Bytes that are not UTF-8 are an error.
     """
     cells = read_text_cells(spark, path, multi_line=multi_line, positions=positions)
     names = [name for name in cells.columns if not (positions and name in POSITIONS)]
@@ -166,18 +151,10 @@ def ragged_rows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Records whose number of fields is not the header's, lines of blanks among them: rows (file, record)."""
     check_suffix(path, ".csv")
     header = read_header(spark, path)
-    rows, physical = _text_rows(
-        spark, path, header, False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
-    )
-    # Spark refuses to scan for the corrupt record alone, so no characters of the first field are added to it.
-    nothing = F.left(F.coalesce(column(physical[0]), F.lit("")), F.lit(0))
-    ragged = rows.where(column(CORRUPT).isNotNull()).select(
-        column("_metadata")["file_path"].alias("file"), F.concat(column(CORRUPT), nothing).alias("record")
-    )
-    if len(header) == 1:
-        return ragged
-    blank = _odd_lines(spark, path).where(F.is_valid_utf8("line"))
-    return ragged.union(blank.select(F.col(SOURCE_FILE).alias("file"), F.col("line").alias("record")))
+    blank = _blank() if len(header) > 1 else F.lit(False)
+    short = F.is_valid_utf8(LINE) & ((F.col(CORRUPT).isNotNull() & ~_blank()) | blank)
+    found = _records(spark, path, header, False).where(~F.col(FIRST) & (F.col(LINE) != "") & short)
+    return found.select(F.col(FILE).alias("file"), F.col(LINE).alias("record"))
 
 
 def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -1,0 +1,184 @@
+from __future__ import annotations
+
+import csv
+import io
+import random
+
+import numpy as np
+import pytest
+from helpers import plan, rows
+from pyspark.sql import types as T
+
+from levyframe import POSITIONS, ragged_rows, read_delimited
+from levyframe.operators.ordering import with_index
+from levyframe.sources import text_records
+from levyframe.sources.delimited import read_text_cells
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut into blocks of some bytes, so that records cross them."""
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def set_to(size: int) -> None:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+
+    yield set_to
+    for name, value in kept.items():
+        spark.conf.set(name, value)
+
+
+def scans(df) -> int:
+    return plan(df).count("FileScan")
+
+
+SCHEMA = {"a": T.IntegerType(), "b": T.StringType()}
+
+
+def test_one_scan_with_a_schema_and_two_without(spark, write):
+    path = write("h.csv", "a;b\n1;x\n2;y\n")
+    df = read_delimited(spark, path, SCHEMA)
+    assert scans(df) == 1 and "Exchange" not in plan(df)
+    tracker, group = spark.sparkContext.statusTracker(), "types"
+    spark.sparkContext.setJobGroup(group, group)
+    typed = read_delimited(spark, path)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # the header and the first line are looked at, and one pass finds the types; adaptive execution counts its stage apart
+    assert len(tracker.getJobIdsForGroup(group)) <= 5 and scans(typed) == 1
+
+
+def test_a_line_is_parsed_once(spark, write):
+    df = read_delimited(spark, write("h.csv", "a;b\n1;x\n2;y\n"), SCHEMA)
+    assert df.select("a")._jdf.queryExecution().executedPlan().toString().count("from_csv") == 1
+
+
+def test_the_header_again_is_a_record(spark, write, tmp_path, small_blocks):
+    path = write("h.csv", "a;b\nx;y\na;b\nz;w\n")
+    text = {"a": T.StringType(), "b": T.StringType()}
+    wanted = [("a", "b"), ("x", "y"), ("z", "w")]
+    assert rows(read_delimited(spark, path, text)) == wanted
+    with pytest.raises(Exception, match="not a int: 'a'"):
+        read_delimited(spark, write("g.csv", "a;b\n1;y\na;b\n"), SCHEMA).collect()
+    small_blocks(4)
+    assert rows(read_delimited(spark, path, text)) == wanted
+
+
+@pytest.mark.parametrize("apart", [0, 100])
+def test_many_files(spark, write, tmp_path, monkeypatch, apart):
+    monkeypatch.setattr(text_records, "FILES_APART", apart)
+    for k in range(12):
+        write(f"all.csv/part {k}[{k}]é.csv", f"a;b\n{k};x{k}\n{k + 100};y\n")
+    df = read_delimited(spark, str(tmp_path / "all.csv"), SCHEMA, positions=True)
+    assert sorted(r["a"] for r in df.collect()) == [*range(12), *range(100, 112)]
+    assert with_index(df, block=POSITIONS).where("Index = 2").first()["a"] == 100
+    write("all.csv/again.csv", "a;b\n1;x\na;b\n")
+    with pytest.raises(Exception, match="header stands there again|not a int: 'a'"):
+        read_delimited(spark, str(tmp_path / "all.csv"), SCHEMA).collect()
+    write("late.csv/a.csv", "a;b\n1;x\n")
+    write("late.csv/b.csv", "1;x\na;b\n")
+    with pytest.raises(Exception, match="header"):
+        read_delimited(spark, str(tmp_path / "late.csv"), SCHEMA).collect()
+
+
+def test_headers_may_be_quoted_in_one_file(spark, write, tmp_path):
+    write("all.csv/a.csv", "a;b\n1;x\n")
+    write("all.csv/b.csv", '"a";"b"\n2;y\n')
+    assert rows(read_delimited(spark, str(tmp_path / "all.csv"), SCHEMA)) == [(1, "x"), (2, "y")]
+
+
+def test_a_file_of_a_header_alone(spark, write, tmp_path):
+    write("all.csv/a.csv", "a;b\n")
+    write("all.csv/b.csv", "a;b\n2;y")
+    assert rows(read_delimited(spark, str(tmp_path / "all.csv"))) == [(2, "y")]
+
+
+def test_ragged_records_in_one_scan(spark, write):
+    path = write("h.csv", "a;b\n1;2\n\n3\n ;\n \n4;5;6\n")
+    assert rows(ragged_rows(spark, path).select("record")) == [(" ",), ("3",), ("4;5;6",)]
+    assert scans(ragged_rows(spark, path)) == 1
+
+
+# Line breaks inside quotes
+
+
+def made(rng: random.Random, n: int) -> str:
+    pieces = ["x", "é", '""', "\n", "\n\n", ";", " ", "\r\n", "漢字", "", "long text " * 3]
+    out = ["a;b;c"]
+    for _ in range(n):
+        cells = []
+        for _ in range(3):
+            kind = rng.randint(0, 4)
+            if kind < 2:
+                cells.append('"' + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 5))) + '"')
+            elif kind == 2:
+                cells.append(rng.choice(["1", "", "plain", 'q"uote', 'two "q" s', ' "led']))
+            else:
+                cells.append(str(rng.randint(0, 9)))
+        out.append(";".join(cells))
+        if rng.random() < 0.1:
+            out.append("")
+    return "\n".join(out) + rng.choice(["", "\n"])
+
+
+def plain(text: str) -> list[tuple]:
+    found = [tuple(r) for r in csv.reader(io.StringIO(text, newline=""), delimiter=";", quotechar='"', doublequote=True) if r]
+    return found[1:]
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_quoted_line_breaks_over_many_tasks(spark, write, small_blocks, seed, size):
+    text = made(random.Random(seed), 60)
+    path = write("h.csv", text)
+    small_blocks(size)
+    cells = read_text_cells(spark, path, multi_line=True, positions=True)
+    # records come back in their order
+    ordered = sorted(with_index(cells, block=POSITIONS).collect(), key=lambda r: r["Index"])
+    got = [tuple(cell or "" for cell in r[1:]) for r in ordered]
+    assert got == plain(text)
+    if size < 100:
+        assert text_records._scan(spark, path).select(text_records.OFFSET).distinct().count() > 10
+
+
+def test_a_record_over_many_blocks(spark, write, small_blocks):
+    long = "\n".join(f"line {k}" for k in range(200))
+    path = write("h.csv", f'a;b\n1;x\n2;"{long}"\n3;"y\n"\n')
+    small_blocks(50)
+    assert rows(read_delimited(spark, path, SCHEMA, multi_line=True)) == [(1, "x"), (2, long), (3, "y\n")]
+
+
+def test_quoted_breaks_in_several_files_and_headers(spark, write, tmp_path, small_blocks):
+    for k in range(3):
+        write(f"all.csv/{k}.csv", f'"a\nb";c\n{k};"x\ny"\n"z\n";{k}\n')
+    small_blocks(9)
+    assert rows(read_text_cells(spark, str(tmp_path / "all.csv"), multi_line=True)) == sorted(
+        [(str(k), "x\ny") for k in range(3)] + [("z\n", str(k)) for k in range(3)]
+    )
+    write("all.csv/3.csv", "a;c\n1;2\n")
+    with pytest.raises(Exception, match="header"):
+        read_text_cells(spark, str(tmp_path / "all.csv"), multi_line=True).collect()
+
+
+def test_faults_with_quoted_breaks(spark, write, tmp_path):
+    with pytest.raises(Exception, match="not 2 fields"):
+        read_text_cells(spark, write("h.csv", 'a;b\n"x\ny"\n'), multi_line=True).collect()
+    with pytest.raises(Exception, match="line of blanks"):
+        read_text_cells(spark, write("g.csv", "a;b\n1;2\n  \n"), multi_line=True).collect()
+    (tmp_path / "i.csv").write_bytes(b'a;b\n"x\n\xe9";1\n')
+    with pytest.raises(Exception, match="not UTF-8"):
+        read_text_cells(spark, str(tmp_path / "i.csv"), multi_line=True).collect()
+
+
+def test_states_of_lines():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 50):
+        for _ in range(40):
+            closed, opened = rng.integers(0, 2, (2, n)).astype(bool)
+            for start in (False, True):
+                state, wanted = start, []
+                for c, o in zip(closed, opened, strict=True):
+                    wanted.append(state)
+                    state = bool(o if state else c)
+                before, after = text_records._before(closed, opened, start)
+                assert before.tolist() == wanted and after == state
