@@ -253,6 +253,7 @@ LEFT JOIN last ON last.policy = p.policy AND last.name = p.component
 
 ORACLES: dict[str, str] = {
     "apply_policy": _VARIANT,
+    "read_quoted_breaks": "SELECT CAST(doc_id AS INTEGER) AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents",
     "apply_policy_compiled": _VARIANT,
     "apply_brackets_compiled": _BRACKETS,
     "scenario_diff_compiled": _DIFF,

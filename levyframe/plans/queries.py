@@ -183,6 +183,14 @@ def read_delimited_typed(spark: SparkSession, folder: str) -> DataFrame:
     return read_delimited(spark, _customers_as_text(spark, folder), CUSTOMER_SCHEMA)
 
 
+def read_quoted_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts with their line breaks, in one file of several blocks."""
+    path = fresh_path(spark, "texts.csv")
+    texts = table(spark, folder, "documents").select(F.col("doc_id").cast("int").alias("doc_id"), "lang", "text")
+    write_delimited(texts.coalesce(1), path)
+    return read_delimited(spark, path, {"doc_id": T.IntegerType(), "lang": T.StringType(), "text": T.StringType()}, multi_line=True)
+
+
 def write_delimited_query(spark: SparkSession, folder: str) -> DataFrame:
     results = apply_policy(customers(spark, folder), policies.account_policy(0.1, True))
     path = fresh_path(spark, "results.csv")
@@ -539,6 +547,7 @@ QUERIES: dict[str, Query] = {
     "scenario_run": scenario_run,
     "read_delimited": read_delimited_query,
     "read_delimited_typed": read_delimited_typed,
+    "read_quoted_breaks": read_quoted_breaks,
     "write_delimited": write_delimited_query,
     "ragged_rows": ragged_rows_query,
     "read_arrow_ipc": read_arrow_ipc,

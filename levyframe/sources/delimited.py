@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,29 +31,26 @@ def check_suffix(path: str | Sequence[str], suffix: str) -> None:
             raise TableError(f"{one} is not a {suffix} file")
 
 
-def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
-    # A doubled quote stands for a quote, as in the files to be read; Spark's default is a backslash.
-    return (
-        spark.read.option("sep", DELIMITER)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("columnPruning", False)
-    )
+# A doubled quote stands for a quote, as in the files to be read; Spark's default is a backslash.
+_FORM = {"sep": DELIMITER, "quote": '"', "escape": '"', "columnPruning": "false", "maxCharsPerColumn": "-1"}
 
 
-def read_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> list[str]:
-    """The fields of the first record."""
-    first = _reader(spark, multi_line).option("header", False).csv(path).head()
-    if first is None:
+def read_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> tuple[list[str], str]:
+    """(the fields of the header, its text), from the first line or record of some file."""
+    if multi_line:
+        first = spark.read.options(**_FORM).option("multiLine", True).option("header", False).csv(path).head()
+        text, names = "", [] if first is None else ["" if name is None else name for name in first]
+    else:
+        line = first_line(spark, path)
+        text, names = line or "", [] if line is None else next(csv.reader([line], delimiter=DELIMITER), [""])
+    if not names:
         raise TableError(f"{path} is empty")
-    names = ["" if name is None else name for name in first]
     if "" in names:
         raise TableError(f"{path}: the header has an empty field")
-    return names
+    return names, text
 
 
-def _records(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool) -> DataFrame:
+def _records(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], text: str, multi_line: bool) -> DataFrame:
     """Lines or records with their cells ``f0``, ``f1`` ... and the column ``CORRUPT``, which is not NULL where the number
     of cells is not the header's.  Each is parsed once, whatever is asked of it."""
     clashes = case_clashes(spark, set(header))
@@ -63,10 +61,9 @@ def _records(spark: SparkSession, path: str | Sequence[str], header: Sequence[st
     if multi_line:
         lines = quoted_records(spark, path, DELIMITER)
     else:
-        lines = text_lines(spark, path, first_line(spark, path))
+        lines = text_lines(spark, path, text)
     fields = [*(f"f{i} string" for i in range(len(header))), f"{CORRUPT} string"]
-    options = {"sep": DELIMITER, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
-    parsed = F.from_csv(LINE, ", ".join(fields), {**options, "maxCharsPerColumn": "-1"})
+    parsed = F.from_csv(LINE, ", ".join(fields), {**_FORM, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     return lines.select("*", F.inline(F.array(parsed)))
 
 
@@ -79,8 +76,8 @@ def read_text_cells(
 ) -> DataFrame:
     """All cells as text; of columns with one name the last one stays."""
     check_suffix(path, ".csv")
-    header = read_header(spark, path, multi_line)
-    records = _records(spark, path, header, multi_line)
+    header, text = read_header(spark, path, multi_line)
+    records = _records(spark, path, header, text, multi_line)
     same = [F.coalesce(F.col(f"f{i}"), F.lit("")) == name for i, name in enumerate(header)]
     fault = F.when(~F.is_valid_utf8(LINE), F.lit("bytes that are not UTF-8"))
     fault = fault.when(F.col(FIRST) & ~reduce(and_, same, F.col(CORRUPT).isNull()), F.lit("its header is another"))
@@ -91,8 +88,8 @@ def read_text_cells(
     else:
         cells = [F.when(_blank(), F.col(LINE)).otherwise(cells[0])]
         fault = fault.when((F.col(LINE) != "") & F.col(CORRUPT).isNotNull() & ~_blank(), F.lit("a record that has not one field"))
-    text = F.concat(F.col(FILE), F.lit(": "), fault, F.lit(": "), F.make_valid_utf8(LINE))
-    kept = F.when(fault.isNotNull(), F.raise_error(text).cast("boolean")).otherwise(~F.col(FIRST) & (F.col(LINE) != ""))
+    complaint = F.concat(F.col(FILE), F.lit(": "), fault, F.lit(": "), F.make_valid_utf8(LINE))
+    kept = F.when(fault.isNotNull(), F.raise_error(complaint).cast("boolean")).otherwise(~F.col(FIRST) & (F.col(LINE) != ""))
     last = {name: i for i, name in enumerate(header)}
     columns = [cells[i].alias(header[i]) for i in sorted(last.values())]
     places = [F.col(FILE).alias(SOURCE_FILE), F.col(OFFSET).alias(SOURCE_OFFSET)] if positions else []
@@ -150,10 +147,10 @@ def locate_type_fault(
 def ragged_rows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Records whose number of fields is not the header's, lines of blanks among them: rows (file, record)."""
     check_suffix(path, ".csv")
-    header = read_header(spark, path)
+    header, text = read_header(spark, path)
     blank = _blank() if len(header) > 1 else F.lit(False)
     short = F.is_valid_utf8(LINE) & ((F.col(CORRUPT).isNotNull() & ~_blank()) | blank)
-    found = _records(spark, path, header, False).where(~F.col(FIRST) & (F.col(LINE) != "") & short)
+    found = _records(spark, path, header, text, False).where(~F.col(FIRST) & (F.col(LINE) != "") & short)
     return found.select(F.col(FILE).alias("file"), F.col(LINE).alias("record"))
 
 

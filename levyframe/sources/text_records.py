@@ -64,10 +64,10 @@ def text_lines(spark: SparkSession, path: str | Sequence[str], header: str) -> D
     return lines.withColumn(FIRST, is_header).drop("__at").unionByName(checked)
 
 
-def first_line(spark: SparkSession, path: str | Sequence[str]) -> str:
-    files = _files(spark, path)
-    found = spark.read.text(files[0]).head() if files else None
-    return "" if found is None else found[0]
+def first_line(spark: SparkSession, path: str | Sequence[str]) -> str | None:
+    """The first line of some file; None when there is no line."""
+    found = spark.read.text(path).head()
+    return None if found is None else found[0]
 
 
 # Line breaks inside quotes ---------------------------------------------------------------------------------
