@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from levyframe.operators.rules import COLUMN, PYTHON, VECTOR, Component, Policy
-from levyframe.sources.policy_files import parse_document, to_policy
 
 
 def _net(variables: Mapping[str, Any], parameters: Mapping[str, float], row: Mapping[str, Any]) -> Any:
@@ -214,7 +213,3 @@ def months(variables, parameters, row):
 '''
 """
 
-
-def from_file(text: str) -> Policy:
-    """A policy file's text as a policy of Python source."""
-    return to_policy(parse_document("text", text))

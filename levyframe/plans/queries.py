@@ -34,7 +34,7 @@ from levyframe.sources.delimited import (
     write_delimited,
 )
 from levyframe.sources.households import read_households, write_arrow_ipc
-from levyframe.sources.policy_files import parse_policies
+from levyframe.sources.policy_files import parse_policies, policy_from_text
 from levyframe.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ def apply_policy_mixed(spark: SparkSession, folder: str) -> DataFrame:
 
 def apply_policy_compiled(spark: SparkSession, folder: str) -> DataFrame:
     """The Python source of a policy file as columns."""
-    return apply_policy(lines(spark, folder), policies.from_file(policies.VARIANT_FILE), compiled=True)
+    return apply_policy(lines(spark, folder), policy_from_text(spark, policies.VARIANT_FILE), compiled=True)
 
 
 def apply_brackets_compiled(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,13 +79,13 @@ def apply_brackets_compiled(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_totalprice", "o_orderpriority"
     )
-    rules = policies.from_file(policies.BRACKETS_FILE)
+    rules = policy_from_text(spark, policies.BRACKETS_FILE)
     return apply_policy(orders, rules, compiled=True).select("o_orderkey", "o_orderstatus", *rules.outputs)
 
 
 def scenario_diff_compiled(spark: SparkSession, folder: str) -> DataFrame:
     """Both policies from files, compiled; what they share is one column."""
-    base, variant = (policies.from_file(text) for text in (policies.BASELINE_FILE, policies.VARIANT_FILE))
+    base, variant = (policy_from_text(spark, text) for text in (policies.BASELINE_FILE, policies.VARIANT_FILE))
     return _differences(spark, folder, base, variant, compiled=True)
 
 

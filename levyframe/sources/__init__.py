@@ -10,7 +10,7 @@ from levyframe.sources.delimited import (
     write_delimited,
 )
 from levyframe.sources.households import read_households, result_path, write_arrow_ipc, write_result
-from levyframe.sources.policy_files import load_policy, parse_policies, read_policies, to_policy
+from levyframe.sources.policy_files import load_policy, parse_policies, policy_from_text, read_policies, to_policy
 
 __all__ = [
     "POSITIONS",
@@ -18,6 +18,7 @@ __all__ = [
     "load_policy",
     "locate_type_fault",
     "parse_policies",
+    "policy_from_text",
     "ragged_rows",
     "read_delimited",
     "read_households",

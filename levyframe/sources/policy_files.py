@@ -1,13 +1,21 @@
-"""Policy documents (TOML) to tables, many documents in one job, and one of them to a ``Policy``."""
+"""Policy documents (TOML) to tables, many documents in one job, and one of them to a ``Policy``.
+
+Python only turns a document's text into JSON (``_as_json``), whose scalars are texts that begin with a letter for their
+kind, so that nothing is lost on the way: no 3 becomes 3.0, and NaN and large integers stay.  Spark parses the JSON to
+one variant, and what a policy must look like is said in expressions on it: keys, kinds, ranges, and which fault is first.
+"""
 
 from __future__ import annotations
 
+import json
 import tomllib
 from collections.abc import Callable, Iterator, Mapping
+from functools import partial
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from levyframe.errors import PolicyError
 from levyframe.functions.names import column
@@ -32,116 +40,156 @@ DOCUMENT_SCHEMA = (
     " parameter_names: array<string>, parameter_labels: array<string>, parameter_values: array<double>,"
     " logical_order: int, dependencies: array<string>, function: string>>, error string"
 )
-_TEXTS, _NUMBERS = pa.list_(pa.string()), pa.list_(pa.float64())
-_COMPONENT = pa.struct(
-    [
-        ("name", pa.string()),
-        ("label", pa.string()),
-        ("parameter_names", _TEXTS),
-        ("parameter_labels", _TEXTS),
-        ("parameter_values", _NUMBERS),
-        ("logical_order", pa.int32()),
-        ("dependencies", _TEXTS),
-        ("function", pa.string()),
-    ]
-)
-_DOCUMENT = pa.schema(
-    [
-        ("source", pa.string()),
-        ("policy", pa.string()),
-        ("label", pa.string()),
-        ("components", pa.list_(_COMPONENT)),
-        ("error", pa.string()),
-    ]
-)
+_TEXT, _WHOLE, _FLOAT, _OTHER = "s", "i", "f", "o"  # the letters before scalars
 
 
-def _is_integer(value: Any) -> bool:
-    return isinstance(value, int) and not isinstance(value, bool)
+def _tagged(value: Any) -> Any:
+    """A document's value for JSON."""
+    if isinstance(value, dict):
+        return {key: _tagged(item) for key, item in value.items()}
+    if isinstance(value, list):
+        return [_tagged(item) for item in value]
+    kinds = {str: _TEXT, int: _WHOLE, float: _FLOAT}
+    return kinds.get(type(value), _OTHER) + str(value)
 
 
-def _is_number(value: Any) -> bool:
-    return isinstance(value, float) or _is_integer(value)
+def _as_json(text: str | bytes | None) -> tuple[str | None, str | None]:
+    """(JSON, what is wrong) of a document's text."""
+    if text is None:
+        return None, "no text"
+    try:
+        table = tomllib.loads(text.decode() if isinstance(text, (bytes, bytearray)) else text)
+        return json.dumps(_tagged(table), ensure_ascii=False), None
+    except (ValueError, RecursionError) as error:  # not TOML, not UTF-8, a number of too many digits
+        return None, str(error)
 
 
-def _is_text(value: Any) -> bool:
-    return isinstance(value, str)
+def _json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_as_json(text) for text in batch.column("text").to_pylist()]
+        columns = [batch.column("source"), *(pa.array(x, pa.string()) for x in zip(*found))]
+        if found:
+            yield pa.RecordBatch.from_arrays(columns, ["source", "json", "fault"])
 
 
-def _take(table: Mapping[str, Any], key: str, fits: Callable[[Any], bool], wanted: str, where: str) -> Any:
-    if key not in table:
-        raise PolicyError(f"{where}: {key} is missing")
-    if not fits(table[key]):
-        raise PolicyError(f"{where}: {key} is not {wanted}")
-    return table[key]
+# What a document must look like ----------------------------------------------------------------------------
 
 
-def _list_of(fits: Callable[[Any], bool]) -> Callable[[Any], bool]:
-    return lambda value: isinstance(value, list) and all(fits(item) for item in value)
+def _scalar(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
-def _component(entry: Any, where: str) -> dict[str, Any]:
-    if not isinstance(entry, dict):
-        raise PolicyError(f"{where} is not a table")
-    name, label, parameters, order, dependencies, function = COMPONENT_KEYS
-    names, labels, values = PARAMETER_KEYS
-    inner = _take(entry, parameters, lambda value: isinstance(value, dict), "a table", where)
-    return {
-        "name": _take(entry, name, _is_text, "text", where),
-        "label": _take(entry, label, _is_text, "text", where),
-        "parameter_names": _take(inner, names, _list_of(_is_text), "a list of texts", where),
-        "parameter_labels": _take(inner, labels, _list_of(_is_text), "a list of texts", where),
-        "parameter_values": [
-            float(value) for value in _take(inner, values, _list_of(_is_number), "a list of numbers", where)
-        ],
-        "logical_order": _take(
-            entry, order, lambda value: _is_integer(value) and -(2**31) <= value < 2**31, "a 32-bit integer", where
-        ),
-        "dependencies": _take(entry, dependencies, _list_of(_is_text), "a list of texts", where),
-        "function": _take(entry, function, _is_text, "text", where),
-    }
+def _list(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
-def parse_document(source: str, text: str | bytes | None) -> dict[str, Any]:
-    """One row of the documents table; what is wrong with a document goes into ``error``."""
-    row: dict[str, Any] = {"source": source, "policy": None, "label": None, "components": None, "error": None}
-    try:
-        if text is None:
-            raise PolicyError("no text")
-        table = tomllib.loads(text.decode("utf-8") if isinstance(text, (bytes, bytearray)) else text)
-        missing = [key for key in DOCUMENT_KEYS if key not in table]
-        unknown = sorted(set(table) - set(DOCUMENT_KEYS))
-        if missing:
-            raise PolicyError(f"missing keys: {', '.join(missing)}")
-        if unknown:
-            raise PolicyError(f"unknown keys: {', '.join(unknown)}")
-        name, label, parts = DOCUMENT_KEYS
-        entries = _take(table, parts, lambda value: isinstance(value, list), "a list of tables", "document")
-        if not entries:
-            raise PolicyError("no component")
-        row.update(
-            policy=_take(table, name, _is_text, "text", "document"),
-            label=_take(table, label, _is_text, "text", "document"),
-            components=[_component(entry, f"component {at}") for at, entry in enumerate(entries, start=1)],
-        )
-    except (PolicyError, tomllib.TOMLDecodeError, UnicodeDecodeError) as error:
-        row.update(policy=None, label=None, error=str(error))
-    return row
+def _table(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _is_text(value: Column) -> Column:
+    return F.coalesce(_scalar(value).startswith(_TEXT), F.lit(False))
+
+
+def _is_number(value: Column) -> Column:
+    return F.coalesce(_scalar(value).startswith(_WHOLE) | _scalar(value).startswith(_FLOAT), F.lit(False))
+
+
+def _is_short_integer(value: Column) -> Column:
+    return F.coalesce(_scalar(value).startswith(_WHOLE), F.lit(False)) & _rest(value).try_cast("int").isNotNull()
+
+
+def _is_list(fits: Callable[[Column], Column], value: Column) -> Column:
+    return F.coalesce(F.forall(_list(value), fits), F.lit(False))
+
+
+def _is_table(value: Column) -> Column:
+    return _table(value).isNotNull()
+
+
+def _rest(value: Column) -> Column:
+    """A scalar without its letter."""
+    return F.substring(_scalar(value), 2, 2**31 - 1)
+
+
+def _texts(value: Column) -> Column:
+    return F.transform(_list(value), _rest)
+
+
+def _faults(table: Column, wanted: Mapping[str, tuple[Callable[[Column], Column], str]], where: Column) -> list[Column]:
+    """For each key in order what is wrong with it, NULL where nothing is."""
+    found = []
+    for key, (fits, kind) in wanted.items():
+        lacks, misfits = (F.concat(where, F.lit(f": {key} {text}")) for text in ("is missing", f"is not {kind}"))
+        value = table[key]
+        found.append(F.when(value.isNull(), lacks).when(~fits(value), misfits))
+    return found
+
+
+_NAME, _LABEL, _PARTS = DOCUMENT_KEYS
+_PART_NAME, _PART_LABEL, _PARAMETERS, _ORDER, _DEPENDENCIES, _FUNCTION = COMPONENT_KEYS
+_NAMES, _LABELS, _VALUES = PARAMETER_KEYS
+_TEXT_KIND, _TEXT_LIST = (_is_text, "text"), (partial(_is_list, _is_text), "a list of texts")
+
+
+def _component_fault(entry: Column, at: Column) -> Column:
+    """The first thing that is wrong with a component."""
+    where = F.concat(F.lit("component "), (at + 1).cast("string"))
+    part, inner = _table(entry), _table(_table(entry)[_PARAMETERS])
+    return F.coalesce(
+        F.when(part.isNull(), F.concat(where, F.lit(" is not a table"))),
+        *_faults(part, {_PARAMETERS: (_is_table, "a table"), _PART_NAME: _TEXT_KIND, _PART_LABEL: _TEXT_KIND}, where),
+        *_faults(inner, {_NAMES: _TEXT_LIST, _LABELS: _TEXT_LIST, _VALUES: (partial(_is_list, _is_number), "a list of numbers")}, where),
+        *_faults(part, {_ORDER: (_is_short_integer, "a 32-bit integer"), _DEPENDENCIES: _TEXT_LIST, _FUNCTION: _TEXT_KIND}, where),
+    )
+
+
+def _component(entry: Column) -> Column:
+    part, inner = _table(entry), _table(_table(entry)[_PARAMETERS])
+    return F.struct(
+        _rest(part[_PART_NAME]).alias("name"), _rest(part[_PART_LABEL]).alias("label"), _texts(inner[_NAMES]).alias("parameter_names"),
+        _texts(inner[_LABELS]).alias("parameter_labels"),
+        F.transform(_list(inner[_VALUES]), lambda x: _rest(x).try_cast("double")).alias("parameter_values"),
+        _rest(part[_ORDER]).try_cast("int").alias("logical_order"), _texts(part[_DEPENDENCIES]).alias("dependencies"),
+        _rest(part[_FUNCTION]).alias("function"),
+    )
+
+
+def _joined(names: Column, before: str) -> Column:
+    """A complaint about names; NULL without any."""
+    return F.when(F.size(names) > 0, F.concat(F.lit(before), F.array_join(names, ", ")))
 
 
 def parse_policies(documents: DataFrame, source: str, text: str) -> DataFrame:
-    """Parse a column of TOML texts: one row per document, no shuffle.
+    """Parse a column of TOML texts: one row per document, no shuffle; what is wrong with one goes into ``error``.
 
     One table of many documents scales better than many small files.
     """
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_pylist([parse_document(*row) for row in rows], schema=_DOCUMENT)
-
     chosen = documents.select(column(source).cast("string").alias("source"), column(text).alias("text"))
-    return chosen.mapInArrow(parse, DOCUMENT_SCHEMA)
+    read = chosen.mapInArrow(_json, "source string, json string, fault string")
+    table = F.struct(_table(F.try_parse_json("json")).alias("table"))
+    read = read.select("source", "fault", F.inline(F.array(table)))
+    keys, known = F.map_keys("table"), F.array(*map(F.lit, DOCUMENT_KEYS))
+    parts = _list(F.col("table")[_PARTS])
+    document = F.lit("document")
+    faults = F.filter(F.transform(parts, _component_fault), lambda x: x.isNotNull())
+    error = F.coalesce(
+        "fault",
+        F.when(F.col("table").isNull(), F.lit("the document is too large")),
+        _joined(F.array_except(known, keys), "missing keys: "),
+        _joined(F.array_sort(F.array_except(keys, known)), "unknown keys: "),
+        F.when(parts.isNull(), F.lit(f"document: {_PARTS} is not a list of tables")),
+        F.when(F.size(parts) == 0, F.lit("no component")),
+        *_faults(F.col("table"), {_NAME: _TEXT_KIND, _LABEL: _TEXT_KIND}, document),
+        F.get(faults, F.lit(0)),
+    )
+    # Unpacked by a generator, so that the fault is found once, however often it is asked for.
+    judged = read.select("source", "table", F.inline(F.array(F.struct(error.alias("error"), parts.alias("parts")))))
+    sound, parts = F.col("error").isNull(), F.col("parts")
+    return judged.select(
+        "source", F.when(sound, _rest(F.col("table")[_NAME])).alias("policy"), F.when(sound, _rest(F.col("table")[_LABEL])).alias("label"),
+        F.when(sound, F.transform(parts, _component)).alias("components"), "error",
+    )
 
 
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
@@ -182,6 +230,15 @@ def to_policy(
     return Policy(document["policy"], parts, document["label"])
 
 
+def policy_from_text(
+    spark: SparkSession, text: str, functions: Mapping[str, Callable[..., Any]] | None = None, kind: str = PYTHON
+) -> Policy:
+    """The policy in one document's text."""
+    given = spark.createDataFrame([("text", text)], "source string, text string")
+    (document,) = parse_policies(given, "source", "text").collect()
+    return to_policy(document.asDict(recursive=True), functions, kind)
+
+
 def load_policy(
     spark: SparkSession, path: str, functions: Mapping[str, Callable[..., Any]] | None = None, kind: str = PYTHON
 ) -> Policy:

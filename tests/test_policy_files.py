@@ -21,7 +21,7 @@ from levyframe import (
     read_policies,
 )
 from levyframe.errors import PolicyError
-from levyframe.sources.policy_files import parse_document
+from levyframe.sources.policy_files import _as_json, parse_policies, policy_from_text
 
 NOTIF = """
 [[composante]]
@@ -56,8 +56,15 @@ HEAD = 'name = "apa"\nintitule_long = "Allowance"\n'
 VALID = HEAD + NOTIF + CONS
 
 
-def test_valid_document():
-    row = parse_document("s", VALID)
+def read_texts(spark, *texts):
+    kind = "binary" if any(isinstance(t, bytes) for t in texts) else "string"
+    table = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], f"s string, t {kind}")
+    found = sorted(parse_policies(table, "s", "t").collect(), key=lambda r: int(r["source"]))
+    return [r.asDict(recursive=True) for r in found]
+
+
+def test_valid_document(spark):
+    (row,) = read_texts(spark, VALID)
     assert row["error"] is None and row["policy"] == "apa"
     assert [part["name"] for part in row["components"]] == ["plan_notif", "plan_cons"]
     assert row["components"][0]["parameter_values"] == [0.15, 0.3]
@@ -84,14 +91,52 @@ def test_valid_document():
         (None, "no text"),
     ],
 )
-def test_faulty_documents(text, reason):
-    row = parse_document("s", text)
+def test_faulty_documents(spark, text, reason):
+    (row,) = read_texts(spark, text)
     assert reason in row["error"] and row["components"] is None and row["policy"] is None
 
 
-def test_integers_are_numbers_and_further_keys_are_ignored():
+def test_integers_are_numbers_and_further_keys_are_ignored(spark):
     text = VALID.replace("values = [0.8]", "values = [1]").replace("logical_order = 2", 'logical_order = 2\nnote = "x"')
-    assert parse_document("s", text)["components"][1]["parameter_values"] == [1.0]
+    assert read_texts(spark, text)[0]["components"][1]["parameter_values"] == [1.0]
+
+
+def test_scalars_keep_their_kind_and_value(spark):
+    values = "[3, 3.0, 1_000, 0x1F, 1e21, -0.0, inf, nan, 123456789012345678901234567890]"
+    texts = '["i3", "f", "", "s", "é\\n\\u0001", "null"]'
+    text = VALID.replace("[0.15, 0.3]", values).replace('["tau_1", "tau_2"]', texts)
+    (row,) = read_texts(spark, text)
+    part = row["components"][0]
+    assert part["parameter_names"] == ["i3", "f", "", "s", "é\n\x01", "null"]
+    found = part["parameter_values"]
+    assert found[:7] == [3.0, 3.0, 1000.0, 31.0, 1e21, 0.0, float("inf")] and found[7] != found[7]
+    assert found[8] == float(123456789012345678901234567890)
+    odd = VALID.replace("logical_order = 2", "logical_order = 2024-01-01")
+    assert "component 2: logical_order is not a 32-bit integer" in read_texts(spark, odd)[0]["error"]
+    low = VALID.replace("logical_order = 2", "logical_order = -2147483648")
+    assert read_texts(spark, low)[0]["components"][1]["logical_order"] == -(2**31)
+
+
+def test_the_first_fault_is_told(spark):
+    both = VALID.replace("[0.15, 0.3]", "[true]").replace("logical_order = 2", "logical_order = 2.5")
+    texts = [both, both.replace("Allowance", "x").replace('intitule_long = "x"', "intitule_long = 1"), HEAD + "composante = [{}]", ""]
+    assert [r["error"] for r in read_texts(spark, *texts)] == [
+        "component 1: values is not a list of numbers", "document: intitule_long is not text", "component 1: parameters is missing",
+        "missing keys: name, intitule_long, composante",
+    ]
+    nested = VALID.replace("parameters = { names", 'parameters = "x" # { names')
+    assert read_texts(spark, nested)[0]["error"] == "component 2: parameters is not a table"
+
+
+def test_documents_of_many_digits_or_deep_lists_are_faulty(spark):
+    assert "digits" in read_texts(spark, "a = " + "9" * 5000)[0]["error"]
+    assert _as_json("a = " + "[" * 100_000)[1]
+
+
+def test_python_only_turns_text_to_json(spark):
+    df = parse_policies(spark.createDataFrame([("s", VALID)], "s string, t string"), "s", "t")
+    assert plan(df).count("MapInArrow") == 1 and "Exchange" not in plan(df)
+    assert policy_from_text(spark, VALID).outputs == ["plan_notif", "plan_cons"]
 
 
 def test_folder_of_files(spark, write, tmp_path):
