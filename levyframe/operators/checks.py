@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from levyframe.errors import ResultError, TableError
 from levyframe.functions.cells import FLOAT, INTEGER, KIND_NAMES, KIND_TYPES, TEXT, cell_kind, checked_cast
 from levyframe.functions.names import column
+from levyframe.storage import stage
 
 SUPPORTED_TYPES = (T.IntegerType, T.DoubleType, T.StringType)
 MIXED = "mixed"
@@ -155,37 +156,66 @@ def check_table(df: DataFrame) -> DataFrame:
     return df
 
 
-def attribute_gaps(
-    eav: DataFrame, entity: str, attribute: str, *, names_per_bucket: int = 1000, salts: int = 32
-) -> DataFrame:
+def attribute_gaps(eav: DataFrame, entity: str, attribute: str, *, words_per_block: int = 1024) -> DataFrame:
     """Attributes that some entity lacks although another has them: rows (entity, attribute).
 
-    ``eav`` holds one row per (entity, attribute), repeats allowed; a NULL entity is an entity.  Entities that have as
-    many attributes as there are drop out by their count.  The names are dealt into buckets of about
-    ``names_per_bucket``, and only buckets an entity lacks something of meet the names; each bucket's names are
-    repeated ``salts`` times, over which its entities are spread.  The driver sees the number of names.
+    ``eav`` holds one row per (entity, attribute), repeats allowed; a NULL entity is an entity, a NULL attribute is none.
+    The distinct names get numbers without gaps, so what an entity has is bits in 64-bit words, and what it lacks is their
+    complement.  The table is shuffled once, its bits combined before that; words meet in blocks of ``words_per_block``.
+    Only of entities that lack something are whole blocks made that they have nothing of.  The driver sees how many names
+    each task has numbered.
     """
-    have = eav.select(column(entity).alias("e"), column(attribute).alias("a")).where("a IS NOT NULL").distinct()
-    names = have.select("a").distinct()
-    total = names.count()
-    buckets = -(-total // names_per_bucket)
-    bucket = F.pmod(F.xxhash64("a"), F.lit(max(buckets, 1))).cast("int").alias("b")
-    expected = names.groupBy(bucket).agg(F.collect_set("a").alias("expected"))
-    counted = have.groupBy("e", bucket).agg(F.count(F.lit(1)).alias("n"), F.collect_set("a").alias("names"))
-    lacking = counted.groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") < total).select(F.col("e").alias("le"))
-    asked = lacking.withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(max(buckets, 1) - 1))))
-    same = F.col("le").eqNullSafe(F.col("e")) & (F.col("lb") == F.col("b"))
-    held = asked.join(counted, same, "left").select("le", "lb", F.coalesce("n", F.lit(0)).alias("n"), "names")
-    sizes = expected.select(
-        F.col("b").alias("eb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "expected"
-    )
-    salt = F.pmod(F.xxhash64("le"), F.lit(salts)).cast("int")
-    met = held.withColumn("hs", salt).join(sizes, (F.col("lb") == F.col("eb")) & (F.col("hs") == F.col("salt")))
-    none = F.array().cast("array<string>")
-    gaps = F.array_except("expected", F.coalesce(F.col("names"), none))
-    return met.where(F.col("n") < F.size("expected")).select(
-        F.col("le").alias(entity), F.explode(gaps).alias(attribute)
+    pairs = eav.select(column(entity).alias("e"), column(attribute).alias("a")).where("a IS NOT NULL")
+    named = pairs.select("a").distinct().withColumn("id", F.monotonically_increasing_id())
+    names = stage(named, "names")
+    task, place = F.shiftright("id", 33).cast("int"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {row["task"]: row["count"] for row in names.groupBy(task.alias("task")).count().collect()}
+    total, starts = 0, []
+    for number in range(max(counts, default=-1) + 1):
+        starts.append(total)
+        total += counts.get(number, 0)
+    starts_of = F.array(*(F.lit(start).cast("long") for start in starts)).cast("array<long>")
+    numbers = names.select("a", (F.get(starts_of, task) + place).alias("n"))
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n").bitwiseAND(F.lit(63)).cast("int"))
+    bits = pairs.join(numbers, "a").groupBy("e", F.shiftright("n", 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
+    words = -(-total // 64)
+    last = words - 1
+    full = lambda w: F.when(w == last, F.lit(_ones(total - 64 * last))).otherwise(F.lit(-1).cast("long"))
+    if words <= 1:
+        lacking = bits.select("e", "w", (full(F.col("w")).bitwiseAND(F.bitwise_not("bits"))).alias("gaps"))
+    else:
+        lacking = _word_gaps(bits, words, words_per_block, total, full)
+    each = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("gaps", i) == 1)
+    gaps = lacking.where("gaps <> 0").select("e", "w", F.explode(each).alias("i"))
+    found = gaps.select("e", (F.shiftleft("w", 6) + F.col("i")).alias("n")).join(numbers, "n")
+    return found.select(F.col("e").alias(entity), F.col("a").alias(attribute))
+
+
+def _ones(n: int) -> int:
+    """The signed 64-bit integer whose lowest ``n`` bits are set."""
+    return -1 if n == 64 else (1 << n) - 1
+
+
+def _word_gaps(bits: DataFrame, words: int, words_per_block: int, total: int, full: Callable[[Column], Column]) -> DataFrame:
+    """(e, w, gaps) of every word of which an entity lacks a bit."""
+    block = F.floor(F.col("w") / words_per_block).cast("long")
+    blocks = bits.groupBy("e", block.alias("b")).agg(
+        F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("has"), F.sum(F.bit_count("bits")).alias("held")
     )
+    if words > words_per_block:
+        # An entity may have nothing of a block, and then no row for it.
+        blocks = stage(blocks, "blocks")
+        short = blocks.groupBy("e").agg(F.sum("held").alias("held")).where(F.col("held") < total)
+        asked = short.select(F.col("e").alias("se"), F.explode(F.sequence(F.lit(0), F.lit((words - 1) // words_per_block))).alias("sb"))
+        same = F.col("e").eqNullSafe(F.col("se")) & (F.col("b") == F.col("sb"))
+        blocks = asked.join(blocks, same, "left").select(F.col("se").alias("e"), F.col("sb").cast("long").alias("b"), "has")
+    first = F.col("b") * words_per_block
+    every = F.sequence(first, F.least(first + words_per_block, F.lit(words).cast("long")) - 1)
+    none = F.create_map().cast("map<bigint,bigint>")
+    missing = lambda w: full(w).bitwiseAND(F.bitwise_not(F.coalesce(F.coalesce("has", none)[w], F.lit(0).cast("long"))))
+    gaps = F.filter(F.transform(every, lambda w: F.struct(w.alias("w"), missing(w).alias("gaps"))), lambda x: x["gaps"] != 0)
+    return blocks.select("e", F.inline(gaps))
 
 
 def missing_results(results: DataFrame, results_map: str, index: str, names: Sequence[str]) -> DataFrame:

@@ -105,22 +105,33 @@ def test_attribute_gaps(spark):
     assert rows(attribute_gaps(df, "e", "a")) == brute_force_gaps(EAV) == [(1, "Logenment"), (2, "Logement")]
 
 
-@pytest.mark.parametrize("names_per_bucket", [1, 17, 1000])
-def test_attribute_gaps_in_buckets(spark, names_per_bucket):
+@pytest.mark.parametrize("words_per_block", [1, 2, 1000])
+def test_attribute_gaps_in_blocks_of_words(spark, words_per_block):
     random.seed(5)
-    pairs = [(random.randint(0, 9), f"a{random.randint(0, 80)}") for _ in range(700)]
-    pairs += [(0, f"a{i}") for i in range(90)]
+    pairs = [(random.randint(0, 9), f"a{random.randint(0, 250)}") for _ in range(700)]
+    pairs += [(0, f"a{i}") for i in range(270)] + [(11, "a1")]
     df = spark.createDataFrame(pairs, "e int, a string")
-    assert rows(attribute_gaps(df, "e", "a", names_per_bucket=names_per_bucket, salts=3)) == brute_force_gaps(pairs)
+    assert rows(attribute_gaps(df, "e", "a", words_per_block=words_per_block)) == brute_force_gaps(pairs)
 
 
-@pytest.mark.parametrize("names_per_bucket", [1, 1000])
-def test_a_null_entity_is_an_entity(spark, names_per_bucket):
+def test_a_null_entity_is_an_entity(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (2, "b"), (3, None)], "e int, a string")
-    assert rows(attribute_gaps(df, "e", "a", names_per_bucket=names_per_bucket)) == [(2, "a"), (None, "b")]
+    assert rows(attribute_gaps(df, "e", "a")) == [(2, "a"), (None, "b")]
     assert rows(attribute_gaps(df.limit(0), "e", "a")) == []
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 128])
+def test_attribute_gaps_with_full_words(spark, n):
+    pairs = [(0, f"a{i}") for i in range(n)] + [(1, "a0"), (2, f"a{n - 1}")]
+    assert rows(attribute_gaps(spark.createDataFrame(pairs, "e int, a string"), "e", "a")) == brute_force_gaps(pairs)
+
+
+def test_the_table_of_attributes_is_shuffled_once(spark):
+    df = spark.range(4000).selectExpr("id % 400 AS e", "concat('a', id % 7) AS a")
+    text = plan(attribute_gaps(df, "e", "a"))
+    assert text.count("Range") == 1 and text.count("hashpartitioning(e#") == 1
+
+
 def test_missing_results(spark):
     df = spark.createDataFrame([(1, {"a": 1.0}), (2, {"a": 1.0, "b": None})], "i int, r map<string,double>")
     assert rows(missing_results(df, "r", "i", ["a", "b"])) == [(1, "b")]
