@@ -9,13 +9,16 @@ are the sources' exact quotas.
 The quotas are divided among the output shards by a tree: a node draws, by a multivariate hypergeometric law, how many
 blocks of each source go to its left half, and so on down to single shards.  A shard then holds its own run of each
 source's permuted blocks: runs are disjoint, and all shards together hold every block of the quotas once.  Within a
-shard the documents are put in random order.
+shard the documents are put in random order: they are dealt into pieces that suit a task, and each piece is sorted by a
+hash.  What the mix has taken of a document is told from the rows that were written, each with its shard and its position
+there; a block in no shard's run is not in the mix.
 
 A block holds about 1 / ``BLOCKS`` of its source, so a large source is never in one task.  The driver sees one row per
 source, and the tree's counts (sources times shards).
 
 Defined cases: null texts have 0 words; a null source is a source of its own, last in order; sources without words get
-nothing and nothing is taken of them; rows of one id are dealt by their text too, so each is taken as often as its block.
+nothing and nothing is taken of them; rows of one id are dealt by their text too, so each is taken as often as its block,
+and of rows equal in id, text and source the positions are shared; input columns of the names in ``OWN`` are an error.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyframe.storage import stage
+from levyframe.storage import fresh_path, stage
 
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 MOST = 3
@@ -35,6 +38,9 @@ BLOCKS = 1024
 SHARDS = 64
 TRIALS = 64  # random orders of a source's blocks, of which the nearest to the target counts
 SEED = 17
+PIECE_BYTES = 128 << 20  # of text, sorted by one task
+LEAST_PIECES = 4  # of a shard, so that tasks are even
+OWN = ("mix_order", "mix_block", "copies", "shard", "piece", "place")
 
 
 def targets(sizes: list[int], weights: Iterable[float], most: int = MOST) -> list[float]:
@@ -107,17 +113,21 @@ class Mixture:
     def __init__(
         self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED
     ):
+        if clash := set(docs.columns) & set(OWN):
+            raise ValueError(f"columns {sorted(clash)} are there already")
         self.shards, self.seed = shards, seed
         size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
         order = F.xxhash64(F.lit(seed), "doc_id", "text")
         self._columns = docs.columns
         self._keyed = docs.withColumn("mix_order", order).withColumn("mix_block", F.pmod("mix_order", F.lit(blocks)).cast("int"))
-        sized = self._keyed.select("doc_id", "source", "mix_block", size.alias("size"))
+        length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        sized = self._keyed.select("doc_id", "source", "mix_order", "mix_block", size.alias("size"), length.alias("bytes"))
         self.sizes = stage(sized, "sizes")
-        dealt = self.sizes.groupBy("source", "mix_block").agg(F.sum("size").alias("block_size"))
+        dealt = self.sizes.groupBy("source", "mix_block").agg(F.sum("size").alias("block_size"), F.sum("bytes").alias("bytes"))
         self._blocks = stage(dealt, "blocks")
-        totals = self._blocks.groupBy("source").agg(F.sum("block_size").alias("size")).collect()
+        totals = self._blocks.groupBy("source").agg(F.sum("block_size").alias("size"), F.sum("bytes").alias("bytes")).collect()
         totals.sort(key=lambda r: (r.source is None, r.source or ""))
+        self.pieces = max(LEAST_PIECES, -(-sum(r.bytes for r in totals) // (shards * PIECE_BYTES)))
         wanted = targets([r.size for r in totals], [weights[k % len(weights)] for k in range(len(totals))])
         self.sources = [(r.source, r.size, t) for r, t in zip(totals, wanted, strict=True)]
         self._numbers = docs.sparkSession.createDataFrame(
@@ -132,7 +142,7 @@ class Mixture:
         return rows.join(numbers, F.col("source").eqNullSafe(F.col("named"))).drop("named")
 
     def _placed(self) -> DataFrame:
-        """(source, mix_block, copy, shard): every block that the mix takes, once for each time."""
+        """(source, mix_block, copy, shard): every block in the run of a shard, once for each time."""
         seed = self.seed
 
         def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -164,7 +174,8 @@ class Mixture:
             return pd.Series(out)
 
         sources = self._numbers.select("source_no", "source")
-        return chosen.withColumn("shard", shard_of("source_no", "place")).join(sources, "source_no").select("source", "mix_block", "copy", "shard")
+        dealt = chosen.withColumn("shard", shard_of("source_no", "place")).where(F.col("shard") < self.shards)
+        return dealt.join(sources, "source_no").select("source", "mix_block", "copy", "shard")
 
     def _with_copies(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``copies``, the (copy, shard) pairs of each row's block; null where nothing is taken."""
@@ -174,18 +185,50 @@ class Mixture:
         same = F.col("source").eqNullSafe(F.col("named")) & (F.col("mix_block") == F.col("named_block"))
         return rows.join(copies, same, "left").drop("named", "named_block")
 
-    def rows(self) -> DataFrame:
-        """The mix: rows of the documents, repeated as often as they are taken, by shard and in random order there."""
+    def _in_order(self, *more: str) -> DataFrame:
+        """The mix with ``shard``, ``piece`` and ``more``, sorted by task; a piece is in one task."""
         placed = self._with_copies(self._keyed).select(*self._columns, "mix_order", F.explode("copies").alias("c"))
         order = F.xxhash64(F.lit(self.seed + 1), "c.shard", "c.copy", "mix_order")
-        dealt = placed.select(*self._columns, "c.shard", order.alias("mix_order")).repartition(self.shards, "shard")
-        return dealt.sortWithinPartitions("shard", "mix_order").drop("mix_order")
+        piece = F.pmod(order, F.lit(self.pieces)).cast("int").alias("piece")
+        dealt = placed.select(*self._columns, *more, "c.shard", piece, order.alias("place"))
+        return dealt.repartition(self.shards * self.pieces, "shard", "piece").sortWithinPartitions("shard", "piece", "place")
+
+    def rows(self) -> DataFrame:
+        """The mix: rows of the documents, repeated as often as they are taken, by shard and in random order there."""
+        return self._in_order().drop("piece", "place")
+
+    def written(self, path: str | None = None) -> DataFrame:
+        """The mix written by shard: rows of the documents with ``shard`` and ``position``, from 0 in each shard."""
+        spark = self._numbers.sparkSession
+        path = path or fresh_path(spark, "mix")
+        rows = self._in_order("mix_order").withColumn("place", F.monotonically_increasing_id())
+        rows.write.partitionBy("shard").parquet(path)
+        found = spark.read.schema(rows.schema).parquet(path)
+        pieces = found.groupBy("shard", "piece").agg(F.min("place").alias("first"), F.count("*").alias("rows"))
+        before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        starts = pieces.select("shard", "piece", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("start"))
+        position = (F.col("place") + F.col("start")).alias("position")
+        return found.join(starts, ["shard", "piece"]).select(*self._columns, "mix_order", "shard", position)
 
     def documents(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken) of every document."""
-        times = F.coalesce(F.size("copies"), F.lit(0))
-        taken = (F.col("size") * F.when(F.col("copies").isNull(), 0).otherwise(times)).cast("long").alias("taken")
-        return self._named(self._with_copies(self.sizes)).select("doc_id", "size", "source_size", "target", taken)
+        """(doc_id, size, source_size, target, taken, places) of every document, from the mix as it was written.
+
+        ``places``: (shard, position) of each time that the mix holds it.
+        """
+        place = F.struct("shard", "position")
+        mix = self.written().groupBy("mix_order", F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source")).agg(
+            F.sort_array(F.collect_list(place)).alias("places")
+        )
+        # rows equal in id, text and source are one key here and stand in the mix equally often
+        key = ["mix_order", "doc_id", "source"]
+        keys = self.sizes.groupBy(*key, "size").agg(F.count("*").alias("rows"))
+        same = (keys["mix_order"] == mix["mix_order"]) & F.col("doc_id").eqNullSafe(F.col("mixed_id"))
+        met = keys.join(mix, same & F.col("source").eqNullSafe(F.col("mixed_source")), "left")
+        places = F.coalesce("places", F.array().cast("array<struct<shard:int,position:bigint>>"))
+        times = (F.size(places) / F.col("rows")).cast("long")
+        found = met.select("doc_id", "source", "size", (F.col("size") * times).alias("taken"), places.alias("places"), "rows")
+        every = found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+        return self._named(every).select("doc_id", "size", "source_size", "target", "taken", "places")
 
 
 def mixed(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from corpora import empty, odd, table
 
+from levyframe.llm import mixture
 from levyframe.llm.mixture import MOST, Mixture, chosen_blocks, mixed, split, targets
 from levyframe.llm.queries import LLM_QUERIES
 
@@ -58,19 +59,74 @@ def test_query(spark):
         assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
-def test_rows_of_the_mix(spark):
+def test_what_was_written_is_what_is_told(spark):
     mix = Mixture(table(spark), shards=8)
-    taken = {r.doc_id: r.taken // r.size for r in mix.documents().collect() if r.size}
-    rows = mix.rows().collect()
-    times = defaultdict(int)
-    for r in rows:
-        times[r.doc_id] += 1
-    assert {d: n for d, n in taken.items() if n} == {d: n for d, n in times.items() if taken.get(d)}
-    assert len({r.shard for r in rows}) == 8
+    told = {r.doc_id: r for r in mix.documents().collect()}
+    written = mix.written().collect()
+    times, places = defaultdict(int), defaultdict(list)
+    for r in written:
+        times[r.doc_id] += len(r.text.encode().split())
+        places[r.doc_id].append((r.shard, r.position))
+    assert {d: r.taken for d, r in told.items() if r.taken} == {d: n for d, n in times.items() if n}
+    assert {d: [tuple(p) for p in r.places] for d, r in told.items() if r.places} == {d: sorted(p) for d, p in places.items()}
+    by_shard = defaultdict(list)
+    for r in written:
+        by_shard[r.shard].append(r.position)
+    assert sorted(by_shard) == list(range(8)) and all(sorted(p) == list(range(len(p))) for p in by_shard.values())
+    # a shard is not in the order of the ids
+    first = [r.doc_id for r in sorted(written, key=lambda r: (r.shard, r.position)) if r.shard == 0]
+    assert first != sorted(first)
+    lazy = sorted((r.doc_id, r.shard) for r in mix.rows().collect())
+    assert lazy == sorted((r.doc_id, r.shard) for r in written)
+
+
+def test_targets_and_blocks_by_a_plain_version(spark):
+    """The blocks that the mix takes, and the shard of each, told again from the hashes."""
+    mix = Mixture(table(spark), shards=5)
+    sizes, sources = defaultdict(lambda: np.zeros(mixture.BLOCKS, np.int64)), {}
+    for r in mix.sizes.collect():
+        sizes[r.source][r.mix_block] += r.size
+    for k, name in enumerate(sorted(sizes)):
+        sources[name] = k
+    wanted = targets([int(sizes[n].sum()) for n in sources], [1 + k % 3 for k in range(len(sources))])
+    quotas, runs = [], {}
+    for (name, k), target in zip(sources.items(), wanted, strict=True):
+        held = np.flatnonzero(np.isin(np.arange(mixture.BLOCKS), [r.mix_block for r in mix._blocks.where(mix._blocks.source == name).collect()]))
+        taken = chosen_blocks(sizes[name][held], target, np.random.default_rng((mixture.SEED, k)))
+        runs[name] = np.repeat(held, taken)[np.argsort(np.random.default_rng((mixture.SEED, k, 1)).permutation(taken.sum()))]
+        quotas.append(len(runs[name]))
+    ends = split(np.array(quotas), 5, mixture.SEED).cumsum(axis=0)
+    plain = sorted(
+        (name, int(b), int(np.searchsorted(ends[:, k], at, side="right"))) for name, k in sources.items() for at, b in enumerate(runs[name])
+    )
+    assert sorted((r.source, r.mix_block, r.shard) for r in mix.copies.collect()) == plain
+
+
+@pytest.mark.parametrize("wrong", ["all in one shard", "half is lost"])
+def test_a_wrong_tree_shows(spark, monkeypatch, wrong):
+    def tree(quotas, shards, seed=0):
+        out = np.zeros((shards, len(quotas)), np.int64)
+        out[0] = quotas if wrong == "all in one shard" else quotas // 2
+        return out
+
+    right = {r.doc_id: r for r in Mixture(table(spark)).documents().collect()}
+    monkeypatch.setattr(mixture, "split", tree)
+    told = {r.doc_id: r for r in Mixture(table(spark)).documents().collect()}
+    assert {d: r.places for d, r in told.items()} != {d: r.places for d, r in right.items()}
+    if wrong == "half is lost":
+        assert sum(r.taken for r in told.values()) < 0.7 * sum(r.taken for r in right.values())
+
+
+def test_clashing_columns_are_refused(spark):
+    for name in mixture.OWN:
+        with pytest.raises(ValueError, match=name):
+            mixed(table(spark).withColumnRenamed("lang", name))
 
 
 def test_odd_rows(spark):
     rows = Mixture(odd(spark)).documents().collect()
+    twice = [r for r in rows if r.doc_id == 2]
+    assert len(twice) == 2 and twice[0] == twice[1] and len(twice[0].places) * twice[0].size == 2 * twice[0].taken
     assert len(rows) == 15 and all(r.size == 0 and r.taken == 0 for r in rows if r.doc_id in (4, 5, 6))
     assert mixed(odd(spark)).columns == odd(spark).columns and mixed(odd(spark)).count() > 0
     assert Mixture(empty(spark)).documents().count() == 0 and mixed(empty(spark)).count() == 0
