@@ -23,6 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ BEGINNINGS = (4, 5, 6)  # bytes of a word that make a feature beside the whole w
 FOLDS = 5
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_KEPT = 1 << 19
+_KEPT = 1 << 17
 
 
 class _Features(dict):
@@ -122,14 +123,13 @@ def fit(
     return mean[:-1], float(mean[-1])
 
 
-def enriched(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: int) -> np.ndarray:
+def enriched(toxic: np.ndarray, n_toxic: int, plain: np.ndarray, n_plain: int, least: int) -> np.ndarray:
     """Features of ``least`` toxic documents or more whose share among them is ``MIN_Z`` standard errors above that
-    among all."""
-    if not positive or not unlabelled:
+    among all; ``toxic`` and ``plain`` count the documents of each feature."""
+    if not n_toxic or not n_plain:
         return np.empty(0, np.int64)
-    toxic, plain = (np.bincount(np.concatenate(x), minlength=1 << FEATURE_BITS) for x in (positive, unlabelled))
-    share = np.clip(plain / len(unlabelled), 1 / len(unlabelled), 0.999)
-    z = (toxic / len(positive) - plain / len(unlabelled)) / np.sqrt(share * (1 - share) / len(positive))
+    share = np.clip(plain / n_plain, 1 / n_plain, 0.999)
+    z = (toxic / n_toxic - plain / n_plain) / np.sqrt(share * (1 - share) / n_toxic)
     return np.flatnonzero((z >= MIN_Z) & (toxic >= least))
 
 
@@ -146,16 +146,27 @@ def _trainer(prior: float, least: int):
     """One task: all sampled rows in, (feature, weight) out; the bias is feature -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, bool, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # order, toxic, number of features, features
+        counts = {kind: np.zeros(1 << FEATURE_BITS, np.int64) for kind in (True, False)}
         for b in batches:
-            for order, toxic, data in zip(*(b.column(c).to_pylist() for c in ("row_order", "toxic", "features")), strict=True):
-                rows.append((order, toxic, np.frombuffer(data, np.int32)))
+            order, toxic = b.column("row_order").to_numpy(), b.column("toxic").to_numpy(zero_copy_only=False)
+            lengths = pc.binary_length(b.column("features")).to_numpy() // 4
+            flat = np.frombuffer(b"".join(b.column("features").to_pylist()), np.int32)
+            parts.append((order.copy(), toxic, lengths, flat))
+            for kind in counts:
+                counts[kind] += np.bincount(flat[np.repeat(toxic == kind, lengths)], minlength=1 << FEATURE_BITS)
+        n = {kind: sum(int((p[1] == kind).sum()) for p in parts) for kind in counts}
+        kept = enriched(counts[True], n[True], counts[False], n[False], least)
+        number = np.full(1 << FEATURE_BITS, -1, np.int32)
+        number[kept] = np.arange(len(kept), dtype=np.int32)
+        rows: list[tuple[int, bool, np.ndarray]] = []
+        while parts:  # features that do not count go, part by part
+            order, toxic, lengths, flat = parts.pop()
+            numbers = number[flat]
+            ends = np.cumsum(np.concatenate([[0], numbers >= 0]))[np.cumsum(lengths)]
+            rows += zip(order.tolist(), toxic.tolist(), np.split(numbers[numbers >= 0], ends[:-1]), strict=True)
         rows.sort(key=lambda r: r[:2])  # the same model whatever order the rows came in
-        met = {kind: [r[2] for r in rows if r[1] == kind] for kind in (True, False)}
-        kept = enriched(met[True], met[False], least)
-        number = np.full(1 << FEATURE_BITS, -1)
-        number[kept] = np.arange(len(kept))
-        sets = {kind: [x[x >= 0] for x in (number[r] for r in met[kind])] for kind in met}
+        sets = {kind: [r[2] for r in rows if r[1] == kind] for kind in counts}
         weights, bias = fit(sets[True], sets[False], prior, len(kept))
         bias -= boundary(sets[False], weights, bias, prior)
         yield pa.RecordBatch.from_arrays(
