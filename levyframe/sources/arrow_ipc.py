@@ -6,14 +6,17 @@ inside the tasks.
 
 from __future__ import annotations
 
+import json
 import posixpath
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
 from weakref import WeakSet
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
@@ -22,7 +25,16 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
     WriterCommitMessage,
 )
 
@@ -86,11 +98,11 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 @dataclass
 class _Piece:
-    """Record batches ``first`` to ``last`` of a file; all of them when ``last`` is None."""
+    """One of ``parts`` equal shares of a file's record batches."""
 
     path: str
-    first: int = 0
-    last: int | None = None
+    part: int = 0
+    parts: int = 1
 
 
 class _Pieces(InputPartition):
@@ -106,35 +118,31 @@ class _Reader(DataSourceReader):
         self.allow_nulls = options.get("nulls", "error").lower() == "allow"
         self.split_bytes = int(options.get("splitbytes", DEFAULT_SPLIT_BYTES))
         self.parallelism = int(options.get("parallelism", 1))
+        self.chosen = "columns" in options
 
     def partitions(self) -> Sequence[InputPartition]:
         """Tasks of about ``splitBytes``, or less where that keeps ``parallelism`` tasks busy, in file order.
 
-        Small files share a task and are not opened here.  Only the footer of a file larger than one split
-        is read, to cut it by record batch; that happens in parallel.
+        Small files share a task, a larger one is cut into shares of its record batches.  No file is opened here: a task
+        that gets a share reads the footer, which tells how many batches there are.
         """
-        files, found = _arrow_files(self.path)
+        _, found = _arrow_files(self.path)
         total = sum(entry.size + FILE_OPEN_BYTES for entry in found)
         split_bytes = min(self.split_bytes, max(FILE_OPEN_BYTES, total // self.parallelism))
-        large = [entry.path for entry in found if entry.size > split_bytes]
-        with ThreadPoolExecutor(DRIVER_THREADS) as pool:
-            batches = dict(zip(large, pool.map(lambda place: _batch_count(files, place), large)))
         tasks: list[InputPartition] = []
         open_task: list[_Piece] = []
         filled = 0
         for entry in found:
+            parts = max(1, -(-entry.size // split_bytes))
             size = entry.size + FILE_OPEN_BYTES
-            if open_task and (entry.path in batches or filled + size > split_bytes):
+            if open_task and (parts > 1 or filled + size > split_bytes):
                 tasks.append(_Pieces(open_task))
                 open_task, filled = [], 0
-            if entry.path not in batches:
+            if parts == 1:
                 open_task.append(_Piece(entry.path))
                 filled += size
-                continue
-            count = batches[entry.path]
-            per_task = max(1, int(count * split_bytes // entry.size))
-            for first in range(0, count, per_task):
-                tasks.append(_Pieces([_Piece(entry.path, first, min(first + per_task, count) - 1)]))
+            else:
+                tasks += [_Pieces([_Piece(entry.path, part, parts)]) for part in range(parts)]
         if open_task:
             tasks.append(_Pieces(open_task))
         return tasks
@@ -144,21 +152,63 @@ class _Reader(DataSourceReader):
         target = arrow_schema(self.schema)
         for piece in partition.pieces:
             with _open(files, piece.path) as source:
-                reader = pa.ipc.open_file(source)
-                self._check(piece.path, reader.schema, target)
-                last = reader.num_record_batches - 1 if piece.last is None else piece.last
-                for number in range(piece.first, last + 1):
+                names = pa.ipc.open_file(source).schema.names
+                self._check(piece.path, names, target.names)
+                # Only the columns asked for are decoded; of a mapped file no more of it is paged in.
+                wanted = [names.index(name) for name in target.names] if len(set(names)) == len(names) else None
+                source.seek(0)
+                reader = pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=wanted))
+                count = reader.num_record_batches
+                for number in range(piece.part * count // piece.parts, (piece.part + 1) * count // piece.parts):
                     batch = reader.get_batch(number)
+                    batch = batch.select(target.names) if wanted else batch
+                    if batch.schema.types != target.types:
+                        raise TableError(f"{piece.path} has columns {batch.schema.names} {[str(t) for t in batch.schema.types]}, not {target}")
                     if not self.allow_nulls:
                         _refuse_nulls(batch, piece.path, number)
-                    plain = pa.RecordBatch.from_arrays(batch.columns, schema=target)
+                    plain = self._asked(pa.RecordBatch.from_arrays(batch.columns, schema=target))
                     for start in range(0, plain.num_rows, ROWS_PER_TRANSFER):
                         yield plain.slice(start, ROWS_PER_TRANSFER)
 
-    @staticmethod
-    def _check(path: str, found: pa.Schema, target: pa.Schema) -> None:
-        if found.names != target.names or found.types != target.types:
-            raise TableError(f"{path} has columns {found.names} {[str(t) for t in found.types]}, not {target}")
+    def _asked(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch
+
+    def _check(self, path: str, found: list[str], wanted: list[str]) -> None:
+        """Every column of the file is read, in its order, unless some were asked for by name."""
+        if (set(wanted) - set(found)) if self.chosen else found != wanted:
+            raise TableError(f"{path} has columns {found}, not {wanted}")
+
+
+_TESTS: dict[type, Callable[[pa.Array, Any], pa.Array]] = {
+    EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less,
+    LessThanOrEqual: pc.less_equal, In: lambda values, wanted: pc.is_in(values, pa.array(list(wanted), values.type)),
+    StringStartsWith: pc.starts_with, IsNotNull: lambda values, _: pc.is_valid(values),
+}
+
+
+class _FilteringReader(_Reader):
+    """A reader that applies filters on integers and text before rows leave its task.
+
+    Filters on floats stay with Spark, which orders NaN otherwise than Arrow.
+    """
+
+    def __init__(self, path: str, schema: T.StructType, options: dict[str, str]) -> None:
+        super().__init__(path, schema, options)
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        simple = {f.name for f in self.schema if isinstance(f.dataType, (T.IntegerType, T.StringType))}
+        for one in filters:
+            if type(one) in _TESTS and len(one.attribute) == 1 and one.attribute[0] in simple:
+                self.filters.append(one)
+            else:
+                yield one
+
+    def _asked(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        for one in self.filters:
+            values = batch.column(one.attribute[0])
+            batch = batch.filter(_TESTS[type(one)](values, getattr(one, "value", None)))  # NULL is not true
+        return batch
 
 
 def _open(files: pafs.FileSystem, path: str) -> pa.NativeFile:
@@ -166,11 +216,6 @@ def _open(files: pafs.FileSystem, path: str) -> pa.NativeFile:
     return pa.memory_map(path) if isinstance(files, pafs.LocalFileSystem) else files.open_input_file(path)
 
 
-def _batch_count(files: pafs.FileSystem, path: str) -> int:
-    with _open(files, path) as source:
-        return pa.ipc.open_file(source).num_record_batches
-
-
 def _refuse_nulls(batch: pa.RecordBatch, path: str, number: int) -> None:
     for name, values in zip(batch.schema.names, batch.columns):
         if values.null_count:
@@ -247,7 +292,8 @@ class ArrowIpcDataSource(DataSource):
 
     Reading takes all record batches of all files.  Options: ``nulls`` = ``error`` (default) or ``allow``;
     ``splitBytes``, the size a reading task aims at; ``parallelism``, the number of tasks to keep busy when
-    there is less to read.  Writing makes one file per task.
+    there is less to read; ``columns``, a JSON list of the columns to decode (all); ``pushFilters``, whether tasks apply
+    filters (only where the session allows it to Python sources).  Writing makes one file per task.
     """
 
     @classmethod
@@ -263,10 +309,18 @@ class ArrowIpcDataSource(DataSource):
     def schema(self) -> T.StructType:
         files, found = _arrow_files(self._path())
         with _open(files, found[0].path) as source:
-            return spark_schema(pa.ipc.open_file(source).schema)
+            schema = pa.ipc.open_file(source).schema
+        if "columns" not in self.options:
+            return spark_schema(schema)
+        names = json.loads(self.options["columns"])
+        if lacking := [name for name in names if name not in schema.names]:
+            raise TableError(f"{found[0].path} has no column {', '.join(lacking)}")
+        return spark_schema(pa.schema([schema.field(name) for name in names]))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self._path(), schema, dict(self.options))
+        options = dict(self.options)
+        filtering = options.get("pushfilters", "false").lower() == "true"
+        return (_FilteringReader if filtering else _Reader)(self._path(), schema, options)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self._path(), schema, overwrite)

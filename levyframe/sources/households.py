@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from levyframe.errors import TableError
+from levyframe.functions.names import quoted
 from levyframe.operators.layout import INDEX, output_layout
 from levyframe.sources.arrow_ipc import SUFFIX as ARROW_SUFFIX
 from levyframe.sources.arrow_ipc import register
@@ -19,18 +23,28 @@ def check_format(fmt: str) -> None:
         raise TableError(f"format must be one of {', '.join(FORMATS)}, not {fmt!r}")
 
 
-def read_households(spark: SparkSession, path: str, fmt: str, **options: object) -> DataFrame:
-    """Read an attribute table; ``options`` are those of ``read_delimited`` or of the ``arrow_ipc`` format."""
+def read_households(
+    spark: SparkSession, path: str, fmt: str, *, columns: Sequence[str] | None = None, **options: object
+) -> DataFrame:
+    """Read an attribute table; ``options`` are those of ``read_delimited`` or of the ``arrow_ipc`` format.
+
+    ``columns``: those to read, in this order; of Arrow files nothing else is decoded.  Filters on integers and text run
+    in the tasks that read Arrow files where ``spark.sql.python.filterPushdown.enabled`` is set.
+    """
     check_format(fmt)
     if fmt == "csv":
-        return read_delimited(spark, path, **options)
+        table = read_delimited(spark, path, **options)
+        return table if columns is None else table.select(*map(quoted, columns))
     check_suffix(path, ARROW_SUFFIX)
     register(spark)
     # The sizes Spark uses for its own file sources.
     sizes = {
         "splitBytes": _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")),
         "parallelism": spark.sparkContext.defaultParallelism,
+        "pushFilters": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"),
     }
+    if columns is not None:
+        sizes["columns"] = json.dumps(list(columns))
     return spark.read.format("arrow_ipc").options(**{**sizes, **options}).load(qualified(spark, path))
 
 

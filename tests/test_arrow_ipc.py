@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 import pytest
-from helpers import rows
+from helpers import plan, rows
 
 from levyframe import null_cells, read_households, register, with_index, write_arrow_ipc
 from levyframe.errors import TableError
+from levyframe.sources import arrow_ipc
+from levyframe.sources.arrow_ipc import ArrowIpcDataSource
 from levyframe.sources.households import _bytes
 
 SCHEMA = pa.schema([("Age", pa.int32()), ("Revenu", pa.float64()), ("Type", pa.string())])
@@ -29,7 +33,7 @@ def test_all_batches_are_read(spark, tmp_path):
 
 def test_large_file_is_cut_by_batch(spark, tmp_path):
     path = write_file(tmp_path / "h.arrow", TWO * 5)
-    df = read_households(spark, path, "arrow", splitBytes="1")
+    df = read_households(spark, path, "arrow", splitBytes="400")
     assert df.rdd.getNumPartitions() == 10
     assert df.count() == 15
     assert read_households(spark, path, "arrow").rdd.getNumPartitions() == 1
@@ -145,3 +149,66 @@ def test_failed_write_leaves_no_result(spark, tmp_path):
         write_arrow_ipc(df.selectExpr("i", "cast(a as double) a"), str(tmp_path / "out.arrow"))
     # A task that is killed late may leave its temporary folder, which no reader looks into.
     assert list((tmp_path / "out.arrow").glob("*.arrow")) == []
+
+
+def test_only_the_asked_columns_are_decoded(spark, tmp_path):
+    path = str(tmp_path / "wide.arrow")
+    table = pa.table({"a": pa.array([1, 2], pa.int32()), "b": pa.array(["x", None]), "c": pa.array([0.5, 1.5]), "d": pa.array([True, False])})
+    with pa.ipc.new_file(path, table.schema) as out:
+        out.write_table(table)
+    df = read_households(spark, path, "arrow", columns=["c", "a"])
+    assert df.dtypes == [("c", "double"), ("a", "int")] and rows(df) == [(0.5, 1), (1.5, 2)]
+    with pytest.raises(Exception, match="unsupported type: d bool"):
+        read_households(spark, path, "arrow")
+    with pytest.raises(Exception, match="no column z"):
+        read_households(spark, path, "arrow", columns=["z"])
+    with pytest.raises(Exception, match="missing value in column b"):
+        read_households(spark, path, "arrow", columns=["b"]).collect()
+
+
+def test_bytes_read_fall_with_the_columns(tmp_path):
+    path = str(tmp_path / "wide.arrow")
+    table = pa.table({"a": pa.array(range(1000), pa.int32()), "b": ["x" * 1000] * 1000})
+    with pa.ipc.new_file(path, table.schema) as out:
+        out.write_table(table, max_chunksize=100)
+    sizes = {}
+    for names in (["a"], ["a", "b"]):
+        source = ArrowIpcDataSource({"path": path, "columns": json.dumps(names)})
+        reader = source.reader(source.schema())
+        sizes[len(names)] = sum(b.nbytes for part in reader.partitions() for b in reader.read(part))
+    assert sizes[1] < 5000 and sizes[2] > 1_000_000
+
+
+def test_filters_run_in_the_reading_tasks(spark, tmp_path):
+    path = str(tmp_path / "many.arrow")
+    df = spark.createDataFrame([(k, f"t{k % 7}", float("nan") if k % 5 == 0 else k / 2) for k in range(200)], "n int, s string, x double")
+    write_arrow_ipc(df.repartition(3), path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for condition in (
+            "n > 150", "n >= 3 and n < 9", "n in (1, 5, 700)", "s = 't3'", "s like 't1%' and n <= 40", "x > 20", "x = 'NaN'", "n = 3 or s = 't2'",
+            "n is not null and s > 't4'", "n <> 4",
+        ):
+            back = read_households(spark, path, "arrow").where(condition)
+            assert repr(rows(back)) == repr(rows(df.where(condition))), condition
+        text = plan(read_households(spark, path, "arrow").where("n > 150"))
+        assert "Filter (" not in text.replace("isnotnull", "") or "n#" not in text.split("Filter (")[-1].split("\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_no_footer_is_read_on_the_driver(tmp_path, monkeypatch):
+    path = str(tmp_path / "large.arrow")
+    table = pa.table({"a": pa.array(range(100_000), pa.int32())})
+    with pa.ipc.new_file(path, table.schema) as out:
+        out.write_table(table, max_chunksize=1000)
+    source = ArrowIpcDataSource({"path": path, "splitbytes": "1"})
+    monkeypatch.setattr(arrow_ipc, "FILE_OPEN_BYTES", 50_000)
+    reader = source.reader(source.schema())
+    reader.split_bytes = 50_000
+    opened = []
+    monkeypatch.setattr(arrow_ipc, "_open", lambda files, path, real=arrow_ipc._open: opened.append(path) or real(files, path))
+    parts = reader.partitions()
+    assert len(parts) > 3 and not opened
+    found = [n for part in parts for batch in reader.read(part) for n in batch.column(0).to_pylist()]
+    assert found == list(range(100_000))
