@@ -34,6 +34,7 @@ def compare_policies(
     null_results: str = "error",
     trust_source: bool = False,
     compiled: bool = False,
+    faults: bool = False,
 ) -> DataFrame:
     """Both policies and their difference on the same row, in one pass over the table.
 
@@ -50,6 +51,7 @@ def compare_policies(
         null_results=null_results,
         trust_source=trust_source,
         compiled=compiled,
+        faults=faults,
     )
     return wide.select(
         "*",

@@ -892,10 +892,21 @@ class CompiledRule:
         self.kinds = dict(kinds.of)  # what this rule's reads are
         kinds.of = trial.of
 
-    def __call__(self, variables: Any, parameters: Mapping[str, float], row: Mapping[str, Column]) -> Column:
+    def with_fault(self, variables: Any, parameters: Mapping[str, float], row: Mapping[str, Column]) -> tuple[Column, Column]:
+        """(the value, what Python would complain of): nothing is an error, and what is beside it is set."""
+        found = self._compiled(variables, parameters, row)
+        for name, value in found.extra.items():
+            variables[name] = _as_double(value)
+        text = found.fault()
+        return _as_double(found.value), F.when(text.isNotNull(), F.concat(F.lit(f"component {self.component.name}: "), text))
+
+    def _compiled(self, variables: Any, parameters: Mapping[str, float], row: Mapping[str, Column]) -> Compiled:
         kinds = _Kinds(self.null_results)
         kinds.of = dict(self.kinds)
-        found = self._translated(variables, parameters, lambda name: row[name], kinds)
+        return self._translated(variables, parameters, lambda name: row[name], kinds)
+
+    def __call__(self, variables: Any, parameters: Mapping[str, float], row: Mapping[str, Column]) -> Column:
+        found = self._compiled(variables, parameters, row)
         for name, value in found.extra.items():
             variables[name] = found.checked(value, self.component.name)
         return found.checked(found.value, self.component.name)

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from levyframe.errors import PolicyError, RuleError
 from levyframe.functions.names import column, folded, quoted
-from levyframe.operators.compile_rules import compile_policy, function_key
-from levyframe.operators.evaluate_python import python_results
+from levyframe.operators.compile_rules import CompiledRule, compile_policy, function_key
+from levyframe.operators.evaluate_python import FAULT, python_results
 from levyframe.operators.rules import COLUMN, MIXED, PYTHON, VECTOR, Component, Policy
 from levyframe.operators.sharing import Shared, fingerprint
 
@@ -117,6 +117,7 @@ class _Step:
     target: str
     value: Column
     depth: int
+    fault: Column | None = None  # what is wrong with the row, where a rule can tell
 
 
 def missing_attributes(policy: Policy, columns: Iterable[str]) -> list[str]:
@@ -168,6 +169,7 @@ def _column_steps(
     given: Sequence[str] = (),
     shared: Shared | None = None,
     aliases: dict[str, str] | None = None,
+    faults: bool = False,
 ) -> list[_Step]:
     """Call the column rules in order; needs no DataFrame, as the rules only build expressions.
 
@@ -191,8 +193,12 @@ def _column_steps(
             seen = _Attributes(component.dependencies)
         variables.depth = 0
         variables.set_here, variables.read_here, parameters.read_here = set(), set(), set()
+        function, told = functions[component.name], None
         try:
-            value = functions[component.name](variables, parameters, seen)
+            if faults and isinstance(function, CompiledRule):
+                value, told = function.with_fault(variables, parameters, seen)
+            else:
+                value = function(variables, parameters, seen)
         except Exception as error:
             raise RuleError(f"component {component.name} of policy {policy.name}: {error}") from error
         undeclared = sorted(variables.set_here - {component.name, *component.extra_outputs})
@@ -220,7 +226,7 @@ def _column_steps(
             again[name] -= 1
             # A result that is computed again later stays apart for the components that read it before.
             target = f"{REPLACED}{again[name]}_{prefix}{name}" if again[name] else prefix + name
-            steps.append(_Step(component.name, target, _as_result(result, component.name), depth))
+            steps.append(_Step(component.name, target, _as_result(result, component.name), depth, told))
             variables.settle(name, column(target), depth + 1)
     return steps
 
@@ -257,6 +263,76 @@ def _column_results(df: DataFrame, steps: Sequence[_Step], null_results: str) ->
     return df.drop(*replaced) if replaced else df
 
 
+def _column_results_with_faults(df: DataFrame, prefix: str, steps: Sequence[_Step], null_results: str) -> DataFrame:
+    """As ``_column_results`` for one policy, with its column ``FAULT``; results are NULL from the faulty component on."""
+    hidden: dict[int, str] = {}
+    for depth in range(max(step.depth for step in steps) + 1):
+        level = [(at, step) for at, step in enumerate(steps) if step.depth == depth]
+        types = _result_types(df, [step for _, step in level])
+        columns = []
+        for (at, step), kind in zip(level, types):
+            columns.append(_as_double(step, kind, "keep"))
+            if step.fault is not None:
+                hidden[at] = f"__fault{at}_{prefix}"
+                columns.append(step.fault.alias(hidden[at]))
+        df = df.select("*", *columns)
+    complaints = []
+    for at, step in enumerate(steps):
+        text = column(hidden[at]) if at in hidden else F.lit(None).cast("string")
+        if null_results == "error":
+            none = F.lit(f"component {step.component} returned no value")
+            text = F.coalesce(text, F.when(column(step.target).isNull(), none))
+        told = F.struct(F.lit(at).alias("at"), F.lit(step.component).alias("component"), text.alias("message"))
+        complaints.append(F.when(text.isNotNull(), told))
+    first = f"__first_{prefix}"
+    found = df.withColumn(first, F.coalesce(*complaints))
+    begins = {}
+    for at, step in enumerate(steps):  # the results of a component stand together
+        begins.setdefault(step.component, at)
+    results = {}
+    for at, step in enumerate(steps):
+        sound = column(first).isNull() | (column(first)["at"] > F.lit(at))
+        same = column(first)["component"] == step.component  # nothing of a faulty component stays
+        results[step.target] = F.when(sound & ~F.coalesce(same, F.lit(False)), column(step.target)).alias(step.target)
+    fault = F.when(column(first).isNotNull(), F.struct(column(first)["component"].alias("component"), column(first)["message"].alias("message")))
+    dropped = {*hidden.values(), first}
+    kept = [results.get(name, column(name)) for name in found.columns if name not in dropped and not name.startswith(REPLACED)]
+    return found.select(*kept, fault.alias(prefix + FAULT))
+
+
+def _first_fault(df: DataFrame, prefix: str, earlier: str, results: Sequence[str]) -> DataFrame:
+    """Of the faults of two steps of a policy the earlier one counts, and later results are NULL then."""
+    sound = column(earlier).isNull()
+    later = {name: F.when(sound, column(name)).alias(name) for name in results}
+    kept = [later.get(name, column(name)) for name in df.columns if name not in (earlier, prefix + FAULT)]
+    return df.select(*kept, F.coalesce(column(earlier), column(prefix + FAULT)).alias(prefix + FAULT))
+
+
+def _with_faults(
+    df: DataFrame, policies: Sequence[tuple[str, Policy]], attributes: Sequence[str], strict_dependencies: bool, null_results: str,
+    trust_source: bool,
+) -> DataFrame:
+    """The results of each policy and its column ``FAULT``."""
+    for prefix, policy in policies:
+        given: list[str] = []
+        for part in policy.parts if policy.kind == MIXED else [policy]:
+            earlier = f"__earlier_{prefix}"
+            if given:
+                df = df.withColumnRenamed(prefix + FAULT, earlier)
+            if part.kind == COLUMN:
+                steps = _column_steps(prefix, part, attributes, strict_dependencies, given, faults=True)
+                df = _column_results_with_faults(df, prefix, steps, null_results)
+            else:
+                df = python_results(
+                    df, [(prefix, part)], attributes, strict_dependencies=strict_dependencies, null_results=null_results,
+                    trust_source=trust_source, given=given, faults=True,
+                )
+            if given:
+                df = _first_fault(df, prefix, earlier, [prefix + name for name in part.outputs])
+            given += part.outputs
+    return df
+
+
 def evaluate(
     df: DataFrame,
     policies: Sequence[tuple[str, Policy]],
@@ -266,6 +342,7 @@ def evaluate(
     null_results: str = "error",
     trust_source: bool = False,
     compiled: bool = False,
+    faults: bool = False,
 ) -> DataFrame:
     """Add the results of several policies to each row; every policy sees only its own results.
 
@@ -284,6 +361,10 @@ def evaluate(
         policies = [(prefix, compile_policy(policy, df.schema, **seen)[0]) for prefix, policy in policies]
     check_free(df.sparkSession, df.columns, [prefix + name for prefix, policy in policies for name in policy.outputs])
     order = [*df.columns, *(prefix + name for prefix, policy in policies for name in policy.outputs)]
+    if faults:
+        check_free(df.sparkSession, order, [prefix + FAULT for prefix, _ in policies])
+        df = _with_faults(df, policies, attributes, strict_dependencies, null_results, trust_source)
+        return df.select(*map(quoted, order), *(quoted(prefix + FAULT) for prefix, _ in policies))
     shared, aliases = Shared(), {}
     steps = [
         step
@@ -324,6 +405,7 @@ def apply_policy(
     null_results: str = "error",
     trust_source: bool = False,
     compiled: bool = False,
+    faults: bool = False,
 ) -> DataFrame:
     """Add one double column per component of ``policy``.
 
@@ -337,6 +419,11 @@ def apply_policy(
     ``compiled`` turns Python rules into columns where it can (``compile_policy``, which also tells why not); what is
     compiled is not run, so it needs no ``trust_source``.
 
+    ``faults`` keeps the query going where a row is an error: the column ``fault``, a struct of component and message, tells
+    the first one of the row, whose results are NULL from that component on.  It catches every exception of Python and
+    vector rules (a failing batch of vector rules is run again by row), all faults of compiled rules, and missing values;
+    what Spark itself raises within a given column rule still ends the query.
+
     Moving a rule from Python to columns: Spark's ``round`` rounds half up (``bround`` half to even), ``%``
     takes the sign of the dividend (``pmod`` does not), integer overflow is an error, and ``greatest`` and
     ``least`` skip NULL.
@@ -349,4 +436,5 @@ def apply_policy(
         null_results=null_results,
         trust_source=trust_source,
         compiled=compiled,
+        faults=faults,
     )

@@ -22,6 +22,7 @@ from levyframe.operators.rules import PYTHON, VECTOR, Policy
 from levyframe.operators.sharing import Shared, shared_components
 
 PACKED = "__python_results"
+FAULT = "fault"
 
 # A component: its name, its function (None: an earlier policy has its results), what cuts a row to the attributes it may
 # see (None: it sees all), how many results there are after it, and where results come from that are not its own.
@@ -35,6 +36,7 @@ class _Rules:
 
     def __init__(self, prefix: str, policy: Policy, strict_dependencies: bool, twins: Mapping[str, tuple[int, str]]) -> None:
         self.policy = policy.name
+        self.fault = prefix + FAULT
         self.twins = dict(twins)  # own results that an earlier policy has: which one, and the name there
         self.vector = policy.kind == VECTOR
         self.parameters = dict(policy.parameters)
@@ -167,6 +169,67 @@ def _evaluate_batch(
                 values.append(variables.get(name))
 
 
+def _evaluate_with_faults(
+    rows: Iterable[tuple[Any, ...]], names: Sequence[str], given: Sequence[str], rule: _Rules, calls: list[_Call], null_results: str
+) -> tuple[list[list[float | None]], list[str | None], list[str | None]]:
+    """As ``_evaluate_batch`` for one policy, but an error ends the evaluation of its row only.
+
+    Returns the values of each result, NULL from the faulty component on, and the component and message of each row's
+    fault.  Of vector rules a row is one of arrays of one element.
+    """
+    allowed = {*given, *rule.outputs}
+    values: list[list[float | None]] = [[] for _ in rule.outputs]
+    components: list[str | None] = []
+    messages: list[str | None] = []
+    for row in rows:
+        attributes = MappingProxyType(dict(zip(names, row)))
+        variables: dict[str, Any] = dict(zip(given, row[len(names) :]))
+        found: dict[str, float | None] = {}
+        fault: tuple[str | None, str | None] = (None, None)
+        for (name, function, cut, _, _), results in zip(calls, rule.results):
+            try:
+                variables[name] = function(variables, rule.parameters, attributes if cut is None else cut(row))
+                for result in results:
+                    held = variables.get(result)
+                    if rule.vector:
+                        found[result] = _vector_numbers(held, 1, name, null_results)[0].as_py()
+                    else:
+                        found[result] = _number(held, name, null_results)
+                    if found[result] is None and null_results == "error":
+                        raise RuleError(f"component {name} returned no value")
+            except Exception as error:
+                text = str(error) if isinstance(error, RuleError) else f"component {name}: {type(error).__name__}: {error}"
+                for result in results:
+                    found.pop(result, None)
+                fault = (name, text)
+                break
+        _refuse_undeclared(name, variables, allowed)
+        for one, result in zip(values, rule.outputs):
+            one.append(found.get(result))
+        components.append(fault[0])
+        messages.append(fault[1])
+    return values, components, messages
+
+
+def _batch_with_faults(arrays: Sequence[pa.Array], names: Sequence[str], given: Sequence[str], rule: _Rules, calls: list[_Call], null_results: str):
+    """The columns of a policy's results and of its faults for a batch; vector rules run by row only where a batch fails."""
+    size = len(arrays[0])
+    if rule.vector:
+        whole = [(name, []) for name in rule.outputs]
+        try:
+            _evaluate_batch([tuple(map(_vector, arrays))], names, given, [(calls, rule.parameters, whole, rule.every)])
+            columns = [_vector_numbers(values[0], size, name, null_results) for name, values in whole]
+            if null_results == "keep" or not any(column.null_count for column in columns):
+                return [*columns, pa.nulls(size, pa.string()), pa.nulls(size, pa.string())]
+        except RuleError:
+            pass
+        rows: Iterable[tuple[Any, ...]] = (tuple(_vector(array.slice(k, 1)) for array in arrays) for k in range(size))
+    else:
+        rows = zip(*(_plain_values(array) for array in arrays))
+    values, components, messages = _evaluate_with_faults(rows, names, given, rule, calls, null_results)
+    return [*(pa.array(v, pa.float64()) for v in values), pa.array(components, pa.string()), pa.array(messages, pa.string())]
+
+
 def python_results(
     df: DataFrame,
     policies: Sequence[tuple[str, Policy]],
@@ -176,10 +239,12 @@ def python_results(
     null_results: str,
     trust_source: bool,
     given: Sequence[str] = (),
+    faults: bool = False,
 ) -> DataFrame:
     """Add the results of Python and vector policies as double columns, from one call per component and row or batch.
 
-    ``given`` names earlier results, columns already, that a single policy goes on from.
+    ``given`` names earlier results, columns already, that a single policy goes on from.  With ``faults`` an error is a
+    struct in the policy's column ``FAULT`` instead of the end of the query.
     """
     for _, policy in policies:
         untrusted = [c.name for c in policy.components if c.function is None]
@@ -195,13 +260,19 @@ def python_results(
     owners: dict[str, tuple[int, str]] = {}
     shared, places = Shared(), {PYTHON: 0, VECTOR: 0}
     for prefix, policy in policies:
-        twins = shared_components(prefix, policy, shared, strict_dependencies) if len(policies) > 1 else {}
+        twins = shared_components(prefix, policy, shared, strict_dependencies) if len(policies) > 1 and not faults else {}
         rules.append(_Rules(prefix, policy, strict_dependencies, {name: owners[twin] for name, twin in twins.items()}))
         aliases |= {prefix + name: twin for name, twin in twins.items()}
         owners |= {prefix + name: (places[policy.kind], name) for name in policy.outputs if name not in twins}
         places[policy.kind] += 1
     fields = [field for rule in rules for field in rule.fields]
     result_type = T.StructType([T.StructField(f"f{i}", T.DoubleType()) for i in range(len(fields))])
+    if faults:
+        fields, kinds = [], []
+        for rule in rules:
+            fields += [*rule.fields, f"__component{len(fields)}", f"__message{len(fields)}"]
+            kinds += [*(T.DoubleType() for _ in rule.fields), T.StringType(), T.StringType()]
+        result_type = T.StructType([T.StructField(f"f{i}", kind) for i, kind in enumerate(kinds)])
     names = list(attributes)
 
     @F.arrow_udf(result_type)
@@ -212,6 +283,11 @@ def python_results(
                 arrays = (arrays,)
             size = len(arrays[0])
             columns: list[pa.Array] = []
+            if faults:
+                for rule, (calls, _, _, _) in zip(rules, bound):
+                    columns += _batch_with_faults(arrays, names, given, rule, calls, null_results)
+                yield pa.StructArray.from_arrays(columns, names=result_type.names)
+                continue
             work = [[(calls, parameters, [(name, []) for name in outputs], every)] for calls, parameters, outputs, every in bound]
             by_row = [one for rule, (one,) in zip(rules, work) if not rule.vector]
             if by_row:
@@ -235,4 +311,13 @@ def python_results(
     # asked of its results; filters on attributes and column pruning pass it.
     unpacked = packed.select(*map(quoted, df.columns), F.inline(F.array(column(PACKED))))
     unpacked = unpacked.toDF(*df.columns, *fields)
+    if faults:
+        kept = [*df.columns]
+        told = []
+        for rule in rules:
+            at = fields.index(rule.fields[0]) + len(rule.fields)
+            component, message = column(fields[at]), column(fields[at + 1])
+            kept += rule.fields
+            told.append(F.when(component.isNotNull(), F.struct(component.alias("component"), message.alias("message"))).alias(rule.fault))
+        return unpacked.select(*map(quoted, kept), *told)
     return unpacked.select("*", *(column(twin).alias(name) for name, twin in aliases.items())) if aliases else unpacked

@@ -49,6 +49,19 @@ levied AS (
 SELECT *, CAST(CASE WHEN levy / 500 > 120 THEN 120 + o_orderkey // 7 % 5 ELSE trunc(levy / 500) END AS DOUBLE) AS months FROM levied
 """
 
+_FAULTS = f"""
+WITH judged AS (
+  SELECT l_orderkey, l_linenumber, l_extendedprice, nullif(l_discount, {_d('0.05')}) AS discount,
+    CASE WHEN l_linenumber <> 3 THEN l_extendedprice / CAST(l_linenumber - 3 AS DOUBLE) END AS unit,
+    CASE l_returnflag WHEN 'R' THEN {_d('0.5')} + {_d('0.25')} WHEN 'N' THEN {_d('1')} + {_d('0.25')} END AS raw
+  FROM lineitem),
+rated AS (SELECT *, CASE WHEN unit IS NOT NULL THEN raw END AS rate FROM judged)
+SELECT l_orderkey, l_linenumber, unit, rate, CASE WHEN rate IS NOT NULL THEN unit * rate * discount END AS due,
+  CASE WHEN unit IS NULL THEN 'unit' WHEN rate IS NULL THEN 'rate' WHEN discount IS NULL THEN 'due' END AS component,
+  CASE WHEN unit IS NULL THEN 'ZeroDivisionError' WHEN rate IS NULL THEN 'KeyError' WHEN discount IS NULL THEN 'TypeError' END AS error
+FROM rated
+"""
+
 _CUSTOMER = """
 SELECT CAST(c_custkey AS INTEGER) AS custkey, c_name AS name, c_nationkey AS nationkey,
        c_acctbal AS acctbal, c_mktsegment AS mktsegment
@@ -253,6 +266,8 @@ LEFT JOIN last ON last.policy = p.policy AND last.name = p.component
 
 ORACLES: dict[str, str] = {
     "apply_policy": _VARIANT,
+    "rule_faults_compiled": _FAULTS,
+    "rule_faults_python": _FAULTS,
     "read_quoted_breaks": "SELECT CAST(doc_id AS INTEGER) AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents",
     "apply_policy_compiled": _VARIANT,
     "apply_brackets_compiled": _BRACKETS,

@@ -213,3 +213,43 @@ def months(variables, parameters, row):
 '''
 """
 
+
+FAULTS_FILE = """
+name = "faults"
+intitule_long = "Rules that some rows are errors of"
+
+[[composante]]
+name = "unit"
+intitule_long = "Price of a unit beyond three"
+parameters = { names = [], intitules_long = [], values = [] }
+logical_order = 1
+caracteristiques_dependencies = []
+function = '''
+def unit(variables, parameters, row):
+    return row["l_extendedprice"] / (row["l_linenumber"] - 3)
+'''
+
+[[composante]]
+name = "rate"
+intitule_long = "Rate by flag"
+parameters = { names = ["more"], intitules_long = ["More"], values = [0.25] }
+logical_order = 2
+caracteristiques_dependencies = []
+function = '''
+RATES = {"R": 0.5, "N": 1}
+
+def rate(variables, parameters, row):
+    return RATES[row["l_returnflag"]] + parameters["more"]
+'''
+
+[[composante]]
+name = "due"
+intitule_long = "Due"
+parameters = { names = [], intitules_long = [], values = [] }
+logical_order = 3
+caracteristiques_dependencies = []
+function = '''
+def due(variables, parameters, row):
+    return variables["unit"] * variables["rate"] * row["l_discount"]
+'''
+"""

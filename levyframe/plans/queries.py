@@ -89,6 +89,24 @@ def scenario_diff_compiled(spark: SparkSession, folder: str) -> DataFrame:
     return _differences(spark, folder, base, variant, compiled=True)
 
 
+def _rule_faults(spark: SparkSession, folder: str, **options: bool) -> DataFrame:
+    """Rows that are errors of a rule, beside the results of all others."""
+    discount = F.nullif(F.col("l_discount"), F.lit(0.05)).alias("l_discount")
+    rows = lines(spark, folder).select("l_orderkey", "l_linenumber", "l_extendedprice", discount, "l_returnflag")
+    rules = policy_from_text(spark, policies.FAULTS_FILE)
+    wide = apply_policy(rows, rules, faults=True, **options)
+    kind = F.split(F.col("fault.message"), ": ")[1].alias("error")
+    return wide.select("l_orderkey", "l_linenumber", *rules.outputs, F.col("fault.component").alias("component"), kind)
+
+
+def rule_faults_compiled(spark: SparkSession, folder: str) -> DataFrame:
+    return _rule_faults(spark, folder, compiled=True)
+
+
+def rule_faults_python(spark: SparkSession, folder: str) -> DataFrame:
+    return _rule_faults(spark, folder, trust_source=True)
+
+
 def _one_of_both(spark: SparkSession, folder: str, which: str, names: list[str]) -> DataFrame:
     """One policy's results out of a pass that evaluates both."""
     wide = compare_policies(lines(spark, folder), policies.baseline(), policies.variant())
@@ -537,6 +555,8 @@ QUERIES: dict[str, Query] = {
     "apply_policy_mixed": apply_policy_mixed,
     "apply_policy_compiled": apply_policy_compiled,
     "apply_brackets_compiled": apply_brackets_compiled,
+    "rule_faults_compiled": rule_faults_compiled,
+    "rule_faults_python": rule_faults_python,
     "extra_outputs": extra_outputs,
     "scenario_baseline": scenario_baseline,
     "scenario_variant": scenario_variant,
