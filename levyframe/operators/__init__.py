@@ -1,5 +1,6 @@
 """Operators on DataFrames: checks, policy tables, rule evaluation, comparison, positions, layout."""
 
+from levyframe.operators.by_key import apply_policy_by_key
 from levyframe.operators.checks import (
     apply_types,
     attribute_gaps,
@@ -46,6 +47,7 @@ __all__ = [
     "Component",
     "Policy",
     "apply_policy",
+    "apply_policy_by_key",
     "apply_types",
     "attribute_gaps",
     "check_dependencies",

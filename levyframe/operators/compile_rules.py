@@ -288,7 +288,10 @@ class Translator:
     # What a rule reads
 
     def _parameter(self, name: str) -> Value | None:
-        return _constant(float(self.parameters[name])) if name in self.parameters else None
+        if name not in self.parameters:
+            return None
+        value = self.parameters[name]
+        return Value(FLOAT, value) if isinstance(value, Column) else _constant(float(value))
 
     def _attribute(self, name: str) -> Value | None:
         return self.attributes.get(name)

@@ -370,7 +370,7 @@ def evaluate(
         step
         for prefix, policy in policies
         if policy.kind == COLUMN
-        for step in _column_steps(prefix, policy, attributes, strict_dependencies, shared=shared, aliases=aliases)
+        for step in _column_steps(prefix, policy, attributes, strict_dependencies, shared=shared if len(policies) > 1 else None, aliases=aliases)
     ]
     if steps:
         df = _column_results(df, steps, null_results)

@@ -57,7 +57,7 @@ class Policy:
     name: str
     components: Sequence[Component]
     label: str = ""
-    shared_parameters: Mapping[str, float] | None = None  # of the policy that this is a part of
+    shared_parameters: Mapping[str, float] | None = None  # of the policy that this is a part of, or Columns by row
 
     def __post_init__(self) -> None:
         if not self.components:

@@ -62,6 +62,18 @@ SELECT l_orderkey, l_linenumber, unit, rate, CASE WHEN rate IS NOT NULL THEN uni
 FROM rated
 """
 
+_BY_SUPPLIER = f"""
+WITH rates AS (
+  SELECT s_suppkey AS l_suppkey, CASE WHEN s_nationkey % 3 <> 0 THEN s_acctbal / 100000 END AS tau,
+    CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey / CAST(50 AS DOUBLE) END AS rho
+  FROM supplier),
+netted AS (
+  SELECT {_KEYS}, l_suppkey, {_NET} AS net, coalesce(tau, {_d('0.08')}) AS tau, coalesce(rho, {_d('0.02')}) AS rho
+  FROM lineitem LEFT JOIN rates USING (l_suppkey)),
+levied AS (SELECT *, net * tau AS levy, CASE WHEN l_returnflag = 'R' THEN net * rho ELSE {_d('0')} END AS relief FROM netted)
+SELECT {_KEYS}, l_suppkey, net, levy, relief, net + levy - relief AS total FROM levied
+"""
+
 _CUSTOMER = """
 SELECT CAST(c_custkey AS INTEGER) AS custkey, c_name AS name, c_nationkey AS nationkey,
        c_acctbal AS acctbal, c_mktsegment AS mktsegment
@@ -266,6 +278,7 @@ LEFT JOIN last ON last.policy = p.policy AND last.name = p.component
 
 ORACLES: dict[str, str] = {
     "apply_policy": _VARIANT,
+    "policy_by_supplier": _BY_SUPPLIER,
     "rule_faults_compiled": _FAULTS,
     "rule_faults_python": _FAULTS,
     "read_quoted_breaks": "SELECT CAST(doc_id AS INTEGER) AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents",

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from levyframe.functions.cells import cell_kind
 from levyframe.operators import checks, policy_tables
+from levyframe.operators.by_key import apply_policy_by_key
 from levyframe.operators.compare import (
     BASELINE,
     DIFF,
@@ -107,6 +108,19 @@ def rule_faults_python(spark: SparkSession, folder: str) -> DataFrame:
     return _rule_faults(spark, folder, trust_source=True)
 
 
+def policy_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
+    """Each supplier has its own rates; some have only one of them, some none."""
+    supplier = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal", "s_nationkey")
+    rates = F.array(
+        F.when(F.col("s_nationkey") % 3 != 0, F.struct(F.lit("tau").alias("name"), (F.col("s_acctbal") / 100000).alias("value"))),
+        F.when(F.col("s_nationkey") % 2 == 0, F.struct(F.lit("rho").alias("name"), (F.col("s_nationkey") / 50).alias("value"))),
+    )
+    parameters = supplier.select("l_suppkey", F.inline(F.array_compact(rates)))
+    rows = table(spark, folder, "lineitem").select(*LINE_COLUMNS, "l_suppkey")
+    rules = policy_from_text(spark, policies.VARIANT_FILE)
+    return apply_policy_by_key(rows, rules, "l_suppkey", parameters, compiled=True)
+
+
 def _one_of_both(spark: SparkSession, folder: str, which: str, names: list[str]) -> DataFrame:
     """One policy's results out of a pass that evaluates both."""
     wide = compare_policies(lines(spark, folder), policies.baseline(), policies.variant())
@@ -555,6 +569,7 @@ QUERIES: dict[str, Query] = {
     "apply_policy_mixed": apply_policy_mixed,
     "apply_policy_compiled": apply_policy_compiled,
     "apply_brackets_compiled": apply_brackets_compiled,
+    "policy_by_supplier": policy_by_supplier,
     "rule_faults_compiled": rule_faults_compiled,
     "rule_faults_python": rule_faults_python,
     "extra_outputs": extra_outputs,

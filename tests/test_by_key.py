@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import pytest
+from helpers import plan
+
+from levyframe import Component, Policy, apply_policy_by_key
+from levyframe.errors import PolicyError
+
+PAIRS = [("a", "tau", 0.5), ("a", "rho", 2.0), ("b", "tau", 0.25), ("c", "rho", None)]
+SOURCE = "def due(v, p, a):\n    return v['net'] * p['rho'] if p['tau'] > 0.3 else -1\n"
+
+
+@pytest.fixture(scope="module")
+def df(spark):
+    rows = [(k, ["a", "b", "c", "d", None][k % 5], float(k)) for k in range(40)] + [(k, "a", 1.0) for k in range(40, 400)]
+    return spark.createDataFrame(rows, "k int, policy string, x double")
+
+
+@pytest.fixture(scope="module")
+def parameters(spark):
+    return spark.createDataFrame(PAIRS, "policy string, name string, value double")
+
+
+def rules(kind="column"):
+    net = Component("net", lambda v, p, a: a["x"] * p["tau"], {"tau": 1.0, "rho": 3.0})
+    source = {"source": SOURCE, "kind": "python"} if kind == "python" else {"function": lambda v, p, a: v["net"] * p["rho"]}
+    return Policy("levy", [net, Component("due", logical_order=1, **source)])
+
+
+def rate(policy, name):
+    held = {(p, n): v for p, n, v in PAIRS}.get((policy, name))
+    return {"tau": 1.0, "rho": 3.0}[name] if held is None else held
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_each_row_has_its_own_parameters(spark, df, parameters, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = apply_policy_by_key(df, rules(), "policy", parameters)
+        assert got.columns == [*df.columns, "net", "due"]
+        for r in got.collect():
+            tau, rho = rate(r.policy, "tau"), rate(r.policy, "rho")
+            assert (r.net, r.due) == (r.x * tau, r.x * tau * rho)
+        assert got.count() == 400 and "Cartesian" not in plan(got) and "NestedLoop" not in plan(got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_compiled_rules_and_faults(df, parameters):
+    got = apply_policy_by_key(df, rules("python"), "policy", parameters, compiled=True, faults=True)
+    for r in got.collect():
+        tau, rho = rate(r.policy, "tau"), rate(r.policy, "rho")
+        assert r.fault is None and r.due == (r.x * tau * rho if tau > 0.3 else -1.0)
+    with pytest.raises(PolicyError, match="not due"):
+        apply_policy_by_key(df, rules("python"), "policy", parameters)
+
+
+def test_faulty_parameters(spark, df, parameters):
+    for extra, message in ((("a", "zeta", 1.0), "no parameter zeta"), (("a", None, 1.0), "no parameter NULL"), (("a", "tau", 0.1), "(?i)duplicate")):
+        more = parameters.union(spark.createDataFrame([extra], parameters.schema))
+        with pytest.raises(Exception, match=message):
+            apply_policy_by_key(df, rules(), "policy", more).collect()
+    assert apply_policy_by_key(df, rules(), "policy", parameters.limit(0)).where("net <> x").count() == 0
