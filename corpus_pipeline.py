@@ -16,31 +16,41 @@ from levyframe.llm import byte_bpe, line_dedup, mixture, ngram_join, toxicity
 from levyframe.storage import stage
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+BATCH_ROWS = "2000"  # whole texts that a Python worker gets at once; Spark's default of 10,000 takes some 100 MB of each
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, calls toxic go."""
+    _small_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines the first stays; a document goes when no line is left in it that is not blank."""
+    _small_batches(spark)
     return line_dedup.dedup_lines(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their word shingles the one of the smallest id stays."""
+    _small_batches(spark)
     return ngram_join.one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, some not at all."""
+    _small_batches(spark)
     return mixture.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids instead of texts."""
+    _small_batches(spark)
     return byte_bpe.tokenized(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
