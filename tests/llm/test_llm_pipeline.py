@@ -27,7 +27,7 @@ def test_stages_against_plain_versions(spark):
 
     kept = kept_lines({r["doc_id"]: r["text"] for r in clean})
     texts = {r["doc_id"]: r["text"] for r in clean}
-    stay = {d: t for d, t in kept.items() if t == texts[d] or any(len(x.strip()) >= 20 for x in t.split("\n"))}
+    stay = {d: t for d, t in kept.items() if t == texts[d] or any(x.strip() for x in t.split("\n"))}
     assert {r["doc_id"]: r["text"] for r in lines} == stay
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
 
@@ -50,3 +50,15 @@ def test_empty_table(spark):
 
 def test_no_oracle_is_claimed():
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_queries_of_sql_agree_with_it(spark):
+    from test_queries import FOLDER as folder
+    from test_queries import compare, connect
+
+    from levyframe.llm.oracles import LLM_ORACLES
+    from levyframe.llm.queries import LLM_QUERIES
+
+    connection = connect(folder)
+    for name in LLM_ORACLES:
+        assert compare(LLM_QUERIES[name](spark, folder), connection, name) is None
