@@ -278,6 +278,8 @@ LEFT JOIN last ON last.policy = p.policy AND last.name = p.component
 
 ORACLES: dict[str, str] = {
     "apply_policy": _VARIANT,
+    "scenario_diff_keyed_strict": f"SELECT o_orderkey, o_totalprice * {_d('0.08')} - o_totalprice * {_d('0.05')} AS levy FROM orders",
+    "checked_table": _CUSTOMER,
     "policy_by_supplier": _BY_SUPPLIER,
     "rule_faults_compiled": _FAULTS,
     "rule_faults_python": _FAULTS,

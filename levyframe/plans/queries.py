@@ -171,6 +171,15 @@ def scenario_diff_keyed(spark: SparkSession, folder: str) -> DataFrame:
     return diff_results(stored_base, stored_variant, "o_orderkey", check_rows=False)
 
 
+def scenario_diff_keyed_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """Two stored results that must have the same keys, in different orders of rows."""
+    orders = table(spark, folder, "orders")
+    price = F.col("o_totalprice")
+    base = orders.select("o_orderkey", (price * 0.05).alias("levy"))
+    variant = orders.orderBy("o_custkey").select((price * 0.08).alias("levy"), "o_orderkey")
+    return diff_results(base, variant, "o_orderkey", check_rows=True)
+
+
 # Files -------------------------------------------------------------------------------------------------
 
 
@@ -357,6 +366,11 @@ def duplicate_header(spark: SparkSession, folder: str) -> DataFrame:
     return read_delimited(spark, path)
 
 
+def checked_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that holds a row, supported types and no NULL, or the query stops."""
+    return checks.check_table(customers(spark, folder))
+
+
 def null_cells(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         (F.col("o_orderkey") + 1).alias("at"),
@@ -579,6 +593,8 @@ QUERIES: dict[str, Query] = {
     "scenario_diff_python": scenario_diff_python,
     "scenario_diff_compiled": scenario_diff_compiled,
     "scenario_diff_keyed": scenario_diff_keyed,
+    "scenario_diff_keyed_strict": scenario_diff_keyed_strict,
+    "checked_table": checked_table,
     "scenario_run": scenario_run,
     "read_delimited": read_delimited_query,
     "read_delimited_typed": read_delimited_typed,
