@@ -1,6 +1,7 @@
 """Connected components of an edge table by large-star and small-star steps (Kiveris et al., 2014).
 
-Each task first joins what its own edges connect, so that few rounds are left.  Every round is written to the shared
+Each task first joins what its own edges connect, at most ``_NODES_HELD`` nodes and a batch at a time, so that few rounds
+are left.  Every round is written to the shared
 folder: a lost executor costs no more than the round, and plans stay short.  A node with very many edges is summed up
 before it is shuffled, and joined back by a join that adaptive execution can split.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from levyframe.storage import stage
 
 _ROWS_A_BATCH = 100_000
+_NODES_HELD = 1_000_000  # by a task; it goes on with none when it holds more
 
 
 def _joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,19 +31,25 @@ def _joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             parent[x], x = top, parent[x]
         return top
 
+    def merged() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in parent if parent[x] != x]
+        for k in range(0, len(nodes), _ROWS_A_BATCH):
+            some = nodes[k : k + _ROWS_A_BATCH]
+            yield pa.RecordBatch.from_pydict(
+                {"a": pa.array(some, pa.int64()), "b": pa.array([root(x) for x in some], pa.int64())}
+            )
+
     for batch in batches:
+        if len(parent) > _NODES_HELD:
+            yield from merged()  # what follows is joined with it by the rounds
+            parent.clear()
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             parent.setdefault(a, a)
             parent.setdefault(b, b)
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    nodes = [x for x in parent if parent[x] != x]
-    for k in range(0, len(nodes), _ROWS_A_BATCH):
-        some = nodes[k : k + _ROWS_A_BATCH]
-        yield pa.RecordBatch.from_pydict(
-            {"a": pa.array(some, pa.int64()), "b": pa.array([root(x) for x in some], pa.int64())}
-        )
+    yield from merged()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

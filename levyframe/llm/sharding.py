@@ -6,7 +6,7 @@ follows from its bucket's start, which is the sum of the bucket sizes before it
 
 The law is ``key``: a record's shard follows from its key and the number of shards alone, by jump consistent hashing,
 so one more shard takes records only into itself.  A shard has as many buckets as it takes to keep each near
-``bucket_bytes``, counted from that shard's own bytes; the bucket follows from a hash of the whole record, so many records of one key (also a null one)
+``bucket_bytes``, a share of an executor's memory, counted from that shard's own bytes; the bucket follows from a hash of the whole record, so many records of one key (also a null one)
 spread over the buckets of their shard.  Within a bucket records are put in the order of that hash before they are
 shuffled with a seed of (seed, shard, bucket): a task that runs again gives the same places.  Rows that are equal in all
 columns share a bucket.
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from levyframe.llm.sizing import share_of_executor
 from levyframe.storage import fresh_path
 
 SHARDS = 40
-BUCKET_BYTES = 256 << 20
+BUCKET_SHARE = 48  # a bucket is this part of an executor's heap: a task takes some six times as much
+LEAST_BUCKET = 16 << 20
 RECORD_BYTES = 64  # what a record takes beside its own columns
 _PLACES = ("shard", "grown_shard", "bucket", "bucket_slot", "slot")
 
@@ -56,7 +58,7 @@ def _shard(keys, shards: int):
 
 
 def shuffled_shards(
-    df: DataFrame, key: str, size: str, shards: int = SHARDS, seed: int = 7, bucket_bytes: int = BUCKET_BYTES
+    df: DataFrame, key: str, size: str, shards: int = SHARDS, seed: int = 7, bucket_bytes: int | None = None
 ) -> DataFrame:
     """All columns of ``df`` with ``shard``, ``grown_shard`` (with one shard more), ``bucket`` and ``slot``.
 
@@ -65,6 +67,7 @@ def shuffled_shards(
     """
     if clash := set(df.columns) & {*_PLACES, "row_order"}:
         raise ValueError(f"columns {sorted(clash)} are there already")
+    bucket_bytes = bucket_bytes or share_of_executor(df.sparkSession, BUCKET_SHARE, LEAST_BUCKET)
     hashed = F.xxhash64(F.lit(seed), F.col(key))
     held = df.select(_shard(hashed, shards).alias("shard"), (F.coalesce(F.col(size), F.lit(0)) + RECORD_BYTES).alias("held"))
     totals = {r["shard"]: int(r["held"]) for r in held.groupBy("shard").agg(F.sum("held").alias("held")).collect()}
@@ -109,7 +112,7 @@ def write_shards(placed: DataFrame, path: str) -> None:
     _write(placed.repartition("shard", "bucket"), path, "slot")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, bucket_bytes: int | None = None) -> DataFrame:
     """Sizes, checksums and places of all documents, told from the shards that were written with all their columns."""
     if "text_bytes" in docs.columns:
         raise ValueError("a column text_bytes is there already")
