@@ -16,9 +16,14 @@ from pyspark.sql import types as T
 from levyframe.functions.names import column
 from levyframe.operators.ordering import with_rank
 
-# A source text defines a function where a line starts with "def <name>" or "<name> = lambda".
-DEFINITION = r"(?m)^(?:async[ \t]+)?def[ \t]+[A-Za-z_]\w*|^[A-Za-z_]\w*[ \t]*=[ \t]*lambda\b"
-DEFINED_NAME = r"([A-Za-z_]\w*)(?:[ \t]*=[ \t]*lambda)?$"
+# A source text binds a name where a line starts with "def <name>" (decorated or not), "class <name>", "<name> =" (a lambda,
+# another function, a partial), "<name>: <type> =", or is an import that ends with the name.
+DEFINITION = (
+    r"(?mU)^(?:async[ \t]+)?(?:def|class)[ \t]+[^\W\d]\w*"
+    r"|^[^\W\d]\w*(?=[ \t]*(?::[^=\n]*)?=(?!=))"
+    r"|^(?:from[ \t]+[\w.]+[ \t]+)?import[ \t]+[^#\n]*?\b[^\W\d]\w*(?=[ \t]*(?:#.*)?$)"
+)
+DEFINED_NAME = r"(?U)([^\W\d]\w*)$"
 
 
 def policies(documents: DataFrame) -> DataFrame:

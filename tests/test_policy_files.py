@@ -4,6 +4,7 @@ import random
 
 import pytest
 from helpers import plan, rows
+from pyspark.sql import functions as F
 
 from levyframe import (
     components,
@@ -21,6 +22,7 @@ from levyframe import (
     read_policies,
 )
 from levyframe.errors import PolicyError
+from levyframe.operators.policy_tables import defined_functions
 from levyframe.sources.policy_files import _as_json, parse_policies, policy_from_text
 
 NOTIF = """
@@ -231,6 +233,25 @@ def test_dependencies(spark):
     assert rows(missing_dependencies(df, ["policy"], [])) == [("p", n) for n in ("a1", "b1", "c1", "shared")]
 
 
+def test_names_that_a_module_binds(spark):
+    text = """from math import sqrt, floor as low  # two
+import os.path as place
+@cached
+def decorated(v, p, a):
+    inner = 1
+    return inner == 2
+async def later(v, p, a): pass
+given = partial(decorated, 1)
+typed: Callable[..., float] = decorated
+été = lambda v, p, a: 1
+class Rule: pass
+same == given
+"""
+    module = ["low", "place", "decorated", "later", "given", "typed", "été", "Rule"]
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(defined_functions(F.col("t"))).first()[0] == module
+
+
 def test_function_resolution(spark):
     data = [
         ("p", "a", 1, "def a(v, p, x):\n    return 1\ndef b(v, p, x):\n    return 1"),
