@@ -24,12 +24,15 @@ from hashlib import sha256
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Patterns that cut a text before each single blank and leave letters after it together; texts are cut there first.
+CUT_AT_BLANKS = (public_tokenizers.PATTERN,)
 _KEPT = 1 << 18  # chunks, and pre-tokens, remembered by a worker
 _CHARS = 1 << 22  # of texts that are learnt from at a time
 _MERGED = 1 << 19  # bytes of pre-tokens that are merged at a time
@@ -111,6 +114,7 @@ class ByteBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self._size = max(ranks.values(), default=-1) + 1
         self._cut = regex.compile(pattern).findall
+        self._at_blanks = pattern in CUT_AT_BLANKS
         self._bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -213,7 +217,10 @@ class ByteBpe:
 
     def _split(self, text: str) -> tuple[list[str], list[str]]:
         """The pre-tokens before a text's first blank, and the chunks after blanks; all pre-tokens and no chunk if a
-        blank stands beside other white space, as the text must be cut as a whole then."""
+        blank stands beside other white space, or the pattern is not known to cut before blanks, as the text must be cut
+        as a whole then."""
+        if not self._at_blanks:
+            return self._cut(text), []
         head, *chunks = text.split(" ")
         if chunks and head[-1:].isspace() or not self._unsafe.isdisjoint(chunks):
             return self._cut(text), []
@@ -227,7 +234,7 @@ class ByteBpe:
             self._pieces.clear()
         known, pieces = self._chunks, self._pieces
         new: set[str] = set()
-        for text in texts:
+        for text in texts if self._at_blanks else ():
             new.update(set(text.split(" ")[1:]).difference(known))
         # letters alone are one pre-token
         cut = {c: (" " + c,) for c in new if c.isalpha()}

@@ -100,3 +100,13 @@ def test_odd_rows(spark, reference):
     assert byte_bpe.tokenized(odd(spark), PATH, PATTERN).count() == len(rows)
     with pytest.raises(ValueError):
         byte_bpe.encode(odd(spark).withColumnRenamed("extra", "ids"), PATH, PATTERN)
+
+
+@pytest.mark.parametrize("pattern", [r"[A-Z]?[a-z']+|\s+|.", r"\S+\s?|\s+", r"[^ab]+|[ab]"])
+def test_other_patterns_cut_whole_texts(ranks, pattern):
+    """A pattern that does not cut before blanks, or cuts letters apart."""
+    coder = byte_bpe.ByteBpe(ranks, pattern)
+    plain = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = ["", " ", "anOther wordWith Capitals", "ab ba  abba\nXyz", "it's 's"]
+    for text, ids in zip(texts, coder.encode_all(texts), strict=True):
+        assert ids.tolist() == plain(text)
