@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,11 +80,19 @@ def _written(
         wide = stage(wide, "scenario")
     if wide.isEmpty():
         raise TableError("the table has no row")
-    written = {}
-    for which, names in outputs.items():
-        word = RESULT_WORDS[which]
-        written[word] = result_path(folder, word, fmt, prefix)
-        write_result(results_of(wide, which, kept, names), attributes, names, fmt, written[word])
+    written = {RESULT_WORDS[which]: result_path(folder, RESULT_WORDS[which], fmt, prefix) for which in outputs}
+
+    def write(which: str) -> None:
+        names = outputs[which]
+        write_result(results_of(wide, which, kept, names), attributes, names, fmt, written[RESULT_WORDS[which]])
+
+    if fmt == "csv":
+        # Side by side: a result has its own columns and header, and reads only those of the staged table.
+        with ThreadPoolExecutor(len(outputs)) as pool:
+            list(pool.map(write, outputs))
+    else:  # a registered Python source is known to the session of this thread alone
+        for which in outputs:
+            write(which)
     return written
 
 
