@@ -225,10 +225,10 @@ def read_delimited_typed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_quoted_breaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole texts with their line breaks, in one file of several blocks."""
+    """Whole texts with their line breaks, in files of several blocks: one of every two tasks that read the texts."""
     path = fresh_path(spark, "texts.csv")
     texts = table(spark, folder, "documents").select(F.col("doc_id").cast("int").alias("doc_id"), "lang", "text")
-    write_delimited(texts.coalesce(1), path)
+    write_delimited(texts.coalesce((texts.rdd.getNumPartitions() + 1) // 2), path)
     return read_delimited(spark, path, {"doc_id": T.IntegerType(), "lang": T.StringType(), "text": T.StringType()}, multi_line=True)
 
 

@@ -208,8 +208,8 @@ def quoted_records(spark: SparkSession, path: str | Sequence[str], separator: st
     state = F.coalesce(F.col("last.state"), F.lit(False)).cast("int") + F.col("flips") - F.coalesce(F.col("last.flips"), F.lit(0))
     starts = counted.select(F.col(FILE).alias("in_file"), F.col(OFFSET).alias("at_offset"), (F.pmod(state, F.lit(2)) == 1).alias("inside"))
     same = (F.col(FILE) == F.col("in_file")) & (F.col(OFFSET) == F.col("at_offset"))
-    # Whatever way the join goes, a block's lines come to one task in their order.
-    told = flagged.join(starts, same).drop("in_file", "at_offset").sortWithinPartitions(FILE, OFFSET, "__at")
+    # One row for each block is sent to all tasks, so that texts are not shuffled: a block's lines stay in their task.
+    told = flagged.join(F.broadcast(starts), same).drop("in_file", "at_offset").sortWithinPartitions(FILE, OFFSET, "__at")
     pieces = told.drop("__at").mapInArrow(_assembled, RECORD_SCHEMA)
     whole = pieces.where((F.col("place") == 0) & F.col("begins"))
     # Pieces of records that cross blocks: a start, then one of each block that goes on, up to the one that ends it.

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from levyframe import POSITIONS, ragged_rows, read_delimited
 from levyframe.operators.ordering import with_index
+from levyframe.plans import queries
 from levyframe.sources import text_records
 from levyframe.sources.delimited import read_text_cells
 
@@ -160,6 +161,20 @@ def test_quoted_breaks_in_several_files_and_headers(spark, write, tmp_path, smal
         read_text_cells(spark, str(tmp_path / "all.csv"), multi_line=True).collect()
 
 
+def test_written_texts_are_not_gathered_in_one_task(spark, tmp_path, monkeypatch, small_blocks):
+    """One task read and wrote all texts, and the blocks' lines were shuffled."""
+    texts = spark.range(60).selectExpr("id AS doc_id", "'en' AS lang", "concat('a;\n\"', repeat('b\n', 40), id) AS text")
+    texts.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    path = str(tmp_path / "texts.csv")
+    monkeypatch.setattr(queries, "fresh_path", lambda spark, name: path)
+    small_blocks(700)
+    read = queries.read_quoted_breaks(spark, str(tmp_path))
+    assert rows(read) == rows(texts.selectExpr("cast(doc_id AS int)", "lang", "text"))
+    files = [file.stat().st_size for file in (tmp_path / "texts.csv").glob("*.csv")]
+    assert len(files) > 2 and max(files) < sum(files) / 2
+    assert "BroadcastHashJoin" in plan(read)
+
+
 def test_faults_with_quoted_breaks(spark, write, tmp_path):
     with pytest.raises(Exception, match="not 2 fields"):
         read_text_cells(spark, write("h.csv", 'a;b\n"x\ny"\n'), multi_line=True).collect()
