@@ -40,6 +40,7 @@ from levyframe.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+DOCUMENTS_IN_TASK = 5_000
 LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag")
 
 
@@ -439,8 +440,10 @@ def policy_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('parameters = { names = ["tau"], intitules_long = ["Rate", "Spare"], values = ['),
         rate, F.lit("] }\n"),
     ]
-    text = table(spark, folder, "customer").select("c_custkey", F.concat(*parts).alias("text"))
-    return parse_policies(text, "c_custkey", "text")
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    # A few bytes of a customer become a document that takes long to parse: a file's one task would parse all of them.
+    dealt = customer.repartition(1 + customer.count() // DOCUMENTS_IN_TASK)
+    return parse_policies(dealt.select("c_custkey", F.concat(*parts).alias("text")), "c_custkey", "text")
 
 
 def policy_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,6 +23,7 @@ from levyframe import (
 )
 from levyframe.errors import PolicyError
 from levyframe.operators.policy_tables import defined_functions
+from levyframe.plans.queries import policy_documents
 from levyframe.sources.policy_files import _as_json, parse_policies, policy_from_text
 
 NOTIF = """
@@ -277,3 +278,23 @@ def test_ordered_components_with_a_hot_policy(spark):
         members = sorted(row[1:] for row in data if row[0] == name)
         expected += [(name, *member, rank) for rank, member in enumerate(members, start=1)]
     assert rows(ranked) == sorted(expected, key=repr)
+
+
+def test_documents_of_one_file_are_parsed_by_several_tasks(spark, tmp_path):
+    """A file of few bytes is read by one task, which parsed all its documents."""
+    customers = spark.range(12_000).selectExpr(
+        "nullif(id, 5) % 9000 AS c_custkey", "concat('c', id) AS c_name", "cast(id % 7 AS int) AS c_nationkey",
+        "id / 8.0 AS c_acctbal", "'BUILDING' AS c_mktsegment",
+    )
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    documents = policy_documents(spark, str(tmp_path))
+    sizes = [row["count"] for row in documents.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 12_000 and len(sizes) == 3 and max(sizes) < 4_500
+
+
+def test_tables_of_a_document_are_unpacked_once(spark):
+    """Each use of a component's key unpacked the component again, and its parameters within it."""
+    documents = parse_policies(spark.createDataFrame([("a", VALID)], "source string, text string"), "source", "text")
+    assert plan(documents).count("MapType(StringType,VariantType,true)") <= 6
+    (row,) = documents.collect()
+    assert row["error"] is None and [part["name"] for part in row["components"]] == ["plan_notif", "plan_cons"]
