@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 # Patterns that cut a text before each single blank and leave letters after it together; texts are cut there first.
 CUT_AT_BLANKS = (public_tokenizers.PATTERN,)
 _KEPT = 1 << 18  # chunks, and pre-tokens, remembered by a worker
-_CHARS = 1 << 22  # of texts that are learnt from at a time
-_MERGED = 1 << 19  # bytes of pre-tokens that are merged at a time
+_CHARS = 1 << 24  # of texts that are learnt from at a time: a rank waits once for all of them
+_MERGED = 1 << 20  # bytes of pre-tokens that are merged at a time
 _LONG = 64  # longer ones are not remembered
 
 

@@ -110,3 +110,17 @@ def test_other_patterns_cut_whole_texts(ranks, pattern):
     texts = ["", " ", "anOther wordWith Capitals", "ab ba  abba\nXyz", "it's 's"]
     for text, ids in zip(texts, coder.encode_all(texts), strict=True):
         assert ids.tolist() == plain(text)
+
+
+def test_a_rank_waits_once_for_many_texts(ranks, reference, monkeypatch):
+    """Every 4 million characters, and every half a megabyte of new pre-tokens, went through all ranks again."""
+    rng = random.Random(3)
+    texts = [" ".join("%x" % rng.randrange(1 << 32) for _ in range(500)) for _ in range(8)]
+    texts += [" ".join(["again"] * 800_000), *texts, texts[0][::-1]]
+    merged = []
+    plain = byte_bpe.ByteBpe._merge
+    monkeypatch.setattr(byte_bpe.ByteBpe, "_merge", lambda self, pieces: merged.append(len(pieces)) or plain(self, pieces))
+    coder = byte_bpe.ByteBpe(ranks, PATTERN)
+    found = list(coder.encode_all(texts))
+    assert [ids.tolist() for ids in found] == [reference(text) for text in texts]
+    assert len(merged) == 1
