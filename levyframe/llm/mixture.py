@@ -27,6 +27,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +117,7 @@ class Mixture:
         if clash := set(docs.columns) & set(OWN):
             raise ValueError(f"columns {sorted(clash)} are there already")
         self.shards, self.seed = shards, seed
+        self._spark = docs.sparkSession
         size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
         order = F.xxhash64(F.lit(seed), "doc_id", "text")
         self._columns = docs.columns
@@ -130,12 +132,18 @@ class Mixture:
         self.pieces = max(LEAST_PIECES, -(-sum(r.bytes for r in totals) // (shards * PIECE_BYTES)))
         wanted = targets([r.size for r in totals], [weights[k % len(weights)] for k in range(len(totals))])
         self.sources = [(r.source, r.size, t) for r, t in zip(totals, wanted, strict=True)]
-        self._numbers = docs.sparkSession.createDataFrame(
-            [(s, k, size, t) for k, (s, size, t) in enumerate(self.sources)],
-            "source string, source_no int, source_size long, target double",
+        self._numbers = self._table(
+            source_size=pa.array([size for _, size, _ in self.sources], pa.int64()),
+            target=pa.array([target for _, _, target in self.sources], pa.float64()),
         )
         self.copies = stage(self._placed(), "copies")
 
+    def _table(self, **columns: pa.Array) -> DataFrame:
+        """A row for each source: its name, its number and ``columns``."""
+        names = pa.array([source for source, _, _ in self.sources], pa.string())
+        numbers = pa.array(range(len(names)), pa.int32())
+        return self._spark.createDataFrame(pa.table({"source": names, "source_no": numbers, **columns}))
+
     def _named(self, rows: DataFrame) -> DataFrame:
         """With the source's number, size and target."""
         numbers = self._numbers.withColumnRenamed("source", "named")
@@ -162,20 +170,11 @@ class Mixture:
         for row in chosen.groupBy("source_no").count().collect():
             quotas[row.source_no] = row["count"]
         ends = split(quotas, self.shards, self.seed).cumsum(axis=0)
-        shared = self._numbers.sparkSession.sparkContext.broadcast(ends)
-
-        @F.pandas_udf("int")
-        def shard_of(source_no: pd.Series, place: pd.Series) -> pd.Series:
-            table = shared.value
-            out = np.zeros(len(place), np.int32)
-            for number in source_no.unique():
-                here = (source_no == number).to_numpy()
-                out[here] = np.searchsorted(table[:, number], place[here].to_numpy(), side="right")
-            return pd.Series(out)
-
-        sources = self._numbers.select("source_no", "source")
-        dealt = chosen.withColumn("shard", shard_of("source_no", "place")).where(F.col("shard") < self.shards)
-        return dealt.join(sources, "source_no").select("source", "mix_block", "copy", "shard")
+        runs = self._table(ends=pa.array(ends.T.tolist(), pa.list_(pa.int64())))
+        # without Python: a udf in a column that is also filtered by would run twice, in two workers of a task
+        shard = F.size(F.filter("ends", lambda end: end <= F.col("place"))).alias("shard")
+        dealt = chosen.join(runs, "source_no").select("source", "mix_block", "copy", shard)
+        return dealt.where(F.col("shard") < self.shards)
 
     def _with_copies(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``copies``, the (copy, shard) pairs of each row's block; null where nothing is taken."""
@@ -199,7 +198,7 @@ class Mixture:
 
     def written(self, path: str | None = None) -> DataFrame:
         """The mix written by shard: rows of the documents with ``shard`` and ``position``, from 0 in each shard."""
-        spark = self._numbers.sparkSession
+        spark = self._spark
         path = path or fresh_path(spark, "mix")
         rows = self._in_order("mix_order").withColumn("place", F.monotonically_increasing_id())
         rows.write.partitionBy("shard").parquet(path)

@@ -9,6 +9,7 @@ from corpora import empty, odd, table
 from levyframe.llm import mixture
 from levyframe.llm.mixture import MOST, Mixture, chosen_blocks, mixed, split, targets
 from levyframe.llm.queries import LLM_QUERIES
+from levyframe.storage import stage
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -130,3 +131,19 @@ def test_odd_rows(spark):
     assert len(rows) == 15 and all(r.size == 0 and r.taken == 0 for r in rows if r.doc_id in (4, 5, 6))
     assert mixed(odd(spark)).columns == odd(spark).columns and mixed(odd(spark)).count() > 0
     assert Mixture(empty(spark)).documents().count() == 0 and mixed(empty(spark)).count() == 0
+
+
+def test_blocks_are_placed_without_python(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(mixture, "stage", kept)
+    mix = Mixture(table(spark), shards=5)
+    assert "EvalPython" not in plans["copies"] and "ExistingRDD" not in plans["copies"]
+    taken = mix.copies.groupBy("source", "mix_block").count().count()
+    assert taken == mix.copies.select("source", "mix_block").distinct().count() > 0
+    runs = mix.copies.groupBy("shard").count().collect()
+    assert sorted(r.shard for r in runs) == list(range(5)) and np.ptp([r["count"] for r in runs]) <= 1

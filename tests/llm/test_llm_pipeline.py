@@ -62,3 +62,12 @@ def test_queries_of_sql_agree_with_it(spark):
     connection = connect(folder)
     for name in LLM_ORACLES:
         assert compare(LLM_QUERIES[name](spark, folder), connection, name) is None
+
+
+def test_encoders_get_fewer_texts_at_once(spark):
+    docs = table(spark)
+    size = lambda: int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    corpus_pipeline.drop_toxic(spark, docs, FOLDER)
+    most = size()
+    corpus_pipeline.encode(spark, docs, FOLDER)
+    assert size() < most
